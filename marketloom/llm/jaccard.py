@@ -9,11 +9,11 @@ window. The join therefore looks for pivots close by:
    as many cells as it may differ in shingles, and one more. Cells of the fewest shingles are left out.
 3. Pivots. A cell's smallest point is its pivot; the points of a pivot's cells are its region. Exact
    distances to the pivots link points, and components of links come from them.
-4. Windows. A region all of one component is done. In the others further pivots are drawn, each point
-   lives with its nearest one and is replicated where the triangle inequality allows a partner on the
-   other side: d(x, q) <= d(x, home) + 2 r. Those regions are joined the same way, until they are
-   small; then all their pairs are worked out in one task. A region that doesn't come apart is cut into
-   blocks, and each pair of blocks is a task.
+4. Windows. Linked points' distances to a pivot differ by r at most, so that a region falls into rings
+   of width 2 r that overlap by r. A ring all of one component is done. In a larger one further pivots
+   are drawn: each point lives with its nearest one and is replicated where the triangle inequality
+   allows a partner on the other side, d(x, q) <= d(x, home) + 2 r. The regions so made are joined the
+   same way while that makes them smaller. Then all their pairs are worked out, a pair of blocks a task.
 
 No step gives out all pairs of a region; what leaves a task is links enough to connect it.
 """
@@ -32,7 +32,7 @@ from .bytepairs import MEMO
 from .common import Tables, components, map_lists
 
 #: Points of a region that one task joins, pivots drawn in a larger one, and rounds of drawing.
-SMALL, PIVOTS, ROUNDS = 400, 8, 3
+SMALL, PIVOTS, ROUNDS = 800, 8, 3
 M = np.uint64
 
 
@@ -229,19 +229,25 @@ def jaccard_join(spark: SparkSession, df: DataFrame, join: Join = Join(), id_col
     edges = tables.save(met.where(g.linked()).select(F.col("x").alias("u"), F.col("p").alias("v")), "links")
     roots = tables.save(components(tables, edges), "roots")
 
-    members = met.select(F.col("p").alias("region"), F.col("x").alias("id"))
-    left = tables.save(g.open_regions(members.union(met.select(F.col("p").alias("region"), F.col("p").alias("id")).distinct()), roots), "open")
+    r = (join.bottom - join.top) / join.bottom * (1 + 1e-9)
+    ring = F.floor((F.col("either") - F.col("inner")) / F.col("either") / F.lit(r))
+    placed = met.select("p", F.col("x").alias("id"), ring.alias("k")).union(met.select("p", F.col("p").alias("id"), F.lit(0).cast("long").alias("k")).distinct())
+    members = placed.select("id", "p", F.explode(F.array("k", F.col("k") - 1)).alias("k")).where("k >= 0").select(F.xxhash64("p", "k").alias("region"), "id")
+    left = tables.save(g.open_regions(members, roots), "open")
     found = []
-    for nth in range(ROUNDS + 1):
-        small = left if nth == ROUNDS else left.where(F.col("n") <= SMALL)
-        found.append(tables.save(g.small(small, sets), "small"))
+    for _ in range(ROUNDS):
         large = left.where(F.col("n") > SMALL)
-        if nth == ROUNDS or large.isEmpty():
+        before = large.count()
+        if not before:
             break
         more, kept = g.apart(large, sets)
         found.append(tables.save(more, "more"))
-        now = components(tables, _union([edges, *found]))
-        left = tables.save(g.open_regions(kept, now), "open")
+        cut = tables.save(g.open_regions(kept, components(tables, _union([edges, *found]))), "cut")
+        if cut.count() > before:
+            break
+        found.append(tables.save(g.small(left.where(F.col("n") <= SMALL), sets), "small"))
+        left = cut
+    found.append(tables.save(g.small(left, sets), "small"))
     every = _union([edges, *found])
     roots = components(tables, every)
     out = rows.select("id", "n", "key").join(first, "key", "left").join(roots, F.col("rep") == F.col("node"), "left")

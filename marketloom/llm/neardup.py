@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -106,7 +107,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.95,
     entries = tables.save(rows.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "entries")
     total = entries.count()
     fitted = entries.orderBy(F.xxhash64("key"), "key").limit(FIT).select("unit").collect()
-    width = max([0, *(len(r["unit"]) for r in fitted)], key=lambda n: sum(len(r["unit"]) == n for r in fitted))
+    width = max(Counter(len(r["unit"]) for r in fitted).items(), key=lambda x: (x[1], x[0]), default=(0, 0))[0]
     sample = np.array([np.frombuffer(r["unit"], dtype=np.float64) for r in fitted if len(r["unit"]) == width])
     if not len(sample):
         found = spark.createDataFrame([], "id long, n_links long, root long")
