@@ -1,6 +1,342 @@
-"""Every query of the library by name, and its SQL."""
+"""Every query of the library by name, and its SQL for DuckDB.
+
+Doubles are rounded to six places on both sides; adding 0.0 makes a negative zero positive.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..functions import finance
+from ..operators import features, screening, timeseries as ts, validation
+from ..sources.panel import FEATURES, LABELS, daily_panel, observations
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+PANEL_SQL = """
+WITH lines AS (
+  SELECT CAST(l_shipdate AS DATE) AS day, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, CAST(round(l_extendedprice) AS BIGINT) AS p, CAST(round(l_quantity) AS BIGINT) AS q,
+    CAST(round(l_discount * 100) AS BIGINT) AS d, CAST(round(l_tax * 100) AS BIGINT) AS t, l_returnflag AS rf, l_linestatus AS ls FROM lineitem),
+sums AS (
+  SELECT day, CAST(count(*) AS DOUBLE) AS n, CAST(sum(c) AS DOUBLE) AS sc, CAST(sum(q) AS DOUBLE) AS sq, CAST(sum(d) AS DOUBLE) AS sd, CAST(sum(t) AS DOUBLE) AS st, CAST(sum(q * q) AS DOUBLE) AS sqq, CAST(sum(d * d) AS DOUBLE) AS sdd,
+    max(c) / 100.0 AS M4, min(c) / 100.0 AS M5, CAST(max(p) - min(p) AS DOUBLE) AS V3, CAST(max(q) - min(q) AS DOUBLE) AS V4, CAST(max(d) - min(d) AS DOUBLE) AS V5, max(d) / 100.0 AS I4, max(t) / 100.0 AS I7,
+    count(*) FILTER (rf = 'R') AS r1, count(*) FILTER (rf = 'A') AS r2, count(*) FILTER (rf = 'N') AS r3, count(*) FILTER (ls = 'O') AS r4, count(*) FILTER (ls = 'F') AS r5
+  FROM lines GROUP BY day),
+ord AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS E1, CAST(count(*) AS DOUBLE) AS E2 FROM orders GROUP BY 1),
+days AS (
+  SELECT s.day, sc / n / 100.0 AS M1, sq / n AS M2, n AS M3, M4, M5,
+    CASE WHEN n > 1 THEN sqrt((n * sqq - sq * sq) / (n * (n - 1))) END AS V1, CASE WHEN n > 1 THEN sqrt((n * sdd - sd * sd) / (n * (n - 1))) END AS V2, V3, V4, V5,
+    r1 / n AS S1, r2 / n AS S2, r3 / n AS S3, r4 / n AS S4, r5 / n AS S5, sd / n / 100.0 AS I1, st / n / 100.0 AS I2, (sd + st) / n / 100.0 AS I3, I4, I7, sc / sq / 100.0 AS P1, E1, E2
+  FROM sums s LEFT JOIN ord o ON s.day = o.day),
+panel AS (
+  SELECT row_number() OVER (ORDER BY day) - 1 AS row_id, * EXCLUDE (day), M1 - lag(M1) OVER (ORDER BY day) AS MOM1, CAST(isodow(day) AS DOUBLE) AS D1, CAST(month(day) AS DOUBLE) AS D2,
+    0.01 * (lead(M1) OVER (ORDER BY day) / M1 - 1) AS forward_returns, I2 / 252 AS risk_free_rate, 0.01 * (lead(M1) OVER (ORDER BY day) / M1 - 1) - I2 / 252 AS market_forward_excess_returns FROM days),
+"""
+OBS_SQL = "obs AS (SELECT row_id, unnest([{names}]) AS feature, unnest([{cols}]) AS value FROM panel),\n"
+SOME = ("M1", "V1", "S1", "I1", "E1", "MOM1")
+DENSE = ("M1", "M2", "M4", "P1", "I1", "I2", "I3", "S1", "S2")
+
+
+def obs_sql(cols: tuple[str, ...] = FEATURES) -> str:
+    return PANEL_SQL + OBS_SQL.format(cols=", ".join(cols), names=", ".join(f"'{c}'" for c in cols))
+
+
+def r6(c: Column | str, name: str | None = None) -> Column:
+    x = F.col(c) if isinstance(c, str) else c
+    return (F.round(x, 6) + 0.0).alias(name or c)
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def rows(df: DataFrame) -> DataFrame:
+    """Four places, as values of some hundred thousands are among them."""
+    return df.select("row_id", "feature", (F.round("value", 4) + 0.0).alias("value"))
+
+
+ROWS = "SELECT row_id, feature, round(value, 4) + 0.0 AS value FROM "
+FRAME = "over (partition by feature order by row_id rows between {} preceding and {})"
+
+
+def roll_sql(source: str, w: int, parts: tuple[str, ...]) -> str:
+    """SQL for rolling features of one window over (row_id, feature, value)."""
+    f = FRAME.format(w - 1, "current row")
+    mean = f"case when min(value) {f} = max(value) {f} then value else avg(value) {f} end"
+    std = f"case when min(value) {f} = max(value) {f} then 0.0 else stddev_samp(value) {f} end" if w > 1 else "cast(null as double)"
+    made = {"mean": mean, "std": std, "z": f"(value - ({mean})) / (({std}) + 1e-9)", "pos": f"(value - min(value) {f}) / (max(value) {f} - min(value) {f} + 1e-12)"}
+    return " UNION ALL ".join(f"SELECT row_id, feature || '_{p}{w}' AS feature, case when count(value) {f} = {w} then {made[p]} end AS value FROM {source}" for p in parts)
+
+
+def diff_sql(source: str) -> str:
+    return f"SELECT row_id, feature || '_d1' AS feature, value - lag(value) over (partition by feature order by row_id) AS value FROM {source}"
+
+
+@query("daily_panel", PANEL_SQL + "x AS (SELECT 1) SELECT row_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FEATURES + LABELS) + " FROM panel")
+def _(spark, d):
+    return daily_panel(spark, d).select("row_id", *(r6(c) for c in FEATURES + LABELS))
+
+
+LAGGED_SQL = (
+    PANEL_SQL + "w AS (SELECT row_id, " + ", ".join(f"lag({c}) over (order by row_id) AS lagged_{c}" for c in LABELS) + " FROM panel), w2 AS (SELECT *, lagged_forward_returns - lagged_risk_free_rate AS lagged_excess FROM w), "
+    "l AS (SELECT row_id, unnest([" + ", ".join(f"'lagged_{c}'" for c in LABELS) + ", 'lagged_excess']) AS feature, unnest([" + ", ".join(f"lagged_{c}" for c in LABELS) + ", lagged_excess]) AS value FROM w2), a AS (SELECT * FROM l WHERE feature <> 'lagged_excess'), b AS (SELECT * FROM l WHERE feature = 'lagged_excess'), o AS (SELECT row_id, feature, value FROM l"
+    + "".join(" UNION ALL " + roll_sql("a", w, ("mean", "std", "z")) for w in ts.LAG_WINDOWS) + "".join(" UNION ALL " + roll_sql("b", w, ("mean", "std", "z")) for w in ts.EXCESS_WINDOWS) + " UNION ALL " + diff_sql("l") + ") " + ROWS + "o"
+)
+
+
+@query("lagged_block", LAGGED_SQL)
+def _(spark, d):
+    return rows(ts.lagged_block(daily_panel(spark, d).select("row_id", *LABELS)))
+
+
+@query("shift_block", PANEL_SQL + "x AS (SELECT row_id - 10 AS row_id, " + ", ".join(f"lag({c}, 10) over (order by row_id) AS {c}" for c in ("E1", "E2", "S1", "S2")) + ", M1 FROM panel) SELECT row_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("E1", "E2", "S1", "S2", "M1")) + " FROM x WHERE row_id >= 0")
+def _(spark, d):
+    cols = ["E1", "E2", "S1", "S2"]
+    return ts.shifted(daily_panel(spark, d).select("row_id", *cols, "M1"), cols, 10).select("row_id", *(r6(c) for c in [*cols, "M1"]))
+
+
+@query("tail_and_burn", PANEL_SQL + "x AS (SELECT row_number() over (order by row_id) - 1 AS row_id, M1 FROM (SELECT * FROM panel ORDER BY row_id DESC LIMIT 2000)) SELECT row_id - 62 AS row_id, round(M1, 6) + 0.0 AS M1 FROM x WHERE row_id >= 62")
+def _(spark, d):
+    return ts.skip(ts.tail(daily_panel(spark, d).select("row_id", "M1"), 2000), 62).select("row_id", r6("M1"))
+
+
+@query("holdout_split", PANEL_SQL + "x AS (SELECT count(*) AS n FROM panel) SELECT row_id, CASE WHEN row_id < n - 180 THEN 'core' ELSE 'hold' END AS part, CASE WHEN row_id < n - 180 THEN row_id ELSE row_id - (n - 180) END AS place FROM panel, x")
+def _(spark, d):
+    panel = daily_panel(spark, d).select("row_id")
+    return validation.holdout(panel, panel.count()).select("row_id", "part", F.col("place").cast("long").alias("place"))
+
+
+def _base_sql() -> str:
+    parts = []
+    for name in (*ts.WINDOWS, "D"):
+        for w in ts.WINDOWS.get(name, ts.DEFAULT_WINDOWS):
+            parts.append(roll_sql(f"(SELECT * FROM obs WHERE regexp_extract(feature, '^(MOM|E|S|V|M|P|I|D)', 1) = '{name}')", w, ("mean", "z", "pos")))
+    return obs_sql() + "o AS (" + " UNION ALL ".join([*parts, diff_sql("obs")]) + ") " + ROWS + "o"
+
+
+@query("rolling_base_block", _base_sql())
+def _(spark, d):
+    return rows(ts.base_block(observations(daily_panel(spark, d))))
+
+
+@query("rolling_by_entity", "WITH e AS (SELECT user_id, row_number() over (partition by user_id order by ts, event_id) - 1 AS row_id, round(value * 100) AS v FROM events), x AS (SELECT user_id, row_id, v, count(v) over w AS n, sum(v) over w AS s, sum(v * v) over w AS q, min(v) over w AS lo, max(v) over w AS hi FROM e WINDOW w AS (PARTITION BY user_id ORDER BY row_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT user_id, row_id, round(CASE WHEN n = 5 THEN s / 5 END, 6) + 0.0 AS mean5, round(CASE WHEN n = 5 THEN (v - lo) / (hi - lo + 1e-12) END, 6) + 0.0 AS pos5 FROM x")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    e = e.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("row_id"), F.round(F.col("value") * 100).alias("v"))
+    r = ts.rolling(F.col("v"), 5, ("user_id",))
+    return e.select("user_id", "row_id", r6(r["mean"], "mean5"), r6(r["pos"], "pos5"))
+
+
+GROUPS_SQL = "g AS (SELECT * FROM (VALUES ('E'), ('S'), ('V'), ('M'), ('MOM'), ('P'), ('I'), ('D')) t(prefix)), f AS (SELECT feature, min(row_id) FILTER (value IS NOT NULL) AS first_valid, count(*) AS n FROM obs GROUP BY feature), p AS (SELECT prefix, feature, first_valid, CAST(floor(quantile_cont(first_valid, 0.9) over (partition by prefix)) AS BIGINT) AS cut, n FROM g JOIN f ON starts_with(feature, prefix)), fv AS (SELECT prefix, feature, first_valid, cut, coalesce(first_valid IS NULL OR first_valid > cut OR first_valid > floor(n * 0.25), true) AS late FROM p) "
+
+
+@query("first_valid_profile", obs_sql() + GROUPS_SQL + "SELECT * FROM fv")
+def _(spark, d):
+    return screening.first_valid_profile(observations(daily_panel(spark, d)))
+
+
+@query("first_valid_filter", obs_sql() + GROUPS_SQL + "SELECT feature, count(value) AS n_valid FROM obs WHERE feature NOT IN (SELECT feature FROM fv WHERE late) GROUP BY feature")
+def _(spark, d):
+    return screening.first_valid_filter(observations(daily_panel(spark, d))).groupBy("feature").agg(F.count("value").alias("n_valid"))
+
+
+def _interactions_sql() -> str:
+    out = []
+    for a, b, op in features.INTERACTIONS:
+        v, name = (f"{a} - {b}" if op == "diff" else f"CASE WHEN abs({b}) > 1e-6 THEN {a} / {b} END"), f"XINT_{a}_{b}_{op}"
+        out += [f"round({v}, 6) + 0.0 AS {name}", f"CAST(({v}) IS NULL AS INT) AS {name}_miss"]
+        if op == "ratio":
+            out.append(f"CAST(coalesce(abs({b}) <= 1e-6, true) AS INT) AS {name}_denom_small")
+    return PANEL_SQL + "x AS (SELECT 1) SELECT row_id, " + ", ".join(out) + " FROM panel"
+
+
+@query("interactions", _interactions_sql())
+def _(spark, d):
+    x = features.interactions(daily_panel(spark, d))
+    return x.select("row_id", *(r6(c) if kind == "double" else F.col(c) for c, kind in x.dtypes if c != "row_id"))
+
+
+W126 = FRAME.format(126, "1 preceding")
+
+
+@query("winsorized", obs_sql(SOME) + f"b AS (SELECT row_id, feature, value, quantile_cont(value, 0.02) {W126} AS lo, quantile_cont(value, 0.98) {W126} AS hi FROM obs), o AS (SELECT row_id, feature, coalesce(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 0.0) AS value FROM b) " + ROWS + "o")
+def _(spark, d):
+    o = observations(daily_panel(spark, d), SOME)
+    b = o.withColumn("b", ts.winsor_bounds(F.col("value"), 126))
+    return rows(b.select("row_id", "feature", ts.winsorized(F.col("value"), F.col("b")).alias("value")))
+
+
+F126 = FRAME.format(125, "current row")
+
+
+@query("score_zscore", obs_sql(SOME) + f"o AS (SELECT row_id, feature, CASE WHEN min(value) {F126} <> max(value) {F126} THEN (value - avg(value) {F126}) / stddev_samp(value) {F126} END AS value FROM obs) SELECT row_id, feature, round(value, 6) + 0.0 AS value, round(CASE WHEN value < 0 THEN 0 ELSE value END, 6) + 0.0 AS pos FROM o")
+def _(spark, d):
+    z = observations(daily_panel(spark, d), SOME).withColumn("value", ts.score_zscore(F.col("value"), 126))
+    return z.select("row_id", "feature", r6("value"), r6(finance.clip(F.col("value"), 0, None), "pos"))
+
+
+GATE_SQL = obs_sql(("S1", "S2", "M1", "V1")) + "zz AS (" + roll_sql("obs", 21, ("z",)) + "), g AS (SELECT row_id, 1 + 0.5 * (CASE WHEN coalesce(value, 0) < 0 THEN 0 WHEN coalesce(value, 0) > 2 THEN 2 ELSE coalesce(value, 0) END) AS g FROM zz WHERE feature = 'V1_z21'), o AS (SELECT zz.row_id, feature || '_gV' AS feature, coalesce(value, 0) * coalesce(g, 1) AS value FROM zz LEFT JOIN g ON zz.row_id = g.row_id WHERE feature <> 'V1_z21') " + ROWS + "o"
+
+
+@query("gated_product", GATE_SQL)
+def _(spark, d):
+    z = ts.rolling_long(observations(daily_panel(spark, d), ("S1", "S2", "M1", "V1")), (21,), ("z",), with_diff=False)
+    gates = z.where("feature = 'V1_z21'").select("row_id", ts.gate(F.col("value"), 0.5, 2.0).alias("g"))
+    return rows(features.gated(z.where("feature <> 'V1_z21'"), gates, "V"))
+
+
+F63 = FRAME.format(62, "current row")
+
+
+@query("availability_mask", obs_sql(SOME) + f"x AS (SELECT 1) SELECT row_id, feature, CAST(count(value) {F63} >= 21 AS INT) AS available FROM obs")
+def _(spark, d):
+    return observations(daily_panel(spark, d), SOME).select("row_id", "feature", ts.availability(F.col("value")).alias("available"))
+
+
+@query("ffill_bfill", obs_sql(SOME) + "o AS (SELECT row_id, feature, coalesce(last_value(value ignore nulls) over (partition by feature order by row_id rows between unbounded preceding and current row), first_value(value ignore nulls) over (partition by feature order by row_id rows between current row and unbounded following)) AS value FROM obs) " + ROWS + "o")
+def _(spark, d):
+    return rows(observations(daily_panel(spark, d), SOME).withColumn("value", ts.filled(F.col("value"), backward=True)))
+
+
+@query("missing_profile", obs_sql() + "x AS (SELECT 1) SELECT feature, count(*) AS n_rows, count(value) AS n_valid, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS missing, round(stddev_samp(value), 6) + 0.0 AS std FROM obs GROUP BY feature")
+def _(spark, d):
+    return screening.missing_profile(observations(daily_panel(spark, d))).select("feature", "n_rows", "n_valid", r6("missing"), r6("std"))
+
+
+SPEARMAN = "pr AS (SELECT x.row_id, x.feature AS a, y.feature AS b, x.value AS va, y.value AS vb FROM obs x JOIN obs y ON x.row_id = y.row_id AND x.feature < y.feature WHERE x.value IS NOT NULL AND y.value IS NOT NULL), rk AS (SELECT a, b, rank() over (partition by a, b order by va) + (count(*) over (partition by a, b, va) - 1) / 2.0 AS ra, rank() over (partition by a, b order by vb) + (count(*) over (partition by a, b, vb) - 1) / 2.0 AS rb FROM pr), rho AS (SELECT a, b, CASE WHEN min(ra) <> max(ra) AND min(rb) <> max(rb) THEN corr(ra, rb) END AS rho FROM rk GROUP BY a, b) "
+
+
+@query("spearman_pairs", obs_sql(DENSE) + SPEARMAN + "SELECT a, b, round(rho, 6) + 0.0 AS rho FROM rho")
+def _(spark, d):
+    return screening.spearman_pairs(observations(daily_panel(spark, d), DENSE)).select("a", "b", r6("rho"))
+
+
+@query("corr_prune", obs_sql(DENSE) + SPEARMAN + "SELECT DISTINCT b AS feature FROM rho WHERE abs(rho) > 0.3")
+def _(spark, d):
+    return screening.corr_prune(screening.spearman_pairs(observations(daily_panel(spark, d), DENSE)), 0.3)
+
+
+@query("coarse_screen", obs_sql(DENSE) + SPEARMAN + "SELECT feature FROM obs GROUP BY feature HAVING avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) <= 0.98 AND stddev_samp(value) > 1e-12 AND feature NOT IN (SELECT b FROM rho WHERE abs(rho) > 0.6)")
+def _(spark, d):
+    return screening.coarse_screen(observations(daily_panel(spark, d), DENSE), corr=0.6)
+
+
+@query("importance_cut", "WITH i AS (SELECT p_brand AS feature, CAST(sum(p_size) AS BIGINT) AS importance FROM part GROUP BY 1), c AS (SELECT feature, importance, row_number() over (order by importance desc, feature) AS rank, CAST(sum(importance) over (order by importance desc, feature rows unbounded preceding) AS DOUBLE) AS cum, CAST(sum(importance) over () AS DOUBLE) AS total FROM i) SELECT feature, importance, rank, round(cum / total, 6) AS cumulative FROM c WHERE (cum - importance) / total < 0.95")
+def _(spark, d):
+    i = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("feature")).agg(F.sum("p_size").alias("importance"))
+    return screening.importance_cut(i).select("feature", "importance", F.col("rank").cast("long").alias("rank"), F.round("cumulative", 6).alias("cumulative"))
+
+
+@query("rolling_folds", PANEL_SQL + "x AS (SELECT count(*) AS n FROM panel), f AS (SELECT unnest(range(0, CAST((n - 752 - 21) // 21 + 1 AS BIGINT))) AS fold FROM x) SELECT fold, fold * 21 AS tr_start, 752 + fold * 21 AS tr_end, 752 + fold * 21 AS va_start, 773 + fold * 21 AS va_end FROM f")
+def _(spark, d):
+    return validation.rolling_folds(spark, daily_panel(spark, d).count())
+
+
+@query("expanding_folds", PANEL_SQL + "x AS (SELECT count(*) AS n FROM panel), f AS (SELECT unnest(range(0, 5)) AS fold, n, n // 6 AS s FROM x) SELECT fold, CAST(0 AS BIGINT) AS tr_start, n - 5 * s + fold * s AS tr_end, n - 5 * s + fold * s AS va_start, n - 5 * s + (fold + 1) * s AS va_end FROM f")
+def _(spark, d):
+    return validation.expanding_folds(spark, daily_panel(spark, d).count())
+
+
+PRED = "pd AS (SELECT row_id, forward_returns AS y, lag(forward_returns) over (order by row_id) AS yhat FROM panel), x AS (SELECT count(*) AS n FROM panel), f AS (SELECT unnest(range(0, CAST((n - 752 - 21) // 21 + 1 AS BIGINT))) AS fold FROM x), e AS (SELECT fold, avg((y - yhat) * (y - yhat)) / nullif(avg(y * y), 0) AS ratio FROM f JOIN pd ON row_id >= 752 + fold * 21 AND row_id < 773 + fold * 21 GROUP BY fold) "
+
+
+@query("fold_mse_ratio", PANEL_SQL + PRED + "SELECT fold, round(coalesce(ratio, 1.0), 6) + 0.0 AS ratio, round(avg(coalesce(ratio, 1.0)) over (order by fold rows between 9 preceding and current row), 6) + 0.0 AS recent FROM e")
+def _(spark, d):
+    panel = daily_panel(spark, d)
+    pred = panel.select("row_id", F.col("forward_returns").alias("y"), F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("yhat"))
+    return validation.fold_mse_ratio(pred, validation.rolling_folds(spark, panel.count())).select("fold", r6("ratio"), r6("recent"))
+
+
+@query("standard_scale", obs_sql(SOME) + "n AS (SELECT count(*) - 180 AS n FROM panel), s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS sd FROM obs, n WHERE row_id < n GROUP BY feature), o AS (SELECT row_id, feature, (value - m) / sd AS value FROM obs JOIN s USING (feature)) " + ROWS + "o")
+def _(spark, d):
+    panel = daily_panel(spark, d)
+    return rows(validation.standard_scale(observations(panel, SOME), panel.count() - 180))
+
+
+OLS = "ol AS (SELECT row_id, forward_returns, risk_free_rate, regr_slope(forward_returns, M1) over w * M1 + regr_intercept(forward_returns, M1) over w AS yhat FROM panel WINDOW w AS (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+
+
+@query("ols_walk_forward_1d", PANEL_SQL + OLS + "x AS (SELECT 1) SELECT row_id, round(yhat, 6) + 0.0 AS yhat FROM ol WHERE row_id >= 30")
+def _(spark, d):
+    return validation.linear_walk_forward(daily_panel(spark, d), "M1", "forward_returns").where("row_id >= 30").select("row_id", r6("yhat"))
+
+
+RULE = "rl AS (SELECT row_id, forward_returns, risk_free_rate, M1, lag(forward_returns) over (order by row_id) AS pred, CASE WHEN count(forward_returns) over w = 21 THEN stddev_samp(forward_returns) over w END AS vol, CASE WHEN count(forward_returns) over w = 21 THEN avg(forward_returns) over w END AS mom FROM panel WINDOW w AS (ORDER BY row_id ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)), p0 AS (SELECT *, 1 + tanh(6 * pred / (CASE WHEN vol IS NULL OR vol < 1e-4 THEN 1e-4 ELSE vol END)) AS raw FROM rl), p1 AS (SELECT *, CASE WHEN mom < -0.0005 AND raw > 1 THEN 1.0 ELSE raw END AS r FROM p0), pos AS (SELECT row_id, forward_returns, risk_free_rate, CASE WHEN r < 0 THEN 0.0 WHEN r > 2 THEN 2.0 ELSE r END AS position FROM p1), "
+
+
+def positions(spark: SparkSession, d: str) -> DataFrame:
+    """The position rule on the day before's return, with trailing volatility and momentum."""
+    back = Window.orderBy("row_id").rowsBetween(-21, -1)
+    full = F.count("forward_returns").over(back) == 21
+    vol, mom = (F.when(full, f("forward_returns").over(back)) for f in (F.stddev_samp, F.avg))
+    p = daily_panel(spark, d).select("row_id", "forward_returns", "risk_free_rate", F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("pred"), vol.alias("vol"), mom.alias("mom"))
+    return p.select("row_id", "forward_returns", "risk_free_rate", finance.position_rule(F.col("pred"), F.col("vol"), F.col("mom")).alias("position"))
+
+
+@query("position_rule", PANEL_SQL + RULE + "x AS (SELECT 1) SELECT row_id, round(position, 6) + 0.0 AS position FROM pos")
+def _(spark, d):
+    return positions(spark, d).select("row_id", r6("position"))
+
+
+@query("to_position_modes", PANEL_SQL + "m AS (SELECT row_id, forward_returns * 100 AS y, 1 + tanh(6 * forward_returns * 100) AS e, 2 * forward_returns * 100 AS p FROM panel) SELECT row_id, " + ", ".join(f"round(CASE WHEN {c} < 0 THEN 0.0 WHEN {c} > 2 THEN 2.0 ELSE {c} END, 6) + 0.0 AS {n}" for c, n in (("y", "position"), ("e", "excess"), ("p", "prob"))) + " FROM m")
+def _(spark, d):
+    y = F.col("forward_returns") * 100
+    return daily_panel(spark, d).select("row_id", *(r6(finance.to_position(y, m), m) for m in ("position", "excess", "prob")))
+
+
+RET = "rt AS (SELECT row_id, forward_returns, risk_free_rate, position, risk_free_rate * (1 - position) + position * forward_returns AS ret FROM pos WHERE position IS NOT NULL AND forward_returns IS NOT NULL), "
+
+
+def returns(spark: SparkSession, d: str) -> DataFrame:
+    return finance.strategy_returns(positions(spark, d).where("position IS NOT NULL AND forward_returns IS NOT NULL"))
+
+
+@query("strategy_returns", PANEL_SQL + RULE + RET + "x AS (SELECT 1) SELECT row_id, round(ret, 8) + 0.0 AS ret, round(ret - risk_free_rate, 8) + 0.0 AS ex FROM rt")
+def _(spark, d):
+    return returns(spark, d).select("row_id", (F.round("ret", 8) + 0.0).alias("ret"), (F.round("ex", 8) + 0.0).alias("ex"))
+
+
+@query("adjusted_sharpe", PANEL_SQL + RULE + RET + "a AS (SELECT count(*) AS n, product(1 + ret - risk_free_rate) AS se, product(1 + forward_returns - risk_free_rate) AS me, stddev_pop(ret) AS sd, stddev_pop(forward_returns) AS md FROM rt), b AS (SELECT *, pow(se, 1.0 / n) - 1 AS sg, pow(me, 1.0 / n) - 1 AS mg FROM a), c AS (SELECT *, CASE WHEN sd > 0 THEN sg / sd * sqrt(252) ELSE 0 END AS sharpe, 1 + CASE WHEN sd / md - 1.2 > 0 THEN sd / md - 1.2 ELSE 0 END AS vp, 1 + pow(CASE WHEN (mg - sg) * 100 * 252 > 0 THEN (mg - sg) * 100 * 252 ELSE 0 END, 2) / 100 AS rp FROM b) SELECT n AS n_days, round(sharpe, 6) + 0.0 AS sharpe, round(vp, 6) + 0.0 AS vol_penalty, round(rp, 6) + 0.0 AS return_penalty, round(CASE WHEN sd = 0 OR md = 0 THEN 0 ELSE least(sharpe / (vp * rp), 1e6) END, 6) + 0.0 AS adjusted_sharpe FROM c")
+def _(spark, d):
+    return finance.adjusted_sharpe(positions(spark, d).where("position IS NOT NULL AND forward_returns IS NOT NULL")).select("n_days", *(r6(c) for c in ("sharpe", "vol_penalty", "return_penalty", "adjusted_sharpe")))
+
+
+@query("drawdown", PANEL_SQL + RULE + RET + "c AS (SELECT row_id, exp(sum(ln(1 + ret)) over (order by row_id)) AS curve FROM rt) SELECT row_id, round(curve, 6) AS curve, round(curve / max(curve) over (order by row_id) - 1, 6) + 0.0 AS drawdown FROM c")
+def _(spark, d):
+    return finance.drawdown(returns(spark, d)).select("row_id", F.round("curve", 6).alias("curve"), r6("drawdown"))
+
+
+@query("turnover", PANEL_SQL + RULE + "x AS (SELECT 1) SELECT row_id, round(abs(position - lag(position) over (order by row_id)), 6) + 0.0 AS turnover FROM pos")
+def _(spark, d):
+    return finance.turnover(positions(spark, d)).select("row_id", r6("turnover"))
+
+
+MODEL = ["M1", "M2", "M4", "P1", "I1", "S1", "V3", "V4"]
+
+
+@query("pc1_score")
+def _(spark, d):
+    return features.causal_pc1(daily_panel(spark, d), MODEL, 126, 126).select("row_id", r6("pc1"))
+
+
+@query("tree_importance")
+def _(spark, d):
+    return validation.tree_importance(spark, daily_panel(spark, d).select("row_id", *MODEL, "forward_returns"), MODEL, "forward_returns")
+
+
+@query("walk_forward_hybrid")
+def _(spark, d):
+    return validation.walk_forward_hybrid(spark, daily_panel(spark, d).select("row_id", *MODEL, "forward_returns"), MODEL, "forward_returns")
+
+
+@query("param_search")
+def _(spark, d):
+    return validation.param_search(spark, daily_panel(spark, d).select("row_id", *MODEL, "forward_returns"), MODEL, "forward_returns")
