@@ -242,6 +242,9 @@ def jaccard_join(spark: SparkSession, df: DataFrame, join: Join = Join(), id_col
             break
         more, kept = g.apart(large, sets)
         found.append(tables.save(more, "more"))
+        kept = tables.save(kept, "kept")
+        if kept.count() > 2 * before:  # the windows take in most of the points: they are equally far from all pivots
+            break
         cut = tables.save(g.open_regions(kept, components(tables, _union([edges, *found]))), "cut")
         if cut.count() > before:
             break
