@@ -27,11 +27,10 @@ class Spaced:
 
     @classmethod
     def split(cls, text: str) -> list[str]:
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        words = text.split()
+        blanks = len(words) - 1
+        if text.count(" ") + text.count("\n") != blanks or len(text) != blanks + sum(map(len, words)):
             return cls.pattern.findall(text)
-        out = text.replace(" ", "\n ").split("\n")
-        if len(out) == 1 or "\n" not in text:
-            return out
         out = []
         for i, line in enumerate(text.split("\n")):
             if i:
