@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bytepairs import MEMO
 from .common import Tables, map_lists
 
 #: More than any count of pieces of one length.
 RANKS = 1 << 44
+#: Stretches whose ids a worker remembers, the first ones met.
+KNOWN = 800_000
 _made: dict[str, "Words"] = {}
 
 
@@ -45,17 +46,24 @@ class Words:
             return [y for x in out for y in ([x.encode()] if x in self.special else x.encode().lower().split())]
         return text.encode().lower().split()
 
+    def look_up(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of stretches. Letters and one full stop or comma after them are pretokens apart, so that the letters alone are looked up."""
+        cut = {w: w[:-1] for w in new if w[-1] in b".," and w[:-1].decode().isalpha()}
+        whole = list({cut.get(w, w) for w in new} - self.known.keys() | {b".", b","})
+        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False))}
+        letters = lambda w: self.known[w] if w in self.known else got[w]
+        return {w: letters(cut[w]) + got[w[-1:]] if w in cut else got[w] for w in new}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.split(t) for t in texts]
         new = {w for p in parts for w in p if w not in self.known}
         if new:
-            new = list(new)
-            found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))}
-            room = MEMO - len(self.known)
+            found = self.look_up(new)
+            room = KNOWN - len(self.known)
             if len(found) <= room:
                 self.known.update(found)
                 return [b"".join(map(self.known.__getitem__, p)) for p in parts]
-            for w in new[: max(0, room)]:
+            for w in list(found)[: max(0, room)]:
                 self.known[w] = found[w]
             known = self.known
             return [b"".join([known.get(w) or found.get(w, b"") for w in p]) for p in parts]
@@ -90,7 +98,7 @@ def pieces(df: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 1, id
 
     kind = df.select(F.col(id_col)).dtypes[0][1]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", local_rank long" * ranks + ", ids array<long>" * with_ids
-    return map_lists(df.select(id_col, text), task, schema, per_task=True)
+    return map_lists(df.select(id_col, text), task, schema, rows=1024, per_task=True)
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
