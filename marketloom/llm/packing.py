@@ -7,20 +7,27 @@ within their length. Ranks come from counts by task and length, so that no task
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .bytepairs import byte_letters
 from .common import Tables, map_lists
 
 #: More than any count of pieces of one length.
 RANKS = 1 << 44
+#: Stands for the end of a word; no UTF-8 text holds it.
+END_BYTE = b"\xff"
 #: Stretches whose ids a worker remembers, the first ones met.
-KNOWN = 800_000
+KNOWN = 300_000
 _made: dict[str, "Words"] = {}
 
 
@@ -37,6 +44,18 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letter = {c: bytes([i]) for i, c in enumerate(byte_letters())}
+        end, vocab = model["end_of_word_suffix"], model["vocab"]
+        raw = lambda t: b"".join(letter[c] for c in t.removesuffix(end)) + (END_BYTE if t.endswith(end) else b"")
+        made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        names = [c + end for c in byte_letters()] + made + byte_letters()
+        ranks = {raw(t): i for i, t in enumerate(names) if raw(t) != END_BYTE}
+        ranks.setdefault(END_BYTE, len(names))
+        self.ids = {r: vocab.get(names[r]) if r < len(names) else None for r in ranks.values()}
+        self.merges = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.marks = {m: array("I", self.tokenizer.encode(m.decode(), add_special_tokens=False).ids).tobytes() for m in (b".", b",")}
 
     def split(self, text: str) -> list[bytes]:
         if any(s in text for s in self.special):
@@ -46,13 +65,33 @@ class Words:
             return [y for x in out for y in ([x.encode()] if x in self.special else x.encode().lower().split())]
         return text.encode().lower().split()
 
+    def letters(self, word: str) -> bytes | None:
+        """Ids of a word of letters alone, a pretoken of its own; None for others, and for sigma, whose lower case Python picks by its place.
+
+        The merges run on bytes, with END_BYTE, which no text holds, for the end of a word: it joins the
+        last byte before any other merge, as the vocabulary's last symbols have the end in them.
+        """
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word).lower() if "\u03a3" not in word else ""
+        if not word.isalpha():
+            return None
+        return array("I", [self.ids[r] for r in self.merges.encode_single_piece(word.encode() + END_BYTE)]).tobytes()
+
     def look_up(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of stretches. Letters and one full stop or comma after them are pretokens apart, so that the letters alone are looked up."""
-        cut = {w: w[:-1] for w in new if w[-1] in b".," and w[:-1].decode().isalpha()}
-        whole = list({cut.get(w, w) for w in new} - self.known.keys() | {b".", b","})
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False))}
-        letters = lambda w: self.known[w] if w in self.known else got[w]
-        return {w: letters(cut[w]) + got[w[-1:]] if w in cut else got[w] for w in new}
+        """Ids of stretches: letters, and letters with a comma or stop after them, by merges; others by the library."""
+        got: dict[bytes, bytes] = {}
+        others = []
+        for w in new:
+            mark = self.marks.get(w[-1:], b"")
+            own = self.letters((w[:-1] if mark else w).decode())
+            if own is None:
+                others.append(w)
+            else:
+                got[w] = own + mark
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
+            got.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)))
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.split(t) for t in texts]
@@ -98,7 +137,7 @@ def pieces(df: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 1, id
 
     kind = df.select(F.col(id_col)).dtypes[0][1]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", local_rank long" * ranks + ", ids array<long>" * with_ids
-    return map_lists(df.select(id_col, text), task, schema, rows=1024, per_task=True)
+    return map_lists(df.select(id_col, text), task, schema, rows=512, per_task=True)
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
