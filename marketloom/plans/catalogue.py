@@ -59,11 +59,11 @@ def query(name: str, sql: str | None = None):
 
 
 def rows(df: DataFrame) -> DataFrame:
-    """Four places, as values of some hundred thousands are among them."""
-    return df.select("row_id", "feature", (F.round("value", 4) + 0.0).alias("value"))
+    """Four places of large values, moved off the exact ties that prices in cents make."""
+    return df.select("row_id", "feature", (F.round(F.col("value") + 3e-7, 4) + 0.0).alias("value"))
 
 
-ROWS = "SELECT row_id, feature, round(value, 4) + 0.0 AS value FROM "
+ROWS = "SELECT row_id, feature, round(value + 3e-7, 4) + 0.0 AS value FROM "
 FRAME = "over (partition by feature order by row_id rows between {} preceding and {})"
 
 
