@@ -159,9 +159,12 @@ class Regions:
         return F.col("inner") * self.join.bottom >= F.col("either") * self.join.top
 
     def open_regions(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Members (region, id) of regions of more than one component, beside their number."""
-        own = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("region", "id", F.coalesce("root", "id").alias("root"))
-        size = own.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high AND n > 2")
+        """Members (region, id) of regions of more than one component, beside their number.
+
+        Two points of which one is the region's pivot have met. In a ring that lacks it, two have not.
+        """
+        own = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("region", "id", "pivot", F.coalesce("root", "id").alias("root"))
+        size = own.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.max("pivot").alias("met")).where("low <> high AND (n > 2 OR NOT met)")
         return own.join(size.select("region", "n"), "region").select("region", "id", "n")
 
     def small(self, members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,7 +185,7 @@ class Regions:
         return dealt.groupBy("region", "p", "q").applyInPandas(lambda b: join_block(b, join), "u long, v long")
 
     def apart(self, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Large regions cut by pivots drawn in them: edges found, and the smaller regions' members (region, id)."""
+        """Large regions cut by pivots drawn in them: edges found, and the smaller regions' members (region, id, pivot)."""
         draw = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id", "region"), "id"))
         # Of each region only its smallest hashes are kept before they are numbered.
         few = members.withColumn("h", F.pmod(F.xxhash64("id", "region"), F.lit(1 << 30))).where(F.col("h") * F.col("n") < F.lit((1 << 30) * 8 * PIVOTS))
@@ -194,7 +197,7 @@ class Regions:
         near = met.groupBy("region", "x").agg(F.min(d).alias("home"))
         kept = met.join(near, ["region", "x"]).where(d <= F.col("home") + F.lit(2 * r + 1e-9))
         edges = met.where(self.linked()).where("x <> p").select(F.col("x").alias("u"), F.col("p").alias("v"))
-        return edges, kept.select(F.xxhash64("region", "p").alias("region"), F.col("x").alias("id"))
+        return edges, kept.select(F.xxhash64("region", "p").alias("region"), F.col("x").alias("id"), (F.col("x") == F.col("p")).alias("pivot"))
 
 
 def jaccard_join(spark: SparkSession, df: DataFrame, join: Join = Join(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,7 +235,7 @@ def jaccard_join(spark: SparkSession, df: DataFrame, join: Join = Join(), id_col
     r = (join.bottom - join.top) / join.bottom * (1 + 1e-9)
     ring = F.floor((F.col("either") - F.col("inner")) / F.col("either") / F.lit(r))
     placed = met.select("p", F.col("x").alias("id"), ring.alias("k")).union(met.select("p", F.col("p").alias("id"), F.lit(0).cast("long").alias("k")).distinct())
-    members = placed.select("id", "p", F.explode(F.array("k", F.col("k") - 1)).alias("k")).where("k >= 0").select(F.xxhash64("p", "k").alias("region"), "id")
+    members = placed.select("id", "p", F.explode(F.array("k", F.col("k") - 1)).alias("k")).where("k >= 0").select(F.xxhash64("p", "k").alias("region"), "id", (F.col("id") == F.col("p")).alias("pivot"))
     left = tables.save(g.open_regions(members, roots), "open")
     found = []
     for _ in range(ROUNDS):

@@ -84,6 +84,22 @@ def test_jaccard_large_regions(spark, monkeypatch):
     assert [got[i] for i in range(60)] == brute_components(texts, 3, 90, 100)[1]
 
 
+def test_jaccard_ring_of_two_points(spark):
+    """Two texts that meet only in the cell of a third, far from both, link all the same."""
+    pool, start = iter(f"v{i}" for i in range(10**6)), ["a", "b"]
+
+    def grow(words, classes):
+        for c in classes:
+            words = [*words, next(w for w in pool if jaccard.shingles(" ".join([*words[-2:], w]), 3)[0] % 2 == c)]
+        return words
+
+    common = grow(start, [0] * 4)
+    pivot, x = grow(common, [1] * 5), grow(common, [1] * 5)
+    texts = [" ".join(w) for w in (pivot, x, grow(x, [1]))]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(3)] == brute_components(texts, 3, 90, 100)[1] == [0, 1, 1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(9, 120), st.integers(0, 12), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]))
 def test_linked_sets_share_a_cell(n, differ, seed, bound):
