@@ -73,6 +73,22 @@ def map_lists(df: DataFrame, fn: Callable[..., tuple], schema: str, rows: int =
     return df.mapInArrow(run, schema)
 
 
+def likely_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 27) -> DataFrame:
+    """Rows of df whose column may be in keys' only column: all that are, and few that are not.
+
+    Spares an exact join's shuffle most rows. The bitmap that it broadcasts has 2 ** bits bits, 16 MB,
+    whatever the input; where keys outgrow it, more rows pass, and the exact join that must follow
+    still decides.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    name = keys.columns[0]
+    own = keys.select(F.shiftright(slot(name), 15).alias("_bucket"), slot(name).bitwiseAND(F.lit(32767)).alias("_bit"))
+    maps = own.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    placed = df.withColumn("_bucket", F.shiftright(slot(column), 15)).withColumn("_bit", slot(column).bitwiseAND(F.lit(32767)).cast("int"))
+    met = placed.join(F.broadcast(maps), "_bucket")
+    return met.where("shiftright(cast(conv(hex(substring(_map, _bit div 8 + 1, 1)), 16, 10) AS int), _bit % 8) & 1 = 1").select(*df.columns)
+
+
 def components(tables: Tables, edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node that each node of edges (u, v) reaches.
 

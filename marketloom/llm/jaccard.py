@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .bytepairs import MEMO
-from .common import Tables, components, map_lists
+from .common import Tables, components, likely_in, map_lists
 
 #: Points of a region that one task joins, pivots drawn in a larger one, and rounds of drawing.
 SMALL, PIVOTS, ROUNDS = 800, 8, 3
@@ -221,11 +221,12 @@ def jaccard_join(spark: SparkSession, df: DataFrame, join: Join = Join(), id_col
     own = rows.join(first.select(F.col("rep").alias("id"), F.col("key").alias("k2")), "id").where("key = k2")
     dealt = tables.save(own.select(F.explode("cells").alias("cell"), "id"), "cells")
     pivots = tables.save(dealt.groupBy("cell").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p <> last").select("cell", "p"), "pivots")
-    pairs = tables.save(dealt.join(pivots, "cell").where("id <> p").select(F.col("id").alias("x"), "p").distinct(), "pairs")
+    pairs = tables.save(likely_in(dealt, "cell", pivots.select("cell")).join(pivots, "cell").where("id <> p").select(F.col("id").alias("x"), "p").distinct(), "pairs")
     tables.drop(dealt)
 
     met_ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("p").alias("id"))).distinct()
-    whole = docs.where("id IS NOT NULL").join(met_ids, "id").select("id", "text")
+    met_ids = tables.save(met_ids, "met-ids")
+    whole = likely_in(docs.where("id IS NOT NULL"), "id", met_ids).join(met_ids, "id").select("id", "text")
     named = map_lists(whole, lambda ids, texts: (ids, [shingles(t, join.words).tobytes() for t in texts]), "id long, set binary")
     sets = tables.save(named.where("octet_length(set) > 0").groupBy("id").agg(F.first("set").alias("set")), "sets")
     met = tables.save(g.measured(pairs, sets), "met")

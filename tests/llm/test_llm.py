@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from marketloom.llm import bpe, brown, chat, jaccard, neardup, packing, pii, quality, tokencount, warc
-from marketloom.llm.common import vocabulary
+from marketloom.llm.common import likely_in, vocabulary
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -112,6 +112,13 @@ def test_linked_sets_share_a_cell(n, differ, seed, bound):
         assert set(jaccard.cells(a, join)) & set(jaccard.cells(b, join))
 
 
+def test_likely_rows(spark):
+    keys = spark.range(-500, 40_000, 7)
+    got = {r[0] for r in likely_in(spark.range(-500, 40_000), "id", keys, 24).select("id").collect()}
+    assert set(range(-500, 40_000, 7)) <= got and len(got) < 6200
+    assert likely_in(keys, "id", keys.limit(0)).count() == 0
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(0)
     centre = rng.normal(size=16)
