@@ -196,6 +196,35 @@ def test_model_is_a_distribution():
             assert into and known > 0 and rest > 0
 
 
+def test_every_training_word_has_a_class(spark):
+    """Words that exchange does not see are placed by their neighbours, held by workers or joined; P sums to one."""
+    rng = np.random.default_rng(5)
+    kinds = [[f"{c}{i}" for i in range(60)] for c in "ab"]  # a word of one kind always follows one of the other
+    weights = 1 / np.arange(1, 61)
+    rows = [(i, " ".join(rng.choice(kinds[j % 2], p=weights / weights.sum()) for j in range(60))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", brown.held_out("doc_id"))
+    seen = {w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split()}
+    scores = []
+    for held in (1 << 19, 30):
+        model, located = brown.fit(brown.Tables(spark), docs, 2, 16, held)
+        got = located.where("not held_out").collect()
+        n_class = {}
+        for r in got:
+            cls = model.classes_of(*brown.opened(r.at, r.found))
+            assert model.rest not in cls  # none is left out
+            for j, c in enumerate(cls[:-1]):
+                n_class.setdefault(j % 2, []).append(int(c))
+        assert len({c for cs in n_class.values() for c in set(cs)}) == 2 and all(len(set(cs)) == 1 for cs in n_class.values())
+        into = model.into[: model.rest] - 1
+        assert into.sum() + len(got) == model.total and model.kinds == len(seen) + 1
+        floor = brown.MIX / (model.total + model.kinds + 1)
+        for before in range(model.rest + 2):
+            known = (1 - brown.MIX) * (model.to[before, : model.rest] @ (into / (into + 1)) + model.to[before, model.end]) + floor * (model.total + model.kinds)
+            assert known + 10 ** model.other[before] == pytest.approx(1)
+        scores.append({r.doc_id: r.score for r in brown.lm_scores(spark, docs, 2, 16, held).collect()})
+    assert scores[0] == pytest.approx(scores[1])
+
+
 def test_bpe_matches_library(spark, docs):
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     lib = tiktoken.Encoding("own", pat_str=tokencount.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
