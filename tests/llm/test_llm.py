@@ -362,6 +362,19 @@ def test_quality_counts(spark, docs):
     assert quality.quality(empty(docs)).count() == 0
 
 
+def test_quality_asks_stop_words_of_every_length(spark):
+    prose_of = {
+        "en": "The harbour was quiet in the morning and the boats lay by the wall, with nets that had been left on deck for days.",
+        "de": "Der Hafen war am Morgen still und die Boote lagen an der Mauer, mit Netzen, die auf dem Deck nicht bewegt wurden, bis es dunkel war.",
+        "fr": "Le port était calme et les bateaux dormaient dans la baie, pour une heure, avant que le vent ne se lève sur la mer et les quais.",
+        "es": "El puerto estaba en calma por la mañana y los barcos dormían en la bahía, con las redes que se dejaron para el día siguiente.",
+    }
+    junk = {n: " ".join(f"q{i}x{i * i}" for i in range(n)) for n in (30, 120, 499, 500, 3000)}
+    rows = [(t, True) for p in prose_of.values() for t in (p, p.upper())] + [(t, False) for t in junk.values()] + [(junk[n] + " the of and", False) for n in (120, 499)]
+    got = quality.quality(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.base_failed, r.kept) for r in got} == {i: (False, keep) for i, (_, keep) in enumerate(rows)}
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
