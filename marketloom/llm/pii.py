@@ -170,10 +170,10 @@ def fold_addresses(tape: Tape) -> None:
 
 def disguised(text: str) -> list[Span]:
     """Source spans of identifiers that only the rewritten text shows."""
-    lower = text.lower() if len(text.lower()) == len(text) else text
+    lower = text.lower()
     strange = not text.isascii() and STRANGE.search(text)
     spelled = sum(w in lower for w in SPELLED) >= 1 and DIGIT_HINT.search(text)
-    address = ("dot" in lower or "@" in text or "(at" in lower or "[at" in lower or "at)" in lower or "at]" in lower) and ADDRESS_HINT.search(text)
+    address = ("dot" in lower or any(c in text for c in "@([{<")) and ADDRESS_HINT.search(text)  # the hint implies what stands before it
     if not (strange or spelled or address):
         return []
     tape = Tape(text)

@@ -329,6 +329,14 @@ def test_pii_disguises_and_clean_text(spark, docs):
     assert pii.redact("a b@c.de f", [("email", 2, 8)]) == "a <EMAIL> f"
 
 
+@pytest.mark.parametrize("sign", [a + b + w + b + z for a, z in ("()", "[]", "{}", "<>") for b in ("", " ") for w in ("at", "AT", "@")])
+def test_pii_bracketed_at_signs(sign):
+    for text in (f"jo{sign}ex.com", f"jo {sign} ex.com", f"jo{sign}ex[.]com", f"jo {sign} ex{{dot}}com"):
+        for around in ("see {} there", "see {} in İzmir"):
+            base, every = pii.spans_of(around.format(text))
+            assert not base and every == [("email", 4, 4 + len(text))]
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 
