@@ -75,9 +75,10 @@ NO_WIDTH = frozenset("­​‌‍⁠﻿")
 #: Digits as English spells them.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
-#: At least four digits spelled in a row; single ones are prose.
 DIGIT_RUN = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD}|[0-9]+)(?:[\x20,-]{{1,2}}(?:{DIGIT_WORD}|[0-9]+))*(?![^\W_])", re.I)
-DIGIT_HINT = re.compile(rf"(?<![^\W_]){DIGIT_WORD}(?:[\x20,-]{{1,2}}(?:{DIGIT_WORD}|[0-9]+)){{3}}", re.I)
+#: Runs with dots and brackets between them, as in addresses and phone numbers.
+STRETCH = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD}|[0-9]+)(?:[\x20,().-]+(?:{DIGIT_WORD}|[0-9]+))+(?![^\W_])", re.I)
+DIGIT_HINT = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD}[\x20,().-]+(?:{DIGIT_WORD}|[0-9])|[0-9]+[\x20,().-]+{DIGIT_WORD})", re.I)
 UNIT = re.compile(rf"{DIGIT_WORD}|[0-9]+", re.I)
 PLUS = re.compile(r"(?<![^\W_])plus[\x20-]$", re.I)
 #: A name, a disguised or plain at sign, then labels with disguised or plain dots between them.
@@ -138,16 +139,39 @@ def fold_look_alikes(tape: Tape) -> None:
         tape.replace(edits)
 
 
+def spelled_stretches(text: str) -> list[re.Match]:
+    """Stretches that hold a spelled digit and the digits that some detector asks for: ten, or four parts with dots, or are spelled four times."""
+    out = []
+    for m in STRETCH.finditer(text):
+        units = UNIT.findall(m[0])
+        spelled = sum(u.lower() in SPELLED for u in units)
+        digits = sum(1 if u.lower() in SPELLED else len(u) for u in units)
+        if spelled and (spelled >= 4 or digits >= 10 or m[0].count(".") >= 3):
+            out.append(m)
+    return out
+
+
 def fold_spelled_digits(tape: Tape) -> None:
-    """Runs of spelled digits, with digits among them, become one number; a `plus` before them its sign."""
+    """Runs of spelled digits, with digits among them, become one number; a `plus` before them its sign.
+
+    Whether that is an identifier is for detect() to say. A run with few spelled digits that touches
+    what the text shows as it is stays, as the words beside a plain number are prose.
+    """
     edits = []
-    for m in DIGIT_RUN.finditer(tape.text):
-        units = list(UNIT.finditer(m[0]))
-        if sum(u[0].lower() in SPELLED for u in units) < 4:
-            continue
-        plus = PLUS.search(tape.text, max(0, m.start() - 6), m.start())
-        digits = "".join(SPELLED.get(u[0].lower(), u[0]) for u in units)
-        edits.append((plus.start() if plus else m.start(), m.end(), "+" * bool(plus) + digits))
+    plain = None
+    for s in spelled_stretches(tape.text):
+        for m in DIGIT_RUN.finditer(tape.text, s.start(), s.end()):
+            units = list(UNIT.finditer(m[0]))
+            spelled = sum(u[0].lower() in SPELLED for u in units)
+            if not spelled:
+                continue
+            if spelled < 4:
+                plain = detect(tape.text) if plain is None else plain
+                if any(a < m.end() and m.start() < b for _, a, b in plain):
+                    continue
+            plus = PLUS.search(tape.text, max(0, m.start() - 6), m.start())
+            digits = "".join(SPELLED.get(u[0].lower(), u[0]) for u in units)
+            edits.append((plus.start() if plus else m.start(), m.end(), "+" * bool(plus) + digits))
     if edits:
         tape.replace(edits)
 
@@ -172,7 +196,7 @@ def disguised(text: str) -> list[Span]:
     """Source spans of identifiers that only the rewritten text shows."""
     lower = text.lower()
     strange = not text.isascii() and STRANGE.search(text)
-    spelled = sum(w in lower for w in SPELLED) >= 1 and DIGIT_HINT.search(text)
+    spelled = any(w in lower for w in SPELLED) and DIGIT_HINT.search(text) and spelled_stretches(text)
     address = ("dot" in lower or any(c in text for c in "@([{<")) and ADDRESS_HINT.search(text)  # the hint implies what stands before it
     if not (strange or spelled or address):
         return []

@@ -337,6 +337,18 @@ def test_pii_bracketed_at_signs(sign):
             assert not base and every == [("email", 4, 4 + len(text))]
 
 
+def test_pii_digits_spelled_in_part():
+    cases = {"+1 four one five 555 0199": "phone", "+1 (four one five) 555-0199": "phone", "plus 1 415 555 01 nine nine": "phone", "4111 1111 1111 111 one": "card",
+             "4111-1111-one one-11 1111": "card", "192.168.one.1": "ip", "one nine two.168.0.seven": "ip"}
+    for text, kind in cases.items():
+        base, every = pii.spans_of(f"see {text} there")
+        assert not base and every == [(kind, 4, 4 + len(text))], text
+    for text in ("call +1 415 555 0199 one of us will answer", "4111 1111 1111 1111 two times", "10.0.0.1 one", "oh two.x@ex.com and 5551234567, one"):
+        base, every = pii.spans_of(text)
+        assert base and every == base
+    assert pii.spans_of("in 1999 one of 12 or two. one. 3 of 4, six") == ([], [])
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 
