@@ -100,7 +100,7 @@ def encode_words(words: Column, ranks: Ranks) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of the stretches of docs' texts, added up in tasks first."""
+    """(word, n) of the stretches of docs' texts that Spark folds, of up to FOLDED bytes, added up in tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -116,7 +116,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     seen = Counter()
         yield passed_on()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long").where(F.octet_length("word") <= FOLDED).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Codec:

@@ -237,6 +237,14 @@ def test_bpe_matches_library(spark, docs):
     assert bpe.bpe(spark, empty(docs), path).count() == 0
 
 
+def test_bpe_long_words_of_many_bytes(spark):
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=tokencount.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    texts = ["数据" * 20, "слово" * 8, "ภาษา" * 16, "x" * 64, "é" * 32, "é" * 33, "ok " + "数" * 21 + " " + "数" * 22]
+    got = bpe.bpe(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: lib.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_token_counts_match_library(spark, docs):
     lib = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     for r in tokencount.token_counts(docs, vocabulary("byte_bpe_50k.json")).collect():
