@@ -96,3 +96,25 @@ def test_component_is_causal_and_matches_svd(spark):
     v = np.linalg.svd(t - t.mean(0))[2][0]
     clipped = np.clip(x[40], t.min(0), t.max(0))
     assert abs(got[40]) == pytest.approx(abs((clipped - t.mean(0)) @ v))
+
+
+def test_param_search_validates_each_fold(spark):
+    rng = np.random.default_rng(0)
+    x, n = rng.normal(size=(120, 2)), 120
+    pdf = pd.DataFrame({"row_id": range(n), "a": x[:, 0], "b": x[:, 1], "y": x[:, 0] + rng.normal(size=n)})
+    got = validation.param_search(spark, spark.createDataFrame(pdf), ["a", "b"], "y", trials=2, train=40, val=5, step=5).collect()
+    assert len(got) == 2 and {r.folds for r in got} == {16}
+    for r in got:
+        ratios = []
+        for at in range(40, n - 4, 5):
+            z, target = validation._matrix(pdf[(pdf.row_id >= at - 40) & (pdf.row_id < at + 5)], ["a", "b"], "y")
+            err = target[40:] - validation.Boosted(r.trees, r.rate, r.depth).fit(z[:40], target[:40]).predict(z[40:])
+            ratios.append((err**2).mean() / (target[40:] ** 2).mean())
+        assert r.ratio == pytest.approx(np.mean(ratios[-10:])) and r["mean"] == pytest.approx(np.mean(ratios))
+
+
+def test_param_search_defaults_are_the_folds_of_rolling_folds():
+    import inspect
+
+    own, folds = (inspect.signature(f).parameters for f in (validation.param_search, validation.rolling_folds))
+    assert all(own[k].default == folds[k].default for k in ("train", "val", "step")) and own["trials"].default == 60
