@@ -135,6 +135,18 @@ def test_embeddings_against_all_pairs(spark):
     assert neardup.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_embeddings_across_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 10)  # tens of cells, with visits across their borders
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    vectors = np.array([c + 0.16 * rng.normal(size=16) for c in centres for _ in range(30)])
+    got = neardup.near_duplicates(spark, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()
+    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert link.sum() > 1000 and 0.9 * link.sum() <= sum(r.n_links for r in got) <= link.sum()
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (5, "u\r\n", "same"), (3, "v", None), (4, "v", ""), (6, None, "é" * 9000), (None, "w", "null id"), (8, "x", "twice"), (8, "x", "twice")]
     got = [r.asDict() for r in warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
