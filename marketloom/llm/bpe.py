@@ -3,9 +3,9 @@
 A word's bytes are an array of hexadecimal strings; a merge joins two of them, and a pair's rank is
 that of the joined bytes, looked up in a literal map which is cut into small ones so that a look-up
 is short. The most common words are folded once, on the cluster, and workers hold their ids. The words
-beyond that bound, a few in a hundred tokens, are merged by a heap where they stand: folding them took
-about 200 microseconds a word, over twice the CPU seconds allowed (see README). Nothing is shuffled
-but the counts of distinct words.
+beyond that bound, a few in a hundred tokens, are merged where they stand, pair by pair or, if long, by
+a heap: folding each of them in Spark takes more CPU seconds than allowed (see README). Nothing is
+shuffled but the counts of distinct words.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,9 +27,6 @@ from .tokencount import PATTERN, Spaced
 
 #: Words that workers hold, distinct words that a task adds up, bytes of a word that is folded in Spark, small maps.
 HELD, ADDED, FOLDED, MAPS = 1 << 18, 400_000, 64, 8192
-#: The pattern for Java, whose \s is ASCII's unless it is spelled out: a fixed value, the Unicode blanks.
-BLANK = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-JAVA_PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{BLANK}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)", rf"[{BLANK}]+(?![^{BLANK}])").replace(r"\s+", f"[{BLANK}]+")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -92,15 +88,13 @@ def fold(maps: Column, word: Column) -> Column:
     return let(F.hex(F.encode(word, "utf-8")), lambda digits: let(split(digits), run))
 
 
-def encode_words(words: Column, ranks: Ranks) -> Column:
-    """For each string its ids: those of the pattern's matches in it, one after another. A null for each longer than FOLDED bytes."""
-    pretokens = lambda w: F.regexp_extract_all(w, F.lit(JAVA_PATTERN), F.lit(0))
-    ids = lambda maps, w: F.flatten(F.transform(pretokens(w), lambda p: fold(maps, p)))
-    return let(ranks.literal, lambda maps: F.transform(words, lambda w: F.when(F.octet_length(w) <= FOLDED, ids(maps, w))))
+def encode_words(pretokens: Column, ranks: Ranks) -> Column:
+    """Ids of the pretokens in an array, one after another."""
+    return let(ranks.literal, lambda maps: F.flatten(F.transform(pretokens, lambda p: fold(maps, p))))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of the stretches of docs' texts that Spark folds, of up to FOLDED bytes, added up in tasks first."""
+    """(word, n) of the stretches of docs' texts that Spark may fold, of up to FOLDED bytes, added up in tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -120,30 +114,61 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Codec:
-    """What a worker holds: ids of common words as little-endian 32-bit bytes, and each id's bytes."""
+    """What a worker holds: the ids of common words as decimal text, and the bytes that such a run of ids stands for."""
 
     def __init__(self, ranks: dict[bytes, int], words: list[str], ids: list[list[int]]):
         self.ranks = ranks
-        self.known = {w: np.array(i, "<u4").tobytes() for w, i in zip(words, ids)}
         self.pieces = [b""] * (max(ranks.values(), default=0) + 1)
         for token, rank in ranks.items():
             self.pieces[rank] = token
         self.text = [str(i) for i in range(len(self.pieces))]
         self.bytes = [bytes([i]) for i in range(256)]
-
-    def merged(self, word: str) -> bytes:
-        """Ids of a word that isn't held, merged by a heap."""
-        rank = lambda a, b: (r, a + b) if (r := self.ranks.get(a + b)) is not None else None
-        out = [self.ranks[s] for p in Spaced.pattern.findall(word) for s in merge([self.bytes[x] for x in p.encode()], rank)]
-        return np.array(out, "<u4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
+        self.known: dict[str, str] = {}
+        self.runs: dict[str, bytes] = {}
+        for w, own in zip(words, ids):
+            run = self.known[w] = ",".join(map(self.text.__getitem__, own))
+            self.runs[run] = self.decode(run)
+
+    def merged(self, word: str) -> str:
+        """Ids of a word that isn't held: the lowest-ranked pair is joined, leftmost first, until none has a rank."""
+        ranks, out = self.ranks, []
+        for p in Spaced.pattern.findall(word):
+            raw = p.encode()
+            if (whole := ranks.get(raw)) is not None:
+                out.append(self.text[whole])
+                continue
+            parts = [self.bytes[x] for x in raw]
+            if len(parts) > FOLDED:
+                parts = merge(parts, lambda a, b: (r, a + b) if (r := ranks.get(a + b)) is not None else None)
+            else:
+                self.join(parts)
+            out += [self.text[ranks[x]] for x in parts]
+        return ",".join(out)
+
+    def join(self, parts: list[bytes]) -> None:
+        none, get = len(self.pieces), self.ranks.get
+        near = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while near and (low := min(near)) != none:
+            i = near.index(low)
+            new = parts[i] = parts[i] + parts.pop(i + 1)
+            del near[i]
+            if i < len(near):
+                near[i] = get(new + parts[i + 1], none)
+            if i:
+                near[i - 1] = get(parts[i - 1] + new, none)
+
+    def encode(self, text: str) -> list[str]:
+        """A run of ids for each stretch of the text."""
         words = Spaced.split(text) if text else []
-        ids = list(map(self.known.get, words))
-        return np.frombuffer(b"".join([self.merged(w) if i is None else i for w, i in zip(words, ids)]), "<u4")
+        runs = list(map(self.known.get, words))
+        return [self.merged(w) if r is None else r for w, r in zip(words, runs)] if None in runs else runs
+
+    def decode(self, run: str) -> bytes:
+        return b"".join([self.pieces[int(i)] for i in run.split(",")]) if run else b""
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+    def decode_runs(self, runs: list[str]) -> bytes:
+        found = list(map(self.runs.get, runs))
+        return b"".join([self.decode(r) if b is None else b for r, b in zip(runs, found)] if None in found else found)
 
 
 def bpe(spark: SparkSession, df: DataFrame, ranks_path: str, held: int = HELD, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -161,16 +186,17 @@ def bpe(spark: SparkSession, df: DataFrame, ranks_path: str, held: int = HELD, i
     over = counts.agg(*(F.count(F.when(F.col("n") >= b, 1)) for b in bounds)).first()
     bound = next(b for b, n in zip(bounds, over) if n <= held)
     common = counts.where(F.col("n") >= bound).select("word").repartition(4 * spark.sparkContext.defaultParallelism)
-    words = common.select("word", F.element_at(encode_words(F.array("word"), ranks), 1).alias("ids")).toArrow()
+    split = map_lists(common, lambda words: (words, [Spaced.pattern.findall(w) for w in words]), "word string, pretokens array<string>", rows=4096)
+    words = split.select("word", encode_words(F.col("pretokens"), ranks).alias("ids")).toArrow()
     sent = spark.sparkContext.broadcast(Codec(table, words["word"].to_pylist(), words["ids"].to_pylist()))
     kind = docs.dtypes[0][1]
 
     def finish(keys: list, texts: list) -> tuple:
         codec, out = sent.value, [[] for _ in range(6)]
         for key, t in zip(keys, texts):
-            ids = codec.encode(t).tolist()
-            back = codec.decode(ids)
-            row = key, len(ids), hashlib.sha256(",".join(map(codec.text.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), ids, back
+            runs = codec.encode(t)
+            ids, back = ",".join(runs), codec.decode_runs(runs)
+            row = key, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), [int(i) for i in ids.split(",")] if with_ids and ids else [], back
             for col, v in zip(out, row):
                 col.append(v)
         return tuple(out[: 6 if with_ids else 4])
