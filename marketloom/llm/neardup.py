@@ -1,25 +1,34 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products, one kept a group.
 
-Equal vectors are one entry with a count. Each entry lives in the cell of its nearest centre and visits
-cells whose border is near: a pair at the threshold differs by a chord, of which a random direction such
-as the one across a border sees its share by the root of the dimension. Within `reach` such shares of a
-border an entry visits the other cell. README has the recall measured against all pairs.
+Equal vectors are one entry with a count. Vectors of one length begin as one cell. A cell that is too
+large is parted by centres fitted on a bounded sample of it; an entry lives in the cell of its nearest
+centre and visits cells whose border is near: a pair at the threshold differs by a chord, of which a
+random direction such as the one across a border sees its share by the root of the dimension. Within
+`reach` such shares of a border an entry visits the other cell. Large cells so made are parted again, so
+that cells grow with the data and not in size. Entries at home in a cell are compared with each other and
+with its visitors, a pair of blocks a task; visitors meet where one of them is at home. README has the
+recall measured against all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Tables, components, map_lists
 
-#: Vectors that the centres are fitted on at most, vectors a cell is meant for, cells at most, vectors a block.
-FIT, CELL, CELLS, BLOCK, REACH = 20_000, 800, 1024, 2048, 4.0
+#: Vectors that a cell's centres are fitted on (the expected number), centres that part a cell at most, and entries at home that a cell is meant for.
+FIT, CENTRES, CELL = 20_000, 256, 800
+#: Entries at home in a block, visitors in a block, entries that one task places, levels of parting, chord shares past a border.
+BLOCK, VISITORS, DEALT, LEVELS, REACH = 2048, 8192, 4096, 8, 4.0
+#: Entries whose rows have no id are numbered downwards from here.
+LAST = (1 << 63) - 1
 
 
 def unit(v: list | None) -> np.ndarray | None:
@@ -46,54 +55,136 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def cells_of(x: np.ndarray, centres: np.ndarray, apart: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector's home, and a matrix of the cells that it visits: those of a lower number, so that a pair of two homes meets once."""
+def places(x: np.ndarray, at_home: np.ndarray, centres: np.ndarray, reach: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(entries, cells, at home there). Of two homes near their border, the one of the higher number visits; who visits already goes to every cell near."""
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+    margin = min(math.sin(math.acos(threshold)), reach * math.sqrt(2 - 2 * threshold) / math.sqrt(x.shape[1]))
     at = x @ centres.T
     home = at.argmax(1)
     near = at[np.arange(len(x)), home][:, None] - at <= margin * apart[home]
-    return home, near & (np.arange(len(centres))[None, :] < home[:, None])
+    number = np.arange(len(centres))[None, :]
+    near &= (number < home[:, None]) | ~at_home[:, None]
+    near[np.arange(len(x)), home] = False
+    yield np.flatnonzero(at_home), home[at_home], True
+    yield np.flatnonzero(~at_home), home[~at_home], False
+    yield *np.nonzero(near), False
 
 
 def compare(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one block pair: counts for each entry, and edges enough to connect what it links.
+    """Links between a block of homes and another block, or within it: counts for each entry, and edges enough to connect what it links.
 
     All pairs are worked out here, in slices, and none is given out: an entry's edge leads to the
-    smallest entry that its links reach within the block.
+    smallest entry that its links reach within the two blocks.
     """
+    block = block.sort_values(["side", "id"], kind="stable")
     x = np.frombuffer(b"".join(block["unit"]), dtype=np.float64).reshape(len(block), -1)
-    ids, w, home, side = (block[c].to_numpy() for c in ("id", "copies", "home", "side"))
-    order = np.argsort(ids, kind="stable")
-    x, ids, w, home, side = x[order], ids[order], w[order], home[order], side[order]
-    same = bool(block["p"].iloc[0] == block["q"].iloc[0])
-    n, counts, label = len(ids), np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-    linked = np.zeros((n, n), dtype=bool)
-    for i in range(0, n, 512):
-        s = x[i : i + 512] @ x.T >= threshold
-        s &= home[i : i + 512, None] | home[None, :]
-        if not same:
-            s &= side[i : i + 512, None] != side[None, :]
-        linked[i : i + 512] = s
-    linked &= linked.T
-    np.fill_diagonal(linked, False)
-    rows = np.flatnonzero(linked.any(1))
-    if not len(rows):
-        return pd.DataFrame({"id": ids[:0], "n": counts[:0], "other": ids[:0]})
-    linked, ids, w = linked[np.ix_(rows, rows)], ids[rows], w[rows]
-    counts, label = linked @ w, np.arange(len(rows))
-    while True:
-        least = np.minimum(label, np.where(linked, label[None, :], len(rows)).min(1))
-        if (least == label).all():
-            break
-        label = least[least]
-    return pd.DataFrame({"id": ids, "n": counts, "other": ids[label]})
+    ids, w = block["id"].to_numpy(), block["copies"].to_numpy()
+    many = int((block["side"] == 0).sum())
+    own = block["p"].iloc[0] == block["q"].iloc[0]
+    y, first = (x, 0) if own else (x[many:], many)
+    counts, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+    found = []
+    for i in range(0, many, 512):
+        u, v = np.nonzero(x[i : min(i + 512, many)] @ y.T >= threshold)
+        u, v = u + i, v + first
+        if own:
+            u, v = u[u < v], v[u < v]
+        np.add.at(counts, u, w[v])
+        np.add.at(counts, v, w[u])
+        while len(u):  # links whose ends are not yet known to meet
+            low = np.minimum(label[u], label[v])
+            np.minimum.at(label, label[u], low)
+            np.minimum.at(label, label[v], low)
+            while (label[label] != label).any():
+                label = label[label]
+            open_ = label[u] != label[v]
+            u, v = u[open_], v[open_]
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    rows = np.flatnonzero(counts)
+    return pd.DataFrame({"id": ids[rows], "n": counts[rows], "other": least[label[rows]]})
+
+
+class Cells:
+    """Tables of places (cell, id, copies, home, unit), parted until cells are small."""
+
+    def __init__(self, tables: Tables, threshold: float, reach: float):
+        self.tables, self.threshold, self.reach = tables, threshold, reach
+
+    def part(self, large: DataFrame, level: int) -> DataFrame:
+        """large, whose cells have n homes each, in the cells that centres of their own make; was is n before."""
+        threshold, reach = self.threshold, self.reach
+        kinds = "cell long, part int, was long, id long, copies long, home boolean, unit binary"
+
+        def fit(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("id")
+            x = np.frombuffer(b"".join(group["unit"]), dtype=np.float64).reshape(len(group), -1)
+            k = min(len(x), CENTRES, max(2, int(group["n"].iloc[0]) // CELL))
+            return pd.DataFrame({"cell": group["cell"].iloc[:1], "centres": [fit_centres(x, k).tobytes()]})
+
+        sample = large.where("home").where(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < FIT)
+        fitted = sample.select("cell", "id", "n", "unit").groupBy("cell").applyInPandas(fit, "cell long, centres binary")
+        fitted = self.tables.save(fitted, "centres")
+        salts = F.ceil(F.col("n") / DEALT).cast("long")
+        spread = fitted.join(large.groupBy("cell").agg(F.max("n").alias("n")), "cell").select("cell", "centres", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+
+        def place(members: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+            parts = [pd.DataFrame(columns=["cell", "part", "was", "id", "copies", "home", "unit"])]
+            for at in range(0, len(members) if len(centres) else 0, DEALT):
+                some = members.iloc[at : at + DEALT].rename(columns={"n": "was"})
+                x = np.frombuffer(b"".join(some["unit"]), dtype=np.float64).reshape(len(some), -1)
+                c = np.frombuffer(centres["centres"].iloc[0], dtype=np.float64).reshape(-1, x.shape[1])
+                parts += [some.iloc[rows].assign(part=to, home=home)[list(parts[0])] for rows, to, home in places(x, some["home"].to_numpy(), c, reach, threshold)]
+            return pd.concat(parts[1:] or parts)
+
+        salted = large.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(~level)), salts))
+        placed = salted.groupBy("cell", "salt").cogroup(spread.groupBy("cell", "salt")).applyInPandas(place, kinds)
+        return placed.withColumn("cell", F.xxhash64("cell", "part", F.lit(level))).drop("part")
+
+    def parted(self, entries: DataFrame) -> DataFrame:
+        """Places of entries (id, copies, unit) in cells that are small, or that parting does not make smaller, with n, the homes of the cell."""
+        left = entries.select(F.octet_length("unit").cast("long").alias("cell"), F.lit(None).cast("long").alias("was"), "id", "copies", F.lit(True).alias("home"), "unit")
+        done = None
+        for level in range(LEVELS + 1):
+            sizes = left.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("n"), F.max("was").alias("least"))
+            sizes = self.tables.save(sizes.select("cell", "n", ((F.col("n") > 2 * CELL) & F.coalesce(F.col("n") < 0.9 * F.col("least"), F.lit(True)) & F.lit(level < LEVELS)).alias("large")).where("n > 0"), "sizes")
+            sized = left.join(sizes, "cell")
+            small = sized.where("NOT large").select("cell", "n", "id", "copies", "home", "unit")
+            done = small if done is None else done.union(small)
+            if not sizes.where("large").limit(1).count():
+                return done
+            left = self.tables.save(self.part(sized.where("large").drop("was", "large"), level), "cells")
+
+    def links(self, placed: DataFrame) -> DataFrame:
+        """(id, n, other) of pairs of blocks: homes go to each pair of home blocks that theirs is in and to each block of visitors, visitors to each home block."""
+        threshold = self.threshold
+
+        def deal(cells: list, homes: list, visitors: list, ids: list, copies: list, home: list, raw: list) -> tuple:
+            out: list[list] = [[] for _ in range(7)]
+            for c, n, m, i, k, h, r in zip(cells, homes, visitors, ids, copies, home, raw):
+                a, b = -(-n // BLOCK), -(-m // VISITORS)
+                pick = int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=8).digest(), "little")
+                own = pick % a if h else a + pick % b
+                for other in range(a + b) if h else range(a):
+                    p, q = min(own, other), max(own, other)
+                    for col, y in zip(out, (c, p, q, int(own != p), i, k, r)):
+                        col.append(y)
+            return tuple(out)
+
+        visitors = placed.where("NOT home").groupBy("cell").agg(F.count("*").alias("m"))
+        sized = placed.join(visitors, "cell", "left").select("cell", "n", F.coalesce("m", F.lit(0)).alias("m"), "id", "copies", "home", "unit")
+        dealt = map_lists(sized, deal, "cell long, p int, q int, side int, id long, copies long, unit binary", rows=512)
+        return dealt.groupBy("cell", "p", "q").applyInPandas(lambda b: compare(b, threshold), "id long, n long, other long")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.95, reach: float = REACH, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) a row of df.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-    those of another length than most of the sample's. Repeated rows are copies of each other. A null
-    id is no component's smallest; alone it has a null component and isn't kept.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
+    of different lengths do not link. Repeated rows are copies of each other. A null id is no component's
+    smallest; where all of a component's are null so is its id, and none of it is kept. Of different
+    vectors that share their smallest id each has the links of all. Ids within 2 ** 50 of the largest
+    long are reserved.
     """
     tables = Tables(spark)
 
@@ -104,56 +195,21 @@ def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.95,
 
     rows = map_lists(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), units, "id long, key binary, unit binary", rows=1024)
     rows = tables.save(rows, "vectors")
-    entries = tables.save(rows.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "entries")
-    total = entries.count()
-    fitted = entries.orderBy(F.xxhash64("key"), "key").limit(FIT).select("unit").collect()
-    width = max(Counter(len(r["unit"]) for r in fitted).items(), key=lambda x: (x[1], x[0]), default=(0, 0))[0]
-    sample = np.array([np.frombuffer(r["unit"], dtype=np.float64) for r in fitted if len(r["unit"]) == width])
-    if not len(sample):
-        found = spark.createDataFrame([], "id long, n_links long, root long")
-    else:
-        centres = fit_centres(sample, min(len(sample), CELLS, max(1, total // CELL)))
-        apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
-        margin = min(math.sin(math.acos(threshold)), reach * math.sqrt(2 - 2 * threshold) / math.sqrt(width / 8))  # width is in bytes
-
-        def visit(ids: list, copies: list, raw: list) -> tuple:
-            out: list[list] = [[] for _ in range(5)]
-            own = [i for i, r in enumerate(raw) if len(r) == width]
-            x = np.array([np.frombuffer(raw[i], dtype=np.float64) for i in own]).reshape(len(own), -1)
-            if own:
-                home, visits = cells_of(x, centres, apart, margin)
-                for i, h, v in zip(own, home.tolist(), visits):
-                    for c in [h, *np.flatnonzero(v).tolist()]:
-                        for col, y in zip(out, (c, ids[i], copies[i], c == h, raw[i])):
-                            col.append(y)
-            return tuple(out)
-
-        met = tables.save(map_lists(entries.select("id", "copies", "unit"), visit, "cell int, id long, copies long, home boolean, unit binary", rows=512), "cells")
-        sizes = {r["cell"]: r["n"] for r in met.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-
-        def blocks(cells: list, *rest: list) -> tuple:
-            out: list[list] = [[] for _ in range(8)]
-            for c, i, copies, home, raw in zip(cells, *rest):
-                many = -(-sizes[c] // BLOCK)
-                own = int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=4).digest(), "little") % many
-                for other in range(many):
-                    for col, y in zip(out, (c, min(own, other), max(own, other), own, i, copies, home, raw)):
-                        col.append(y)
-            return tuple(out)
-
-        dealt = map_lists(met, blocks, "cell int, p int, q int, side int, id long, copies long, home boolean, unit binary", rows=512)
-        links = dealt.groupBy("cell", "p", "q").applyInPandas(lambda b: compare(b, threshold), "id long, n long, other long")
-        links = tables.save(links, "links")
-        roots = components(tables, links.where("id <> other").select(F.col("id").alias("u"), F.col("other").alias("v")))
-        counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
-        found = counts.join(roots, counts["id"] == roots["node"], "left").select("id", "n_links", "root")
-    by_key = entries.select("key", F.col("id").alias("entry"), "copies").join(found, F.col("entry") == F.col("id"), "left")
-    by_key = tables.save(by_key.select("key", "copies", F.coalesce("n_links", F.lit(0)).alias("n"), F.coalesce("root", "entry").alias("root")), "groups")
-    out = rows.select("id", "key").join(by_key, "key", "left")
-    alone = F.col("copies").isNull()
+    keys = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    entries = tables.save(keys.withColumn("id", F.coalesce("id", F.lit(LAST) - F.monotonically_increasing_id())), "entries")
+    cells = Cells(tables, threshold, reach)
+    links = tables.save(cells.links(cells.parted(entries)), "links")
+    roots = components(tables, links.where("id <> other").select(F.col("id").alias("u"), F.col("other").alias("v")))
+    counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
+    by_key = entries.select("key", F.col("id").alias("entry"), "copies").join(counts, F.col("entry") == counts["id"], "left").join(roots, F.col("entry") == roots["node"], "left")
+    root = F.coalesce("root", "entry")
+    by_key = by_key.select("key", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.when(root <= LAST - (1 << 50), root).alias("root"))
+    by_key = tables.save(by_key, "groups")
+    out = rows.select("id", F.col("key").alias("own")).join(by_key, F.col("own") == F.col("key"), "left")
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("root"))
     return out.select(
         F.col("id").alias("vec_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n") + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.coalesce("root", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("root", "id"), F.lit(False)).alias("kept"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )

@@ -119,32 +119,58 @@ def test_likely_rows(spark):
     assert likely_in(keys, "id", keys.limit(0)).count() == 0
 
 
+def embedded(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [None if c is None else float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+
+
+def brute_cosines(rows, threshold=0.95):
+    """(links, component, kept) a row: all pairs, component ids by repeated merging."""
+    units = [neardup.unit(None if v is None else [None if c is None else float(c) for c in v]) for _, v in rows]
+    n, root = [0] * len(rows), list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = units[a], units[b]
+        if x is not None and y is not None and len(x) == len(y) and float(x @ y) >= threshold:
+            n[a], n[b] = n[a] + 1, n[b] + 1
+            root = [root[a] if r == root[b] else r for r in root]
+    least = {r: min((rows[j][0] for j in range(len(rows)) if root[j] == r and rows[j][0] is not None), default=None) for r in set(root)}
+    return [(n[j], least[root[j]], rows[j][0] is not None and rows[j][0] == least[root[j]]) for j in range(len(rows))]
+
+
 def test_embeddings_against_all_pairs(spark):
     rng = np.random.default_rng(0)
-    centre = rng.normal(size=16)
+    centre, twin = rng.normal(size=16), rng.normal(size=16)
     vectors = [rng.normal(size=16) for _ in range(150)] + [centre + 0.12 * rng.normal(size=16) for _ in range(60)] + [centre] * 5
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0]), (None, [1.0] * 16)]
-    got = {r.vec_id: r for r in neardup.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    x = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
-    link = x @ x.T >= 0.95
-    np.fill_diagonal(link, False)
-    found = sum(got[i].n_links for i in range(len(vectors)))
-    assert found <= link.sum() and found >= 0.9 * link.sum()
-    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 905))
-    assert got[None].component_id is None and not got[None].kept
-    assert neardup.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
-
-
-def test_embeddings_across_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CELL", 10)  # tens of cells, with visits across their borders
+    rows = [*enumerate(vectors), (900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0]), (905, []), (906, [float("inf")] * 16),
+            (907, [1, 2, 3]), (908, [1, 2, 3.01]), (909, [3, -2, 1]), (None, centre), (None, twin), (None, 2 * twin), (910, [2.0])]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(spark, embedded(spark, rows)).collect()), key=str)
+    assert got == sorted(((i, *w) for (i, _), w in zip(rows, brute_cosines(rows))), key=str)
+    assert neardup.near_duplicates(spark, embedded(spark, [])).count() == 0
+
+
+def test_embeddings_of_rows_that_share_an_id(spark):
+    rows = [(1, [1, 0]), (1, [1, 0]), (1, [0, 1]), (2, [0, 1]), (3, [1, 0.001])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in neardup.near_duplicates(spark, embedded(spark, rows)).collect())
+    assert got == [(1, 2, 1)] * 3 + [(2, 2, 1), (3, 2, 1)]
+
+
+@pytest.mark.parametrize(("cell", "block"), [(10, 2048), (10, 7), (60, 16)])
+def test_embeddings_across_many_cells(spark, monkeypatch, cell, block):
+    for name, value in {"CELL": cell, "BLOCK": block, "VISITORS": 3 * block, "DEALT": 50, "CENTRES": 8}.items():  # parted at two levels and more, with visits across borders
+        monkeypatch.setattr(neardup, name, value)
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(12, 16))
-    vectors = np.array([c + 0.16 * rng.normal(size=16) for c in centres for _ in range(30)])
-    got = neardup.near_duplicates(spark, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()
-    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    link = x @ x.T >= 0.95
-    np.fill_diagonal(link, False)
-    assert link.sum() > 1000 and 0.9 * link.sum() <= sum(r.n_links for r in got) <= link.sum()
+    centres = {n: rng.normal(size=(12, n)) for n in (16, 24)}
+    rows = list(enumerate(c + 0.18 * rng.normal(size=n) for n in centres for c in centres[n] for _ in range(30)))
+    rows += [(1000 + i, centres[16][0] + 1e-4 * rng.normal(size=16)) for i in range(90)]  # a cell that centres do not part
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark, embedded(spark, rows)).collect()}
+    want = brute_cosines(rows)
+    links, found = sum(n for n, _, _ in want), sum(r.n_links for r in got.values())
+    assert 0.9 * links <= found <= links and all(got[i].n_links <= n for (i, _), (n, _, _) in zip(rows, want))
+    assert sum(got[i].component_id == c for (i, _), (_, c, _) in zip(rows, want)) >= 0.9 * len(rows)
+    tables = neardup.Tables(spark)
+    entries = tables.save(embedded(spark, rows).selectExpr("vec_id id", "1L copies", "embedding").toDF("id", "copies", "v"), "v")
+    units = neardup.map_lists(entries, lambda i, c, v: (i, c, [neardup.unit(x).tobytes() for x in v]), "id long, copies long, unit binary")
+    placed = neardup.Cells(tables, 0.95, neardup.REACH).parted(tables.save(units, "units"))
+    assert placed.where("home").count() == len(rows) and placed.select("cell").distinct().count() >= 8
 
 
 def test_warc_round_trip(spark):
