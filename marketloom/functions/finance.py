@@ -42,30 +42,46 @@ def strategy_returns(df: DataFrame, position: str = "position") -> DataFrame:
     return df.withColumn("ret", rf * (1 - p) + p * fr).withColumn("ex", F.col("ret") - rf).withColumn("mex", fr - rf)
 
 
-def adjusted_sharpe(df: DataFrame, position: str = "position", days: int = 252) -> DataFrame:
+def adjusted_sharpe(df: DataFrame, position: str = "position", days: int = 252, mode: str = "position", k: float = 2.0) -> DataFrame:
     """One row: the Sharpe ratio with its penalties for volatility over 1.2 of the market's and for falling behind it.
 
-    Standard deviations are of the population. A strategy or market without variance scores 0.
+    mode tells what the position column holds, as in to_position. Standard deviations are of the
+    population; volatilities are a year's, in hundredths. A table without rows, and a strategy or market
+    without variance, scores 0.
     """
     n, year = F.count("*"), float(days) ** 0.5
-    r = strategy_returns(df, position).agg(
+    r = strategy_returns(df.withColumn(position, to_position(F.col(position), mode, k)), position).agg(
         n.alias("n"), F.product(1 + F.col("ex")).alias("se"), F.product(1 + F.col("mex")).alias("me"), F.stddev_pop("ret").alias("sd"), F.stddev_pop("forward_returns").alias("md")
     )
-    r = r.select("n", "sd", "md", (F.pow("se", 1 / F.col("n")) - 1).alias("sg"), (F.pow("me", 1 / F.col("n")) - 1).alias("mg"))
-    r = r.withColumn("sharpe", F.when(F.col("sd") > 0, F.col("sg") / F.col("sd") * year).otherwise(0.0))
+    each = F.try_divide(F.lit(1.0), F.col("n"))
+    r = r.select("n", "sd", "md", (F.pow("se", each) - 1).alias("strat_mean_excess"), (F.pow("me", each) - 1).alias("mkt_mean_excess"))
+    r = r.withColumn("sharpe", F.when(F.col("sd") > 0, F.col("strat_mean_excess") / F.col("sd") * year).otherwise(0.0))
+    r = r.withColumn("strategy_vol_annual", F.col("sd") * year * 100).withColumn("market_vol_annual", F.col("md") * year * 100)
     r = r.withColumn("vol_penalty", 1 + clip(F.when(F.col("md") > 0, F.col("sd") / F.col("md")).otherwise(0.0) - 1.2, 0, None))
-    r = r.withColumn("return_penalty", 1 + F.pow(clip((F.col("mg") - F.col("sg")) * 100 * days, 0, None), 2) / 100)
+    r = r.withColumn("return_penalty", 1 + F.pow(clip((F.col("mkt_mean_excess") - F.col("strat_mean_excess")) * 100 * days, 0, None), 2) / 100)
     score = F.least(F.col("sharpe") / (F.col("vol_penalty") * F.col("return_penalty")), F.lit(1e6))
-    none = (F.col("sd") == 0) | (F.col("md") == 0)
-    return r.select(F.col("n").alias("n_days"), "sharpe", "vol_penalty", "return_penalty", F.when(none, 0.0).otherwise(score).alias("adjusted_sharpe"))
+    none = (F.col("n") == 0) | (F.col("sd") == 0) | (F.col("md") == 0)
+    parts = ("sharpe", "strategy_vol_annual", "market_vol_annual", "vol_penalty", "return_penalty", "strat_mean_excess", "mkt_mean_excess")
+    return r.select(F.col("n").alias("n_days"), *parts, F.when(none, 0.0).otherwise(score).alias("adjusted_sharpe"))
 
 
-def drawdown(df: DataFrame, ret: str = "ret") -> DataFrame:
-    """Adds curve, the cumulative return, and drawdown from its running top."""
-    upto = Window.orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+def in_order(by: str | None = None):
+    return Window.partitionBy(*([by] if by else [])).orderBy("row_id")
+
+
+def drawdown(df: DataFrame, ret: str = "ret", by: str | None = None) -> DataFrame:
+    """Adds curve, the cumulative return, and drawdown from its running top; of each entity where `by` names one."""
+    upto = in_order(by).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("curve", F.exp(F.sum(F.log1p(ret)).over(upto)))
     return out.withColumn("drawdown", F.col("curve") / F.max("curve").over(upto) - 1)
 
 
-def turnover(df: DataFrame, position: str = "position") -> DataFrame:
-    return df.withColumn("turnover", F.abs(F.col(position) - F.lag(position, 1).over(Window.orderBy("row_id"))))
+def turnover(df: DataFrame, position: str = "position", by: str | None = None) -> DataFrame:
+    """Adds turnover, the absolute change of the position since the row before; NULL on the first row."""
+    return df.withColumn("turnover", F.abs(F.col(position) - F.lag(position, 1).over(in_order(by))))
+
+
+def distribution(df: DataFrame, ret: str = "ret", width: float = 0.0005) -> DataFrame:
+    """(low, n): how many returns lie in each step of `width` from low on; without NULLs."""
+    step = F.floor(F.col(ret) / width)
+    return df.where(F.col(ret).isNotNull()).groupBy(step.alias("step")).agg(F.count("*").alias("n")).select((F.col("step") * width).alias("low"), "n")

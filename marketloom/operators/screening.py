@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
 
-#: Loose prefixes: MOM1 starts with M as well as with MOM.
-PREFIXES = ("E", "S", "V", "M", "MOM", "P", "I", "D")
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
+from .selection import is_excluded
 
-def excluded(name: str) -> bool:
-    return name in ("date_id", "row_id", "forward_returns", "risk_free_rate", "market_forward_excess_returns") or name.startswith("lagged_")
+#: Loose prefixes; MOM1 starts with M as well as with MOM.
+PREFIXES = ("E", "S", "V", "M", "MOM", "P", "I", "D")
+#: Bounds that importances are counted by.
+BOUNDS = (300, 250, 200, 100, 80, 50)
 
 
 def first_valid_profile(obs: DataFrame, quantile: float = 0.9, share: float = 0.25) -> DataFrame:
@@ -18,7 +22,7 @@ def first_valid_profile(obs: DataFrame, quantile: float = 0.9, share: float = 0.
     A feature is late after its group's interpolated quantile, cut to an integer, after that share of
     all rows, or without any value.
     """
-    first = obs.groupBy("feature").agg(F.min(F.when(F.col("value").isNotNull(), F.col("row_id"))).alias("first_valid"), F.count("*").alias("n"))
+    first = obs.where(~is_excluded(F.col("feature"))).groupBy("feature").agg(F.min(F.when(F.col("value").isNotNull(), F.col("row_id"))).alias("first_valid"), F.count("*").alias("n"))
     groups = first.withColumn("prefix", F.explode(F.array(*map(F.lit, PREFIXES)))).where(F.col("feature").startswith(F.col("prefix")))
     cut = F.floor(F.percentile("first_valid", quantile).over(Window.partitionBy("prefix")))
     out = groups.withColumn("cut", cut)
@@ -26,33 +30,89 @@ def first_valid_profile(obs: DataFrame, quantile: float = 0.9, share: float = 0.
     return out.select("prefix", "feature", "first_valid", "cut", late.alias("late"))
 
 
+def prefix_counts(profile: DataFrame) -> DataFrame:
+    """(prefix, n): features of each loose prefix in a first-valid profile."""
+    return profile.groupBy("prefix").agg(F.count("*").alias("n"))
+
+
 def first_valid_filter(obs: DataFrame) -> DataFrame:
-    """Without features that are late in any of their groups."""
+    """Without features that are late in any of their groups; ids, labels and lags stay."""
     late = first_valid_profile(obs).where("late").select("feature").distinct()
     return obs.join(late, "feature", "left_anti")
 
 
 def missing_profile(obs: DataFrame) -> DataFrame:
+    """(feature, n_rows, n_valid, missing, std): counts, the share that is NULL, and the sample's deviation."""
     return obs.groupBy("feature").agg(F.count("*").alias("n_rows"), F.count("value").alias("n_valid"), F.avg(F.col("value").isNull().cast("double")).alias("missing"), F.stddev_samp("value").alias("std"))
 
 
-def ranked(obs: DataFrame) -> DataFrame:
-    """Adds rank_avg, the rank among a feature's values where ties share the mean of their ranks."""
-    by, peers = Window.partitionBy("feature").orderBy("value"), Window.partitionBy("feature", "value")
-    return obs.where("value IS NOT NULL").withColumn("rank_avg", F.rank().over(by) + (F.count("*").over(peers) - 1) / 2)
+def _ranked(value: str, by: tuple[str, ...]) -> F.Column:
+    """Ranks from 1; ties share the mean of theirs."""
+    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def spearman_pairs(obs: DataFrame) -> DataFrame:
-    """(a, b, rho) for a < b, pairwise complete: ranks are taken anew over the rows that a pair shares."""
-    x = obs.where("value IS NOT NULL")
-    pairs = x.select("row_id", F.col("feature").alias("a"), F.col("value").alias("va")).join(x.select("row_id", F.col("feature").alias("b"), F.col("value").alias("vb")), "row_id").where("a < b")
+def correlation(a: str, b: str) -> F.Column:
+    """An aggregate: the correlation over rows in which both have values, NULL where either is constant. corr itself fails on a constant."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.covar_pop(x, y) / (F.stddev_pop(x) * F.stddev_pop(y)))
+
+
+def _patterns(x: DataFrame) -> DataFrame:
+    """(feature, pattern): features with values in the same rows have the same pattern."""
+    mark = F.struct(F.count("*"), F.sum(F.xxhash64("row_id").cast("decimal(38,0)")), F.sum(F.xxhash64("row_id", F.lit(7)).cast("decimal(38,0)")))
+    return x.groupBy("feature").agg(F.xxhash64(mark).alias("pattern"))
 
-    def rank(v: str):
-        return F.rank().over(Window.partitionBy("a", "b").orderBy(v)) + (F.count("*").over(Window.partitionBy("a", "b", v)) - 1) / 2
 
-    r = pairs.select("a", "b", rank("va").alias("ra"), rank("vb").alias("rb"))
-    flat = (F.min("ra") == F.max("ra")) | (F.min("rb") == F.max("rb"))
-    return r.groupBy("a", "b").agg(F.when(~flat, F.corr("ra", "rb")).alias("rho"))
+def _gram(x: DataFrame) -> DataFrame:
+    """(a, b, both, own_a, own_b) for a <= b of one pattern: sums of products of x (pattern, row_id, feature, r).
+
+    A row's values meet once; a task adds up their products and gives a number a pair of features.
+    """
+    rows = x.groupBy("pattern", "row_id").agg(F.array_sort(F.collect_list(F.struct("feature", "r"))).alias("v")).select("pattern", F.col("v.feature").alias("names"), F.col("v.r").alias("r"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for pattern, part in batch.groupby("pattern"):
+                m = np.stack(part["r"].to_numpy())
+                names, total = sums.get(pattern, (list(part["names"].iloc[0]), 0))
+                sums[pattern] = names, total + m.T @ m
+        for names, total in sums.values():
+            i, j = np.triu_indices(len(names))
+            yield pd.DataFrame({"a": np.array(names, dtype=object)[i], "b": np.array(names, dtype=object)[j], "dot": total[i, j]})
+
+    dots = rows.mapInPandas(run, "a string, b string, dot double").groupBy("a", "b").agg(F.sum("dot").alias("dot"))
+    own = dots.where("a = b").select(F.col("a").alias("f"), F.col("dot").alias("own"))
+    left, right = own.toDF("a", "own_a"), own.toDF("b", "own_b")
+    return dots.where("a < b").join(left, "a").join(right, "b")
+
+
+def correlations(obs: DataFrame, method: str = "spearman") -> DataFrame:
+    """(a, b, rho) for a < b over the rows in which both have values, by ranks or (method pearson) by values; NULL where either is constant there.
+
+    Features with values in the same rows are ranked once, and a row's ranks meet once. Only pairs whose
+    rows differ are put side by side and ranked anew.
+    """
+    if method not in ("spearman", "pearson"):
+        raise ValueError(f"unknown method {method!r}: spearman or pearson")
+    x = obs.where("value IS NOT NULL").select("row_id", "feature", "value")
+    kinds = _patterns(x)
+    known = x.join(kinds, "feature")
+    rank = _ranked("value", ("feature",)) if method == "spearman" else F.col("value")
+    ranks = known.withColumn("r", rank).withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("feature")))
+    flat = ranks.withColumn("r", F.when(F.min("value").over(Window.partitionBy("feature")) == F.max("value").over(Window.partitionBy("feature")), 0.0).otherwise(F.col("r")))
+    same = _gram(flat).select("a", "b", F.when((F.col("own_a") > 0) & (F.col("own_b") > 0), F.col("dot") / F.sqrt(F.col("own_a")) / F.sqrt(F.col("own_b"))).alias("rho"))
+
+    k = lambda side: known.select("row_id", F.col("feature").alias(side), F.col("value").alias(f"v{side}"), F.col("pattern").alias(f"p{side}"))
+    pairs = k("a").join(k("b"), "row_id").where("a < b AND pa <> pb")
+    r = lambda side: _ranked(f"v{side}", ("a", "b")) if method == "spearman" else F.col(f"v{side}")
+    other = pairs.select("a", "b", r("a").alias("ra"), r("b").alias("rb")).groupBy("a", "b").agg(correlation("ra", "rb").alias("rho"))
+    return same.unionByName(other)
+
+
+def spearman_pairs(obs: DataFrame) -> DataFrame:
+    """(a, b, rho) for a < b, pairwise complete: ranks are those over the rows that a pair shares."""
+    return correlations(obs, "spearman")
 
 
 def corr_prune(pairs: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -60,10 +120,39 @@ def corr_prune(pairs: DataFrame, threshold: float = 0.98) -> DataFrame:
     return pairs.where(F.abs("rho") > threshold).select(F.col("b").alias("feature")).distinct()
 
 
-def coarse_screen(obs: DataFrame, missing: float = 0.98, std: float = 1e-12, corr: float = 0.98) -> DataFrame:
-    """(feature) that pass the missing share, the spread and the correlation screens."""
-    kept = missing_profile(obs).where((F.col("missing") <= missing) & (F.col("std") > std)).select("feature")
-    return kept.join(corr_prune(spearman_pairs(obs.join(kept, "feature", "left_semi")), corr), "feature", "left_anti")
+def coarse_screen(obs: DataFrame, missing: float = 0.98, std: float = 1e-12, corr: float = 0.98, sample: int | None = None, method: str = "spearman") -> DataFrame:
+    """(feature) that pass the missing share, the spread and the correlation screens; the latter two over the last `sample` rows."""
+    return screen_report(obs, missing, std, corr, sample, method).where("reason IS NULL").select("feature")
+
+
+def screen_report(obs: DataFrame, missing: float = 0.98, std: float = 1e-12, corr: float = 0.98, sample: int | None = None, method: str = "spearman") -> DataFrame:
+    """(feature, reason): why each feature goes (missing, constant or correlated), or NULL. One without a deviation is constant."""
+    some = obs if sample is None else obs.join(obs.select("row_id").distinct().orderBy(F.desc("row_id")).limit(sample), "row_id", "left_semi")
+    full = missing_profile(obs).select("feature", "missing")
+    spread = missing_profile(some).select("feature", "std")
+    first = full.join(spread, "feature", "left").select("feature", F.when(F.col("missing") > missing, "missing").when(~F.coalesce(F.col("std") > std, F.lit(False)), "constant").alias("reason"))
+    left = some.join(first.where("reason IS NULL"), "feature", "left_semi")
+    dropped = corr_prune(correlations(left, method), corr).withColumn("late", F.lit("correlated"))
+    return first.join(dropped, "feature", "left").select("feature", F.coalesce("reason", "late").alias("reason"))
+
+
+def screen_counts(report: DataFrame, obs: DataFrame, sample: int | None = None) -> DataFrame:
+    """One row: features in all, dropped for each reason and kept, and the rows that correlations are taken over."""
+    n = lambda cond: F.count(F.when(cond, 1))
+    counts = report.agg(F.count("*").alias("n_total"), *(n(F.col("reason") == r).alias(c) for r, c in (("missing", "drop_na"), ("constant", "drop_const"), ("correlated", "drop_corr"))), n(F.col("reason").isNull()).alias("n_kept"))
+    rows = obs.agg(F.count_distinct("row_id")).first()[0]
+    return counts.withColumn("rows_used_for_corr", F.lit(rows if sample is None else min(rows, sample)).cast("long"))
+
+
+def importance_counts(importances: DataFrame, bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
+    """(bound, n): features whose importance reaches each bound."""
+    each = F.explode(F.array(*map(F.lit, bounds))).alias("bound")
+    return importances.select("importance", each).groupBy("bound").agg(F.count(F.when(F.col("importance") >= F.col("bound"), 1)).alias("n"))
+
+
+def importance_at_least(importances: DataFrame, bound: float = 260.0) -> DataFrame:
+    """(feature, importance) of features whose importance reaches the bound."""
+    return importances.where(F.col("importance") >= bound).select("feature", "importance")
 
 
 def importance_cut(importances: DataFrame, share: float = 0.95) -> DataFrame:

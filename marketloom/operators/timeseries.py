@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.finance import clip
 
 EPS_Z, EPS_POS = 1e-9, 1e-12
-#: Windows by the exclusive prefix of a feature's name.
+#: Windows by the exclusive prefix of a feature's name, and those of other names and of lagged labels.
 WINDOWS = {"V": (5, 21, 63), "S": (5, 10, 21), "M": (5, 10, 21, 63), "MOM": (5, 21), "E": (63, 126, 252), "P": (63, 126, 252), "I": (21, 63)}
 DEFAULT_WINDOWS = (21, 63)
 LAG_WINDOWS, EXCESS_WINDOWS = (1, 2, 3, 5, 10, 21, 63), (1, 2, 3, 5, 10)
@@ -22,10 +22,12 @@ def series(by: tuple[str, ...] = ("feature",)):
 
 
 def lagged(x: Column, k: int, by: tuple[str, ...] = ("feature",)) -> Column:
+    """The value k rows before; NULL on the first k rows."""
     return F.lag(x, k).over(series(by))
 
 
 def diff(x: Column, by: tuple[str, ...] = ("feature",)) -> Column:
+    """The change since the row before; NULL if either is."""
     return x - lagged(x, 1, by)
 
 
@@ -56,29 +58,33 @@ def prefix_of(feature: Column) -> Column:
     return F.when(got == "", "DEFAULT").otherwise(got)
 
 
-def base_block(obs: DataFrame) -> DataFrame:
-    """Mean, z and pos over the windows of each feature's group, and its difference."""
+def base_block(obs: DataFrame, by: str | None = None) -> DataFrame:
+    """Mean, z and pos over the windows of each feature's group, and its difference; of each entity where `by` names one."""
     out = None
     groups: dict[tuple[int, ...], list[str]] = {}
     for name in (*WINDOWS, "D", "DEFAULT"):
         groups.setdefault(WINDOWS.get(name, DEFAULT_WINDOWS), []).append(name)
     for windows, names in groups.items():
-        part = rolling_long(obs.where(prefix_of(F.col("feature")).isin(names)), windows, ("mean", "z", "pos"))
+        part = rolling_long(obs.where(prefix_of(F.col("feature")).isin(names)), windows, ("mean", "z", "pos"), by=_keys(by))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def lagged_block(labels: DataFrame) -> DataFrame:
-    """Of labels (row_id, three labels) the lags by one row, their difference, and rolling features of them."""
-    order = Window.orderBy("row_id")
-    names = [c for c in labels.columns if c != "row_id"]
-    wide = labels.select("row_id", *(F.lag(c, 1).over(order).alias(f"lagged_{c}") for c in names))
+def _keys(by: str | None) -> tuple[str, ...]:
+    return (by, "feature") if by else ("feature",)
+
+
+def lagged_block(labels: DataFrame, by: str | None = None) -> DataFrame:
+    """Of labels (row_id, three labels) the lags by one row, their difference, and rolling features of them; a missing label is skipped."""
+    ids = ([by] if by else []) + ["row_id"]
+    names = [c for c in labels.columns if c not in ids]
+    wide = labels.select(*ids, *(F.lag(c, 1).over(in_order(by)).alias(f"lagged_{c}") for c in names))
     own = [f"lagged_{c}" for c in names]
     if {"lagged_forward_returns", "lagged_risk_free_rate"} <= set(own):
         wide = wide.withColumn("lagged_excess", F.col("lagged_forward_returns") - F.col("lagged_risk_free_rate"))
-    long = wide.unpivot("row_id", [c for c in wide.columns if c != "row_id"], "feature", "value")
-    plain = rolling_long(long.where("feature <> 'lagged_excess'"), LAG_WINDOWS, ("mean", "std", "z"))
-    return long.unionByName(plain).unionByName(rolling_long(long.where("feature = 'lagged_excess'"), EXCESS_WINDOWS, ("mean", "std", "z")))
+    long = wide.unpivot(ids, [c for c in wide.columns if c not in ids], "feature", "value")
+    plain = rolling_long(long.where("feature <> 'lagged_excess'"), LAG_WINDOWS, ("mean", "std", "z"), by=_keys(by))
+    return long.unionByName(plain).unionByName(rolling_long(long.where("feature = 'lagged_excess'"), EXCESS_WINDOWS, ("mean", "std", "z"), by=_keys(by)))
 
 
 def score_zscore(x: Column, w: int, by: tuple[str, ...] = ("feature",)) -> Column:
@@ -89,6 +95,7 @@ def score_zscore(x: Column, w: int, by: tuple[str, ...] = ("feature",)) -> Colum
 
 
 def availability(x: Column, w: int = 63, least: int = 21, by: tuple[str, ...] = ("feature",)) -> Column:
+    """1 where the last w rows, as far as they exist, hold at least `least` values, else 0."""
     return (F.count(x).over(series(by).rowsBetween(-(w - 1), 0)) >= least).cast("int")
 
 
@@ -110,14 +117,21 @@ def filled(x: Column, backward: bool = False, by: tuple[str, ...] = ("feature",)
     return F.coalesce(ahead, F.first(x, ignorenulls=True).over(series(by).rowsBetween(0, Window.unboundedFollowing))) if backward else ahead
 
 
-def tail(df: DataFrame, n: int) -> DataFrame:
-    """The last n rows, renumbered from 0."""
-    last = df.orderBy(F.desc("row_id")).limit(n)
-    return renumbered(last)
+def in_order(by: str | None = None):
+    return Window.partitionBy(*([by] if by else [])).orderBy("row_id")
+
+
+def tail(df: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """The last n rows, of each entity where `by` names one, renumbered from 0."""
+    if by:
+        back = Window.partitionBy(by).orderBy(F.desc("row_id"))
+        return renumbered(df.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= n).drop("_back"), by)
+    return renumbered(df.orderBy(F.desc("row_id")).limit(n))
 
 
-def renumbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("row_id", (F.row_number().over(Window.orderBy("row_id")) - 1).cast("long"))
+def renumbered(df: DataFrame, by: str | None = None) -> DataFrame:
+    """row_id from 0 in its order, without gaps."""
+    return df.withColumn("row_id", (F.row_number().over(in_order(by)) - 1).cast("long"))
 
 
 def skip(df: DataFrame, n: int) -> DataFrame:
@@ -125,10 +139,9 @@ def skip(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("row_id") >= n).withColumn("row_id", F.col("row_id") - n)
 
 
-def shifted(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
+def shifted(df: DataFrame, columns: list[str], k: int = 10, by: str | None = None) -> DataFrame:
     """columns take their values of k rows before; the first k rows go. Without columns nothing changes."""
-    order = Window.orderBy("row_id")
-    return skip(df.withColumns({c: F.lag(c, k).over(order) for c in columns}), k) if columns else df
+    return skip(df.withColumns({c: F.lag(c, k).over(in_order(by)) for c in columns}), k) if columns else df
 
 
 def gate(s: Column, alpha: float, high: float) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import finance
-from ..operators import features, screening, timeseries as ts, validation
+from ..operators import build, features, screening, selection, timeseries as ts, validation
 from ..sources.panel import FEATURES, LABELS, daily_panel, observations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,8 +35,6 @@ panel AS (
     0.01 * (lead(M1) OVER (ORDER BY day) / M1 - 1) AS forward_returns, I2 / 252 AS risk_free_rate, 0.01 * (lead(M1) OVER (ORDER BY day) / M1 - 1) - I2 / 252 AS market_forward_excess_returns FROM days),
 """
 OBS_SQL = "obs AS (SELECT row_id, unnest([{names}]) AS feature, unnest([{cols}]) AS value FROM panel),\n"
-SOME = ("M1", "V1", "S1", "I1", "E1", "MOM1")
-DENSE = ("M1", "M2", "M4", "P1", "I1", "I2", "I3", "S1", "S2")
 
 
 def obs_sql(cols: tuple[str, ...] = FEATURES) -> str:
@@ -58,12 +56,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def placed(x: Column) -> Column:
+    """Four places of values from 1 up, six of those from a hundredth up, eight of others; moved off the exact ties that prices in cents make."""
+    size = F.abs(x)
+    return F.when(size >= 1, F.round(x + 3e-7, 4)).when(size >= 0.01, F.round(x + 3e-9, 6)).otherwise(F.round(x + 3e-11, 8)) + 0.0
+
+
 def rows(df: DataFrame) -> DataFrame:
-    """Four places of large values, moved off the exact ties that prices in cents make."""
-    return df.select("row_id", "feature", (F.round(F.col("value") + 3e-7, 4) + 0.0).alias("value"))
+    return df.select("row_id", "feature", placed(F.col("value")).alias("value"))
 
 
-ROWS = "SELECT row_id, feature, round(value + 3e-7, 4) + 0.0 AS value FROM "
+PLACED = "CASE WHEN abs({0}) >= 1 THEN round({0} + 3e-7, 4) WHEN abs({0}) >= 0.01 THEN round({0} + 3e-9, 6) ELSE round({0} + 3e-11, 8) END + 0.0"
+ROWS = f"SELECT row_id, feature, {PLACED.format('value')} AS value FROM "
 FRAME = "over (partition by feature order by row_id rows between {} preceding and {})"
 
 
@@ -97,9 +101,12 @@ def _(spark, d):
     return rows(ts.lagged_block(daily_panel(spark, d).select("row_id", *LABELS)))
 
 
-@query("shift_block", PANEL_SQL + "x AS (SELECT row_id - 10 AS row_id, " + ", ".join(f"lag({c}, 10) over (order by row_id) AS {c}" for c in ("E1", "E2", "S1", "S2")) + ", M1 FROM panel) SELECT row_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("E1", "E2", "S1", "S2", "M1")) + " FROM x WHERE row_id >= 0")
+LATE = tuple(selection.matching(FEATURES, selection.LATE_BLOCK))
+
+
+@query("shift_block", PANEL_SQL + "x AS (SELECT row_id - 10 AS row_id, " + ", ".join(f"lag({c}, 10) over (order by row_id) AS {c}" for c in LATE) + ", M1 FROM panel) SELECT row_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in (*LATE, "M1")) + " FROM x WHERE row_id >= 0")
 def _(spark, d):
-    cols = ["E1", "E2", "S1", "S2"]
+    cols = list(LATE)
     return ts.shifted(daily_panel(spark, d).select("row_id", *cols, "M1"), cols, 10).select("row_id", *(r6(c) for c in [*cols, "M1"]))
 
 
@@ -151,25 +158,25 @@ def _(spark, d):
 def _interactions_sql() -> str:
     out = []
     for a, b, op in features.INTERACTIONS:
-        v, name = (f"{a} - {b}" if op == "diff" else f"CASE WHEN abs({b}) > 1e-6 THEN {a} / {b} END"), f"XINT_{a}_{b}_{op}"
-        out += [f"round({v}, 6) + 0.0 AS {name}", f"CAST(({v}) IS NULL AS INT) AS {name}_miss"]
+        v, name = (f"{a} - {b}" if op == "diff" else f"CASE WHEN {b} IS NOT NULL AND abs({b}) > 1e-6 THEN {a} / {b} END"), f"XINT_{a}_{b}_{op}"
+        out += [f"round({v}, 6) + 0.0 AS {name}", f"CAST({a} IS NULL OR {b} IS NULL AS INT) AS {name}_miss"]
         if op == "ratio":
-            out.append(f"CAST(coalesce(abs({b}) <= 1e-6, true) AS INT) AS {name}_denom_small")
+            out.append(f"CAST({b} IS NOT NULL AND abs({b}) <= 1e-6 AS INT) AS {name}_denom_small")
     return PANEL_SQL + "x AS (SELECT 1) SELECT row_id, " + ", ".join(out) + " FROM panel"
 
 
 @query("interactions", _interactions_sql())
 def _(spark, d):
-    x = features.interactions(daily_panel(spark, d))
+    x = features.interactions(daily_panel(spark, d), flags=True)
     return x.select("row_id", *(r6(c) if kind == "double" else F.col(c) for c, kind in x.dtypes if c != "row_id"))
 
 
 W126 = FRAME.format(126, "1 preceding")
 
 
-@query("winsorized", obs_sql(SOME) + f"b AS (SELECT row_id, feature, value, quantile_cont(value, 0.02) {W126} AS lo, quantile_cont(value, 0.98) {W126} AS hi FROM obs), o AS (SELECT row_id, feature, coalesce(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 0.0) AS value FROM b) " + ROWS + "o")
+@query("winsorized", obs_sql() + f"b AS (SELECT row_id, feature, value, quantile_cont(value, 0.02) {W126} AS lo, quantile_cont(value, 0.98) {W126} AS hi FROM obs), o AS (SELECT row_id, feature, coalesce(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 0.0) AS value FROM b) " + ROWS + "o")
 def _(spark, d):
-    o = observations(daily_panel(spark, d), SOME)
+    o = observations(daily_panel(spark, d))
     b = o.withColumn("b", ts.winsor_bounds(F.col("value"), 126))
     return rows(b.select("row_id", "feature", ts.winsorized(F.col("value"), F.col("b")).alias("value")))
 
@@ -177,33 +184,44 @@ def _(spark, d):
 F126 = FRAME.format(125, "current row")
 
 
-@query("score_zscore", obs_sql(SOME) + f"o AS (SELECT row_id, feature, CASE WHEN min(value) {F126} <> max(value) {F126} THEN (value - avg(value) {F126}) / stddev_samp(value) {F126} END AS value FROM obs) SELECT row_id, feature, round(value, 6) + 0.0 AS value, round(CASE WHEN value < 0 THEN 0 ELSE value END, 6) + 0.0 AS pos FROM o")
+@query("score_zscore", obs_sql() + f"o AS (SELECT row_id, feature, CASE WHEN min(value) {F126} <> max(value) {F126} THEN (value - avg(value) {F126}) / stddev_samp(value) {F126} END AS value FROM obs) SELECT row_id, feature, round(value, 6) + 0.0 AS value, round(CASE WHEN value < 0 THEN 0 ELSE value END, 6) + 0.0 AS pos FROM o")
 def _(spark, d):
-    z = observations(daily_panel(spark, d), SOME).withColumn("value", ts.score_zscore(F.col("value"), 126))
+    z = observations(daily_panel(spark, d)).withColumn("value", ts.score_zscore(F.col("value"), 126))
     return z.select("row_id", "feature", r6("value"), r6(finance.clip(F.col("value"), 0, None), "pos"))
 
 
-GATE_SQL = obs_sql(("S1", "S2", "M1", "V1")) + "zz AS (" + roll_sql("obs", 21, ("z",)) + "), g AS (SELECT row_id, 1 + 0.5 * (CASE WHEN coalesce(value, 0) < 0 THEN 0 WHEN coalesce(value, 0) > 2 THEN 2 ELSE coalesce(value, 0) END) AS g FROM zz WHERE feature = 'V1_z21'), o AS (SELECT zz.row_id, feature || '_gV' AS feature, coalesce(value, 0) * coalesce(g, 1) AS value FROM zz LEFT JOIN g ON zz.row_id = g.row_id WHERE feature <> 'V1_z21') " + ROWS + "o"
+ZGATE = obs_sql() + "zz AS (" + roll_sql("obs", 21, ("z",)) + "), g AS (SELECT row_id, 1 + 0.5 * (CASE WHEN coalesce(value, 0) < 0 THEN 0 WHEN coalesce(value, 0) > 2 THEN 2 ELSE coalesce(value, 0) END) AS g FROM zz WHERE feature = 'V1_z21'), "
+
+
+def _gate_parts(spark, d):
+    z = ts.rolling_long(observations(daily_panel(spark, d)), (21,), ("z",), with_diff=False)
+    return z.where("feature <> 'V1_z21'"), z.where("feature = 'V1_z21'").select("row_id", ts.gate(F.col("value"), 0.5, 2.0).alias("g"))
+
+
+@query("gated_product", ZGATE + "o AS (SELECT zz.row_id, feature || '_gV' AS feature, coalesce(value, 0) * coalesce(g, 1) AS value FROM zz LEFT JOIN g ON zz.row_id = g.row_id WHERE feature <> 'V1_z21') " + ROWS + "o")
+def _(spark, d):
+    return rows(features.gated(*_gate_parts(spark, d), "V"))
+
+
+GATE_OPTIONS = "s AS (SELECT row_id, feature, value, CAST(count(value) over (partition by feature order by row_id rows between 62 preceding and current row) >= 21 AS INT) AS seen FROM zz WHERE feature <> 'V1_z21'), j AS (SELECT s.*, coalesce(g, 1) AS g FROM s LEFT JOIN g ON s.row_id = g.row_id), o AS (SELECT row_id, feature || '_gV' AS feature, coalesce(value, 0) * g * seen AS value FROM j UNION ALL SELECT row_id, feature || '_gV_unavail', CAST(1 - seen AS DOUBLE) FROM j UNION ALL SELECT row_id, feature || '_gV_miss', CASE WHEN value IS NULL THEN g ELSE 0 END FROM j) "
 
 
-@query("gated_product", GATE_SQL)
+@query("gated_options", ZGATE + GATE_OPTIONS + ROWS + "o")
 def _(spark, d):
-    z = ts.rolling_long(observations(daily_panel(spark, d), ("S1", "S2", "M1", "V1")), (21,), ("z",), with_diff=False)
-    gates = z.where("feature = 'V1_z21'").select("row_id", ts.gate(F.col("value"), 0.5, 2.0).alias("g"))
-    return rows(features.gated(z.where("feature <> 'V1_z21'"), gates, "V"))
+    return rows(features.gated(*_gate_parts(spark, d), "V", missing_term=True, mask=True))
 
 
 F63 = FRAME.format(62, "current row")
 
 
-@query("availability_mask", obs_sql(SOME) + f"x AS (SELECT 1) SELECT row_id, feature, CAST(count(value) {F63} >= 21 AS INT) AS available FROM obs")
+@query("availability_mask", obs_sql() + f"x AS (SELECT 1) SELECT row_id, feature, CAST(count(value) {F63} >= 21 AS INT) AS available FROM obs")
 def _(spark, d):
-    return observations(daily_panel(spark, d), SOME).select("row_id", "feature", ts.availability(F.col("value")).alias("available"))
+    return observations(daily_panel(spark, d)).select("row_id", "feature", ts.availability(F.col("value")).alias("available"))
 
 
-@query("ffill_bfill", obs_sql(SOME) + "o AS (SELECT row_id, feature, coalesce(last_value(value ignore nulls) over (partition by feature order by row_id rows between unbounded preceding and current row), first_value(value ignore nulls) over (partition by feature order by row_id rows between current row and unbounded following)) AS value FROM obs) " + ROWS + "o")
+@query("ffill_bfill", obs_sql() + "o AS (SELECT row_id, feature, coalesce(last_value(value ignore nulls) over (partition by feature order by row_id rows between unbounded preceding and current row), first_value(value ignore nulls) over (partition by feature order by row_id rows between current row and unbounded following)) AS value FROM obs) " + ROWS + "o")
 def _(spark, d):
-    return rows(observations(daily_panel(spark, d), SOME).withColumn("value", ts.filled(F.col("value"), backward=True)))
+    return rows(observations(daily_panel(spark, d)).withColumn("value", ts.filled(F.col("value"), backward=True)))
 
 
 @query("missing_profile", obs_sql() + "x AS (SELECT 1) SELECT feature, count(*) AS n_rows, count(value) AS n_valid, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS missing, round(stddev_samp(value), 6) + 0.0 AS std FROM obs GROUP BY feature")
@@ -214,25 +232,116 @@ def _(spark, d):
 SPEARMAN = "pr AS (SELECT x.row_id, x.feature AS a, y.feature AS b, x.value AS va, y.value AS vb FROM obs x JOIN obs y ON x.row_id = y.row_id AND x.feature < y.feature WHERE x.value IS NOT NULL AND y.value IS NOT NULL), rk AS (SELECT a, b, rank() over (partition by a, b order by va) + (count(*) over (partition by a, b, va) - 1) / 2.0 AS ra, rank() over (partition by a, b order by vb) + (count(*) over (partition by a, b, vb) - 1) / 2.0 AS rb FROM pr), rho AS (SELECT a, b, CASE WHEN min(ra) <> max(ra) AND min(rb) <> max(rb) THEN corr(ra, rb) END AS rho FROM rk GROUP BY a, b) "
 
 
-@query("spearman_pairs", obs_sql(DENSE) + SPEARMAN + "SELECT a, b, round(rho, 6) + 0.0 AS rho FROM rho")
+@query("spearman_pairs", obs_sql() + SPEARMAN + "SELECT a, b, round(rho, 6) + 0.0 AS rho FROM rho")
+def _(spark, d):
+    return screening.spearman_pairs(observations(daily_panel(spark, d))).select("a", "b", r6("rho"))
+
+
+@query("corr_prune", obs_sql() + SPEARMAN + "SELECT DISTINCT b AS feature FROM rho WHERE abs(rho) > 0.3")
+def _(spark, d):
+    return screening.corr_prune(screening.spearman_pairs(observations(daily_panel(spark, d))), 0.3)
+
+
+@query("coarse_screen", obs_sql() + SPEARMAN + "SELECT feature FROM obs GROUP BY feature HAVING avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) <= 0.98 AND stddev_samp(value) > 1e-12 AND feature NOT IN (SELECT b FROM rho WHERE abs(rho) > 0.6)")
+def _(spark, d):
+    return screening.coarse_screen(observations(daily_panel(spark, d)), corr=0.6)
+
+
+REASONS = "t AS (SELECT max(row_id) - 999 AS low FROM obs), pf AS (SELECT feature, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM obs GROUP BY feature), sd AS (SELECT feature, stddev_samp(value) AS std FROM tl GROUP BY feature), rs AS (SELECT feature, CASE WHEN missing > 0.05 THEN 'missing' WHEN std IS NULL OR std <= 1e-12 THEN 'constant' WHEN feature IN (SELECT b FROM rho WHERE abs(rho) > 0.6 AND a IN (SELECT feature FROM pf WHERE missing <= 0.05) AND b IN (SELECT feature FROM pf WHERE missing <= 0.05)) THEN 'correlated' END AS reason FROM pf JOIN sd USING (feature)) "
+TAIL_OBS = "all_obs AS (SELECT row_id, unnest([{n}]) AS feature, unnest([{c}]) AS value FROM panel), obs AS (SELECT * FROM all_obs), tl AS (SELECT * FROM all_obs WHERE row_id > (SELECT max(row_id) - 1000 FROM all_obs)), ".format(n=", ".join(f"'{c}'" for c in FEATURES), c=", ".join(FEATURES))
+SCREEN = PANEL_SQL + TAIL_OBS + SPEARMAN.strip().replace("FROM obs x JOIN obs y", "FROM tl x JOIN tl y") + ", " + REASONS
+
+
+def _report(spark, d):
+    obs = observations(daily_panel(spark, d))
+    return screening.screen_report(obs, missing=0.05, corr=0.6, sample=1000), obs
+
+
+@query("screen_report", SCREEN + "SELECT feature, reason FROM rs")
+def _(spark, d):
+    return _report(spark, d)[0]
+
+
+@query("screen_counts", SCREEN + "SELECT count(*) AS n_total, count(*) FILTER (reason = 'missing') AS drop_na, count(*) FILTER (reason = 'constant') AS drop_const, count(*) FILTER (reason = 'correlated') AS drop_corr, count(*) FILTER (reason IS NULL) AS n_kept, CAST(1000 AS BIGINT) AS rows_used_for_corr FROM rs")
+def _(spark, d):
+    return screening.screen_counts(*_report(spark, d), 1000)
+
+
+def _strength(spark, d):
+    """Importances that SQL can tell: a thousand times the square of each feature's correlation with the next return."""
+    panel = daily_panel(spark, d)
+    joined = observations(panel).join(panel.select("row_id", "forward_returns"), "row_id").where("value IS NOT NULL AND forward_returns IS NOT NULL")
+    return joined.groupBy("feature").agg(F.round(1000 * F.pow(screening.correlation("value", "forward_returns"), 2), 4).alias("importance"))
+
+
+STRENGTH = obs_sql() + "i AS (SELECT feature, round(1000 * pow(corr(value, forward_returns), 2), 4) AS importance FROM obs JOIN panel USING (row_id) WHERE value IS NOT NULL AND forward_returns IS NOT NULL GROUP BY feature), "
+
+
+@query("importance_cut", STRENGTH + "c AS (SELECT feature, importance, row_number() over (order by importance desc, feature) AS rank, sum(importance) over (order by importance desc, feature rows unbounded preceding) AS cum, sum(importance) over () AS total FROM i) SELECT feature, importance, rank, round(cum / total, 6) AS cumulative FROM c WHERE (cum - importance) / total < 0.95")
+def _(spark, d):
+    return screening.importance_cut(_strength(spark, d)).select("feature", "importance", F.col("rank").cast("long").alias("rank"), F.round("cumulative", 6).alias("cumulative"))
+
+
+@query("importance_counts", STRENGTH + "b AS (SELECT unnest([100, 10, 1]) AS bound) SELECT CAST(bound AS INT) AS bound, count(*) FILTER (importance >= bound) AS n FROM b, i GROUP BY bound")
+def _(spark, d):
+    return screening.importance_counts(_strength(spark, d), (100, 10, 1))
+
+
+@query("importance_at_least", STRENGTH + "x AS (SELECT 1) SELECT feature, importance FROM i WHERE importance >= 1")
+def _(spark, d):
+    return screening.importance_at_least(_strength(spark, d), 1.0)
+
+
+@query("prefix_counts", obs_sql() + GROUPS_SQL + "SELECT prefix, count(*) AS n FROM fv GROUP BY prefix")
 def _(spark, d):
-    return screening.spearman_pairs(observations(daily_panel(spark, d), DENSE)).select("a", "b", r6("rho"))
+    return screening.prefix_counts(screening.first_valid_profile(observations(daily_panel(spark, d))))
 
 
-@query("corr_prune", obs_sql(DENSE) + SPEARMAN + "SELECT DISTINCT b AS feature FROM rho WHERE abs(rho) > 0.3")
+@query("complete_rows", obs_sql() + "x AS (SELECT row_id FROM obs GROUP BY row_id HAVING count(value) = count(*)) SELECT row_id, count(*) AS n FROM obs WHERE row_id IN (SELECT row_id FROM x) GROUP BY row_id")
 def _(spark, d):
-    return screening.corr_prune(screening.spearman_pairs(observations(daily_panel(spark, d), DENSE)), 0.3)
+    return build.complete_rows(observations(daily_panel(spark, d))).groupBy("row_id").agg(F.count("*").alias("n"))
 
 
-@query("coarse_screen", obs_sql(DENSE) + SPEARMAN + "SELECT feature FROM obs GROUP BY feature HAVING avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) <= 0.98 AND stddev_samp(value) > 1e-12 AND feature NOT IN (SELECT b FROM rho WHERE abs(rho) > 0.6)")
+@query("without_empty", obs_sql() + "e AS (SELECT row_id, feature, CASE WHEN feature NOT LIKE 'S%' THEN value END AS value FROM obs) SELECT feature, count(value) AS n_valid FROM e GROUP BY feature HAVING count(value) > 0")
 def _(spark, d):
-    return screening.coarse_screen(observations(daily_panel(spark, d), DENSE), corr=0.6)
+    obs = observations(daily_panel(spark, d)).withColumn("value", F.when(~F.col("feature").startswith("S"), F.col("value")))
+    return build.without_empty(obs).groupBy("feature").agg(F.count("value").alias("n_valid"))
 
 
-@query("importance_cut", "WITH i AS (SELECT p_brand AS feature, CAST(sum(p_size) AS BIGINT) AS importance FROM part GROUP BY 1), c AS (SELECT feature, importance, row_number() over (order by importance desc, feature) AS rank, CAST(sum(importance) over (order by importance desc, feature rows unbounded preceding) AS DOUBLE) AS cum, CAST(sum(importance) over () AS DOUBLE) AS total FROM i) SELECT feature, importance, rank, round(cum / total, 6) AS cumulative FROM c WHERE (cum - importance) / total < 0.95")
+@query("excess_returns", PANEL_SQL + "x AS (SELECT 1) SELECT row_id, round(forward_returns - risk_free_rate, 8) + 0.0 AS excess_returns FROM panel")
 def _(spark, d):
-    i = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("feature")).agg(F.sum("p_size").alias("importance"))
-    return screening.importance_cut(i).select("feature", "importance", F.col("rank").cast("long").alias("rank"), F.round("cumulative", 6).alias("cumulative"))
+    return daily_panel(spark, d).select("row_id", (F.round(F.col("forward_returns") - F.col("risk_free_rate"), 8) + 0.0).alias(selection.TARGET))
+
+
+W_ALL = "over (partition by feature order by row_id rows between unbounded preceding and 1 preceding)"
+
+
+@query("winsorized_expanding", obs_sql() + f"b AS (SELECT row_id, feature, value, quantile_cont(value, 0.02) {W_ALL} AS lo, quantile_cont(value, 0.98) {W_ALL} AS hi FROM obs), o AS (SELECT row_id, feature, coalesce(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 0.0) AS value FROM b) " + ROWS + "o")
+def _(spark, d):
+    o = observations(daily_panel(spark, d))
+    b = o.withColumn("b", ts.winsor_bounds(F.col("value"), None))
+    return rows(b.select("row_id", "feature", ts.winsorized(F.col("value"), F.col("b")).alias("value")))
+
+
+NAMES = tuple(f"{c}{s}" for c in (*FEATURES, "P_x") for s in ("", "_z21", "_z63", "_z126", "_mean21", "_pc1", "_pc1_z126")) + (*LABELS, "lagged_excess", "XINT_S1_S2_diff", "excess_returns", "date_id", "is_scored")
+ONE_OF = "('date_id', 'row_id', 'is_scored', 'forward_returns', 'risk_free_rate', 'market_forward_excess_returns'"
+
+
+def _picker_sql() -> str:
+    lags, pc = "starts_with(feature, 'lagged_')", "(ends_with(feature, '_pc1') OR contains(feature, '_pc1_'))"
+    z = " OR ".join(f"(starts_with(feature, '{p}') AND ends_with(feature, '_z{w}'))" for p, ws in features.GATED.items() for w in ws)
+    return (
+        f"WITH n AS (SELECT unnest([{', '.join(repr(x) for x in NAMES)}]) AS feature) SELECT feature, feature NOT IN {ONE_OF}, 'excess_returns') AND NOT {lags} AND NOT starts_with(feature, 'XINT_') AND NOT {pc} AS base, "
+        f"feature NOT IN {ONE_OF}, 'excess_returns') AS main, feature IN {ONE_OF}) OR {lags} AS excluded, substr(feature, 1, 1) IN ('E', 'S') AS late_block, {z} AS gated, starts_with(feature, 'M') AND ends_with(feature, '_z21') AS m_group, "
+        "split_part(feature, '_', 1) IN ('P', 'I', 'S') AND contains(feature, '_mean') AS literal_mean FROM n"
+    )
+
+
+@query("column_pickers", _picker_sql())
+def _(spark, d):
+    c = F.col("feature")
+    flags = {"base": selection.BASE, "main": selection.MAIN, "excluded": selection.EXCLUDED, "late_block": selection.LATE_BLOCK, "gated": selection.z_scores(features.GATED), "m_group": selection.group_members("M"), "literal_mean": selection.literal_means()}
+    return spark.createDataFrame([(n,) for n in NAMES], "feature string").select("feature", *(c.rlike(p).alias(k) for k, p in flags.items()))
 
 
 @query("rolling_folds", PANEL_SQL + "x AS (SELECT count(*) AS n FROM panel), f AS (SELECT unnest(range(0, CAST((n - 752 - 21) // 21 + 1 AS BIGINT))) AS fold FROM x) SELECT fold, fold * 21 AS tr_start, 752 + fold * 21 AS tr_end, 752 + fold * 21 AS va_start, 773 + fold * 21 AS va_end FROM f")
@@ -255,18 +364,18 @@ def _(spark, d):
     return validation.fold_mse_ratio(pred, validation.rolling_folds(spark, panel.count())).select("fold", r6("ratio"), r6("recent"))
 
 
-@query("standard_scale", obs_sql(SOME) + "n AS (SELECT count(*) - 180 AS n FROM panel), s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS sd FROM obs, n WHERE row_id < n GROUP BY feature), o AS (SELECT row_id, feature, (value - m) / sd AS value FROM obs JOIN s USING (feature)) " + ROWS + "o")
+@query("standard_scale", obs_sql() + "n AS (SELECT count(*) - 180 AS n FROM panel), s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS sd FROM obs, n WHERE row_id < n GROUP BY feature), o AS (SELECT row_id, feature, (value - m) / sd AS value FROM obs JOIN s USING (feature)) " + ROWS + "o")
 def _(spark, d):
     panel = daily_panel(spark, d)
-    return rows(validation.standard_scale(observations(panel, SOME), panel.count() - 180))
+    return rows(validation.standard_scale(observations(panel), panel.count() - 180))
 
 
 OLS = "ol AS (SELECT row_id, forward_returns, risk_free_rate, regr_slope(forward_returns, M1) over w * M1 + regr_intercept(forward_returns, M1) over w AS yhat FROM panel WINDOW w AS (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
 
 
-@query("ols_walk_forward_1d", PANEL_SQL + OLS + "x AS (SELECT 1) SELECT row_id, round(yhat, 6) + 0.0 AS yhat FROM ol WHERE row_id >= 30")
+@query("ols_walk_forward_1d", PANEL_SQL + OLS + "x AS (SELECT 1) SELECT row_id, round(yhat, 6) + 0.0 AS yhat FROM ol")
 def _(spark, d):
-    return validation.linear_walk_forward(daily_panel(spark, d), "M1", "forward_returns").where("row_id >= 30").select("row_id", r6("yhat"))
+    return validation.linear_walk_forward(daily_panel(spark, d), "M1", "forward_returns").select("row_id", r6("yhat"))
 
 
 RULE = "rl AS (SELECT row_id, forward_returns, risk_free_rate, M1, lag(forward_returns) over (order by row_id) AS pred, CASE WHEN count(forward_returns) over w = 21 THEN stddev_samp(forward_returns) over w END AS vol, CASE WHEN count(forward_returns) over w = 21 THEN avg(forward_returns) over w END AS mom FROM panel WINDOW w AS (ORDER BY row_id ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)), p0 AS (SELECT *, 1 + tanh(6 * pred / (CASE WHEN vol IS NULL OR vol < 1e-4 THEN 1e-4 ELSE vol END)) AS raw FROM rl), p1 AS (SELECT *, CASE WHEN mom < -0.0005 AND raw > 1 THEN 1.0 ELSE raw END AS r FROM p0), pos AS (SELECT row_id, forward_returns, risk_free_rate, CASE WHEN r < 0 THEN 0.0 WHEN r > 2 THEN 2.0 ELSE r END AS position FROM p1), "
@@ -304,9 +413,18 @@ def _(spark, d):
     return returns(spark, d).select("row_id", (F.round("ret", 8) + 0.0).alias("ret"), (F.round("ex", 8) + 0.0).alias("ex"))
 
 
-@query("adjusted_sharpe", PANEL_SQL + RULE + RET + "a AS (SELECT count(*) AS n, product(1 + ret - risk_free_rate) AS se, product(1 + forward_returns - risk_free_rate) AS me, stddev_pop(ret) AS sd, stddev_pop(forward_returns) AS md FROM rt), b AS (SELECT *, pow(se, 1.0 / n) - 1 AS sg, pow(me, 1.0 / n) - 1 AS mg FROM a), c AS (SELECT *, CASE WHEN sd > 0 THEN sg / sd * sqrt(252) ELSE 0 END AS sharpe, 1 + CASE WHEN sd / md - 1.2 > 0 THEN sd / md - 1.2 ELSE 0 END AS vp, 1 + pow(CASE WHEN (mg - sg) * 100 * 252 > 0 THEN (mg - sg) * 100 * 252 ELSE 0 END, 2) / 100 AS rp FROM b) SELECT n AS n_days, round(sharpe, 6) + 0.0 AS sharpe, round(vp, 6) + 0.0 AS vol_penalty, round(rp, 6) + 0.0 AS return_penalty, round(CASE WHEN sd = 0 OR md = 0 THEN 0 ELSE least(sharpe / (vp * rp), 1e6) END, 6) + 0.0 AS adjusted_sharpe FROM c")
+SHARPE = "a AS (SELECT count(*) AS n, product(1 + ret - risk_free_rate) AS se, product(1 + forward_returns - risk_free_rate) AS me, stddev_pop(ret) AS sd, stddev_pop(forward_returns) AS md FROM rt), b AS (SELECT *, pow(se, 1.0 / n) - 1 AS sg, pow(me, 1.0 / n) - 1 AS mg FROM a), c AS (SELECT *, CASE WHEN sd > 0 THEN sg / sd * sqrt(252) ELSE 0 END AS sharpe, 1 + CASE WHEN sd / md - 1.2 > 0 THEN sd / md - 1.2 ELSE 0 END AS vol_penalty, 1 + pow(CASE WHEN (mg - sg) * 100 * 252 > 0 THEN (mg - sg) * 100 * 252 ELSE 0 END, 2) / 100 AS return_penalty, sd * sqrt(252) * 100 AS strategy_vol_annual, md * sqrt(252) * 100 AS market_vol_annual, sg AS strat_mean_excess, mg AS mkt_mean_excess FROM b), e AS (SELECT *, CASE WHEN sd = 0 OR md = 0 THEN 0 ELSE least(sharpe / (vol_penalty * return_penalty), 1e6) END AS adjusted_sharpe FROM c) SELECT n AS n_days, "
+PARTS = ("sharpe", "strategy_vol_annual", "market_vol_annual", "vol_penalty", "return_penalty", "strat_mean_excess", "mkt_mean_excess", "adjusted_sharpe")
+
+
+@query("adjusted_sharpe", PANEL_SQL + RULE + RET + SHARPE + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in PARTS) + " FROM e")
 def _(spark, d):
-    return finance.adjusted_sharpe(positions(spark, d).where("position IS NOT NULL AND forward_returns IS NOT NULL")).select("n_days", *(r6(c) for c in ("sharpe", "vol_penalty", "return_penalty", "adjusted_sharpe")))
+    return finance.adjusted_sharpe(positions(spark, d).where("position IS NOT NULL AND forward_returns IS NOT NULL")).select("n_days", *(r6(c) for c in PARTS))
+
+
+@query("return_distribution", PANEL_SQL + RULE + RET + "x AS (SELECT 1) SELECT CAST(floor(ret / 0.0005) AS BIGINT) AS step, count(*) AS n FROM rt WHERE ret IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    return finance.distribution(returns(spark, d)).select(F.round(F.col("low") / 0.0005).cast("long").alias("step"), "n")
 
 
 @query("drawdown", PANEL_SQL + RULE + RET + "c AS (SELECT row_id, exp(sum(ln(1 + ret)) over (order by row_id)) AS curve FROM rt) SELECT row_id, round(curve, 6) AS curve, round(curve / max(curve) over (order by row_id) - 1, 6) + 0.0 AS drawdown FROM c")
@@ -319,24 +437,90 @@ def _(spark, d):
     return finance.turnover(positions(spark, d)).select("row_id", r6("turnover"))
 
 
-MODEL = ["M1", "M2", "M4", "P1", "I1", "S1", "V3", "V4"]
+Y = "forward_returns"
 
 
 @query("pc1_score")
 def _(spark, d):
-    return features.causal_pc1(daily_panel(spark, d), MODEL, 126, 126).select("row_id", r6("pc1"))
+    return features.causal_pc1(daily_panel(spark, d), list(FEATURES), 126, 126).select("row_id", r6("pc1"))
+
+
+@query("group_components")
+def _(spark, d):
+    return rows(features.group_components(ts.base_block(observations(daily_panel(spark, d)))))
+
+
+#: The features that the build makes of the panel but for components and gates, which SQL cannot tell.
+def _build_sql() -> str:
+    shifted = ", ".join(f"lag({c}, 10) over (order by row_id) AS {c}" if c in LATE else c for c in FEATURES)
+    lead = (
+        PANEL_SQL + "rw AS (SELECT row_number() over (order by row_id) - 1 AS row_id, * EXCLUDE (row_id) FROM (SELECT * FROM panel ORDER BY row_id DESC LIMIT 5000)), "
+        f"sh AS (SELECT row_id - 10 AS row_id, {shifted}, {', '.join(LABELS)} FROM rw), cut AS (SELECT * FROM sh WHERE row_id >= 0), "
+        "w AS (SELECT row_id, " + ", ".join(f"lag({c}) over (order by row_id) AS lagged_{c}" for c in LABELS) + " FROM cut), w2 AS (SELECT *, lagged_forward_returns - lagged_risk_free_rate AS lagged_excess FROM w), "
+        "l AS (SELECT row_id, unnest([" + ", ".join(f"'lagged_{c}'" for c in LABELS) + ", 'lagged_excess']) AS feature, unnest([" + ", ".join(f"lagged_{c}" for c in LABELS) + ", lagged_excess]) AS value FROM w2), la AS (SELECT * FROM l WHERE feature <> 'lagged_excess'), lb AS (SELECT * FROM l WHERE feature = 'lagged_excess'), "
+        "lags AS (SELECT row_id - 62 AS row_id, feature, value FROM (SELECT row_id, feature, value FROM l" + "".join(" UNION ALL " + roll_sql("la", w, ("mean", "std", "z")) for w in ts.LAG_WINDOWS) + "".join(" UNION ALL " + roll_sql("lb", w, ("mean", "std", "z")) for w in ts.EXCESS_WINDOWS) + " UNION ALL " + diff_sql("l") + ") WHERE row_id >= 62), "
+        "bu AS (SELECT row_id - 62 AS row_id, * EXCLUDE (row_id), forward_returns - risk_free_rate AS excess_returns FROM cut WHERE row_id >= 62), "
+        "obs AS (SELECT row_id, unnest([" + ", ".join(f"'{c}'" for c in FEATURES) + "]) AS feature, unnest([" + ", ".join(FEATURES) + "]) AS value FROM bu), "
+        + GROUPS_SQL.strip() + ", ok AS (SELECT * FROM obs WHERE feature NOT IN (SELECT feature FROM fv WHERE late)), "
+    )
+    pairs = [f"SELECT x.row_id, 'XINT_{a}_{b}_{op}' AS feature, " + ("x.value - y.value" if op == "diff" else "CASE WHEN abs(y.value) > 1e-6 THEN x.value / y.value END") + f" AS value FROM (SELECT * FROM ok WHERE feature = '{a}') x JOIN (SELECT * FROM ok WHERE feature = '{b}') y USING (row_id)" for a, b, op in features.INTERACTIONS]
+    known = ", ".join(f"'{c}'" for c in (*LABELS, "excess_returns")), ", ".join((*LABELS, "excess_returns"))
+    blocks = [roll_sql(f"(SELECT * FROM ok WHERE regexp_extract(feature, '^(MOM|E|S|V|M|P|I|D)', 1) = '{n}')", w, ("mean", "z", "pos")) for n in (*ts.WINDOWS, "D") for w in ts.WINDOWS.get(n, ts.DEFAULT_WINDOWS)]
+    every = " UNION ALL ".join([*(f"({x})" for x in pairs), *blocks, diff_sql("ok"), "SELECT * FROM ok", "SELECT * FROM lags", f"SELECT row_id, unnest([{known[0]}]) AS feature, unnest([{known[1]}]) AS value FROM bu"])
+    return lead + f"o AS ({every}) SELECT feature, count(*) AS n_rows, count(value) AS n_valid, {PLACED.format('avg(value)')} AS mean FROM o GROUP BY feature"
+
+
+@query("feature_build_profile", _build_sql())
+def _(spark, d):
+    out = build.build_features(daily_panel(spark, d)).where(~F.col("feature").rlike("_pc1|_g(E|V|Vstrong)$"))
+    return out.groupBy("feature").agg(F.count("*").alias("n_rows"), F.count("value").alias("n_valid"), placed(F.avg("value")).alias("mean"))
+
+
+@query("feature_build")
+def _(spark, d):
+    return rows(build.build_features(daily_panel(spark, d)))
+
+
+def _model_table(spark, d):
+    """Features and the labels, with the volatility and momentum of lagged returns that the position rule asks for."""
+    panel = daily_panel(spark, d)
+    lags = ts.rolling_long(panel.select("row_id", F.lit("lagged_forward_returns").alias("feature"), F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("value")), (21,), ("mean", "std"), with_diff=False)
+    return panel.select("row_id", *FEATURES, *LABELS).join(build.to_wide(lags, ["lagged_forward_returns_mean21", "lagged_forward_returns_std21"]), "row_id")
 
 
 @query("tree_importance")
 def _(spark, d):
-    return validation.tree_importance(spark, daily_panel(spark, d).select("row_id", *MODEL, "forward_returns"), MODEL, "forward_returns")
+    return validation.tree_importance(spark, _model_table(spark, d), list(FEATURES), Y)
 
 
 @query("walk_forward_hybrid")
 def _(spark, d):
-    return validation.walk_forward_hybrid(spark, daily_panel(spark, d).select("row_id", *MODEL, "forward_returns"), MODEL, "forward_returns")
+    wide = _model_table(spark, d)
+    pred = validation.walk_forward(spark, wide, list(FEATURES), Y)
+    return pred.join(validation.held_positions(pred, wide, "hybrid").select("row_id", "position"), "row_id")
+
+
+@query("walk_forward_scores")
+def _(spark, d):
+    wide = _model_table(spark, d)
+    return validation.walk_forward_scores(validation.walk_forward(spark, wide, list(FEATURES), Y), wide)
+
+
+HELD_SQL = (
+    PANEL_SQL + "hb AS (SELECT row_id, forward_returns, risk_free_rate, lag(forward_returns) over (order by row_id) AS lr FROM panel), hv AS (SELECT *, CASE WHEN count(lr) over w = 21 THEN stddev_samp(lr) over w END AS vol, CASE WHEN count(lr) over w = 21 THEN avg(lr) over w END AS mom FROM hb WINDOW w AS (ORDER BY row_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)), "
+    "hp AS (SELECT *, 1 + tanh(6 * lr / (CASE WHEN vol IS NULL OR vol < 1e-4 THEN 1e-4 ELSE vol END)) AS raw FROM hv WHERE row_id >= (SELECT count(*) - 180 FROM panel)) SELECT row_id, round(forward_returns, 8) + 0.0 AS forward_returns, round(risk_free_rate, 8) + 0.0 AS risk_free_rate, round(CASE WHEN mom < -0.0005 AND raw > 1 THEN 1 WHEN raw < 0 THEN 0 WHEN raw > 2 THEN 2 ELSE raw END, 6) + 0.0 AS position FROM hp"
+)
+
+
+@query("held_positions", HELD_SQL)
+def _(spark, d):
+    """The position rule over the rows held out, on a prediction that SQL can tell: the day before's return."""
+    wide = _model_table(spark, d)
+    n = wide.count()
+    pred = wide.select("row_id", F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("naive")).where(F.col("row_id") >= n - 180)
+    return validation.held_positions(pred, wide, "naive").select("row_id", *((F.round(c, 8) + 0.0).alias(c) for c in ("forward_returns", "risk_free_rate")), r6("position"))
 
 
 @query("param_search")
 def _(spark, d):
-    return validation.param_search(spark, daily_panel(spark, d).select("row_id", *MODEL, "forward_returns"), MODEL, "forward_returns")
+    return validation.param_search(spark, _model_table(spark, d), list(FEATURES), Y)

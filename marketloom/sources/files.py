@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.validation import Trees
+
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV file with a header (by `schema`, or inferred) or a Parquet table. NaN in a double becomes NULL."""
@@ -33,3 +39,29 @@ def write_results(record: DataFrame, path: str) -> None:
 def save_model(model, path: str) -> None:
     """Any fitted pyspark.ml model or pipeline."""
     model.write().overwrite().save(path)
+
+
+def record_dict(model: Trees | dict) -> dict:
+    """A fitted model as plain numbers; lines and scalers are such dictionaries already."""
+    if isinstance(model, dict):
+        return {"kind": "numbers", "values": model}
+    return {"kind": "trees", "parameters": asdict(model), "cuts": [c.tolist() for c in model.cuts], "base": model.base, "used": model.used.tolist(), "made": model.made}
+
+
+def read_record_dict(record: dict) -> Trees | dict:
+    if record["kind"] == "numbers":
+        return record["values"]
+    model = Trees(**record["parameters"])
+    model.cuts, model.base, model.used = [np.array(c, dtype=float) for c in record["cuts"]], record["base"], np.array(record["used"])
+    model.made = [[tuple(node) if isinstance(node, list | tuple) else node for node in tree] for tree in record["made"]]
+    return model
+
+
+def save_fitted(spark: SparkSession, model: Trees | dict, path: str) -> None:
+    """One of the library's own models, or the numbers of a line or scaler, as one JSON text."""
+    spark.createDataFrame([(json.dumps(record_dict(model)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_fitted(spark: SparkSession, path: str) -> Trees | dict:
+    """What save_fitted wrote."""
+    return read_record_dict(json.loads(spark.read.text(path, wholetext=True).first()[0]))

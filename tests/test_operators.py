@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import finance
-from marketloom.operators import features, screening, timeseries as ts, validation
+from marketloom.operators import build, features, screening, selection, timeseries as ts, validation
+from marketloom.sources import files
 
 
 def frame(spark, values, name="x"):
@@ -59,10 +60,130 @@ def test_spearman_takes_shared_rows(spark):
 
 
 def test_ratio_guards_its_denominator(spark):
-    df = spark.createDataFrame([(0, 1.0, 0.0), (1, 1.0, 1e-6), (2, 1.0, 2e-6), (3, 1.0, None)], "row_id long, P1 double, E1 double")
-    got = features.interactions(df).orderBy("row_id").toPandas()
-    assert got["XINT_P1_E1_ratio"].isna().tolist() == [True, True, False, True]
-    assert got["XINT_P1_E1_ratio_denom_small"].tolist() == [1, 1, 0, 1]
+    df = spark.createDataFrame([(0, 1.0, 0.0), (1, 1.0, 1e-6), (2, 1.0, 2e-6), (3, 1.0, None), (4, None, 0.5)], "row_id long, P1 double, E1 double")
+    got = features.interactions(df, flags=True).orderBy("row_id").toPandas()
+    assert got["XINT_P1_E1_ratio"].isna().tolist() == [True, True, False, True, True]
+    assert got["XINT_P1_E1_ratio_denom_small"].tolist() == [1, 1, 0, 0, 0]  # a missing denominator is not a small one
+    assert got["XINT_P1_E1_ratio_miss"].tolist() == [0, 0, 0, 1, 1]
+    assert features.interactions(df).columns == ["row_id", "XINT_P1_E1_ratio"]
+    assert features.interactions(df, (("P1", "E1", "sum"), ("P1", "X", "diff"))).columns == ["row_id"]
+
+
+def test_gate_options(spark):
+    obs, g = frame(spark, [None, 2.0, 3.0], "S1_z21"), spark.createDataFrame([(0, 1.5), (1, None), (2, 2.0)], "row_id long, g double")
+    got = {(r.row_id, r.feature): r.value for r in features.gated(obs, g, "V", missing_term=True, mask=True, least=2, window=3).collect()}
+    assert [got[i, "S1_z21_gV"] for i in range(3)] == [0, 0, 6] and [got[i, "S1_z21_gV_unavail"] for i in range(3)] == [1, 1, 0] and [got[i, "S1_z21_gV_miss"] for i in range(3)] == [1.5, 0, 0]
+    assert {r.feature for r in features.gated(obs, g, "V").collect()} == {"S1_z21_gV"}
+
+
+def test_pickers(spark):
+    df = spark.createDataFrame([(1, 1.0, True, "x", 1.0, 1.0, 1.0, 1.0)], "date_id long, M1 double, flag boolean, name string, lagged_excess double, XINT_a double, V_pc1 double, excess_returns double")
+    assert selection.base_columns(df) == ["M1", "flag"]
+    assert selection.main_columns(df) == ["M1", "lagged_excess", "XINT_a", "V_pc1"]
+    assert selection.matching(["MOM1_z21", "M1_z21", "M1_z63", "M1_z2"], selection.z_scores({"M": (21, 63), "MOM": (21,)})) == ["MOM1_z21", "M1_z21", "M1_z63"]
+    assert selection.matching(["P1_mean5", "P_mean5", "P_x_mean5"], selection.literal_means()) == ["P_mean5", "P_x_mean5"]
+    assert selection.matching(["P1_mean5", "V1_mean5"], selection.literal_means(whole_group=True)) == ["P1_mean5"]
+
+
+@pytest.mark.parametrize("method", ["spearman", "pearson"])
+def test_correlations_of_gappy_features(spark, method):
+    rng = np.random.default_rng(4)
+    x = pd.DataFrame(rng.integers(0, 12, (60, 6)).astype(float), columns=list("abcdef"))
+    x["c"] = x["a"] * 2 + (x.index % 7 == 0)
+    x["flat"] = 3.0
+    x.loc[::5, "d"] = np.nan
+    x.loc[1::4, "e"] = np.nan
+    rows = [(int(i), c, None if np.isnan(v) else float(v)) for c in x for i, v in x[c].items()]
+    got = {(r.a, r.b): r.rho for r in screening.correlations(spark.createDataFrame(rows, "row_id long, feature string, value double"), method).collect()}
+    want = x.corr(method="pearson") if method == "pearson" else pd.DataFrame({a: {b: x[[a, b]].dropna().rank().corr().iloc[0, 1] if a != b else 1 for b in x} for a in x})
+    assert len(got) == 21
+    for (a, b), rho in got.items():
+        assert (rho is None and np.isnan(want[a][b])) or rho == pytest.approx(want[a][b], abs=1e-12)
+
+
+def test_screen_reports_why(spark):
+    rows = [(i, f, v) for i in range(20) for f, v in (("a", float(i)), ("b", 2.0 * i), ("c", 1.0), ("d", None if i else 1.0), ("e", float(i % 3)))]
+    obs = spark.createDataFrame(rows, "row_id long, feature string, value double")
+    report = screening.screen_report(obs, missing=0.5, sample=10)
+    assert {r.feature: r.reason for r in report.collect()} == {"a": None, "b": "correlated", "c": "constant", "d": "missing", "e": None}
+    assert screening.screen_counts(report, obs, 10).first().asDict() == {"n_total": 5, "drop_na": 1, "drop_const": 1, "drop_corr": 1, "n_kept": 2, "rows_used_for_corr": 10}
+    assert {r[0] for r in screening.coarse_screen(obs, missing=0.5).collect()} == {"a", "e"}
+
+
+def raw_table(n, late=0):
+    rng = np.random.default_rng(2)
+    names = [f"{g}{i}" for g, k in (("V", 5), ("M", 5), ("S", 5), ("I", 5), ("P", 1), ("E", 2), ("MOM", 1), ("D", 1)) for i in range(1, k + 1)]
+    x = pd.DataFrame(rng.normal(size=(n, len(names))), columns=names)
+    x["I7"] = 1.0
+    x.loc[: n - 2, "V5"] = np.nan  # starts on the last day
+    for c in selection.LABELS:
+        x[c] = 0.01 * rng.normal(size=n)
+    return x.assign(row_id=range(n))
+
+
+def test_feature_build(spark):
+    """Names, counts and values of the whole build against pandas; no value sees a later day."""
+    n = 420
+    x = raw_table(n)
+    df = spark.createDataFrame(x.astype(object).where(x.notna(), None), ", ".join(f"{c} {'long' if c == 'row_id' else 'double'}" for c in x))
+    got = build.build_features(df).toPandas()
+    names = got.feature.value_counts()
+    assert (names == n - 72).all() and got.row_id.min() == 0 and got.row_id.max() == n - 73
+    every = set(names.index)
+    kept = [c for c in x.columns if c not in (*selection.LABELS, "row_id", "V5")]
+    each = {"V": 10, "S": 10, "M": 13, "MOM": 7, "E": 10, "P": 10, "I": 7, "D": 7}
+    prefix = lambda c: next(p for p in ("E", "S", "V", "MOM", "M", "P", "I", "D") if c.startswith(p))
+    assert sum(c.startswith("lagged_") for c in every) == 86
+    block = [c for c in every if any(c.startswith(f"{k}_") for k in kept) and "_g" not in c]
+    assert len(block) == sum(each[prefix(c)] for c in kept)
+    assert {c for c in every if "_pc1" in c and "_g" not in c} == {f"{g}_pc1{s}" for g, z in (("V", 126), ("M", 126), ("MOM", 126), ("S", 252), ("I", 252)) for s in ("", f"_z{z}", "_pos")}
+    gates = lambda g: sum(c.endswith(f"_g{g}") for c in every)
+    assert gates("E") == 0 and gates("Vstrong") == 5 and gates("V") == 5 + 2 * 5 + 1 + 2 * 2 + 2 + 6
+    assert {c for c in every if c.startswith("XINT_")} == {"XINT_I2_I1_diff", "XINT_I7_I1_diff", "XINT_P1_E1_ratio", "XINT_V1_M1_ratio", "XINT_S1_S2_diff"}
+    wide = got.pivot(index="row_id", columns="feature", values="value")
+    z = x.copy()
+    late = [c for c in kept if c[0] in "ES"]
+    z[late] = z[late].shift(10)
+    z = z.iloc[10:].reset_index(drop=True)
+    lag = z["forward_returns"].shift(1)
+    z = z.iloc[62:].reset_index(drop=True)
+    np.testing.assert_allclose(wide["lagged_forward_returns_z21"], ((lag - lag.rolling(21).mean()) / (lag.rolling(21).std() + 1e-9)).iloc[62:], atol=1e-9)
+    for c, w in (("E1", 126), ("S3", 21), ("MOM1", 21)):
+        r = z[c].rolling(w)
+        np.testing.assert_allclose(wide[f"{c}_z{w}"], (z[c] - r.mean()) / (r.std() + 1e-9), atol=1e-7)
+    np.testing.assert_allclose(wide["excess_returns"], z["forward_returns"] - z["risk_free_rate"])
+    # The component of V: windows of 126 rows before each, on the z-scores of 21.
+    v = wide[[f"V{i}_z21" for i in range(1, 5)]].to_numpy()
+    assert wide["V_pc1"].isna().all()  # four columns are too few
+    s = wide[[f"S{i}_z21" for i in range(1, 6)]].to_numpy()
+    score = np.array([features.first_component(s[t - 126 : t], s[t], 0.98, 5) if t >= 126 else np.nan for t in range(len(s))])
+    np.testing.assert_allclose(wide["S_pc1"].to_numpy(dtype=float), score, atol=1e-9)
+    zs = (pd.Series(score) - pd.Series(score).rolling(252, min_periods=1).mean()) / pd.Series(score).rolling(252, min_periods=1).std()
+    np.testing.assert_allclose(wide["S_pc1_z252"].to_numpy(dtype=float), zs, atol=1e-7)
+    np.testing.assert_allclose(wide["S_pc1_pos"].to_numpy(dtype=float), zs.clip(lower=0), atol=1e-7)
+    np.testing.assert_allclose(wide["I1_z63_gV"].to_numpy(dtype=float), wide["I1_z63"].fillna(0).to_numpy(dtype=float))  # the gate of NULLs is 1
+    assert len(v) == n - 72
+
+
+def test_feature_build_of_few_columns_and_rows(spark):
+    df = spark.createDataFrame([(i, float(i), 0.1 * i) for i in range(100)], "row_id long, M1 double, forward_returns double")
+    got = build.build_features(df, build.Build(burn=5)).toPandas()
+    assert got.row_id.nunique() == 95 and "lagged_forward_returns_mean5" in set(got.feature) and "excess_returns" not in set(got.feature) and not [f for f in set(got.feature) if f.endswith("_gV")]
+    assert build.build_features(df, build.Build(burn=5, complete_only=True)).count() < len(got)
+    assert build.build_features(df.limit(20)).count() == 0
+
+
+def test_components_across_parts(spark, monkeypatch):
+    """Rows dealt to several tasks, by entity and over all rows before."""
+    monkeypatch.setattr(features, "DAYS", 7)
+    rng = np.random.default_rng(1)
+    x = {e: rng.normal(size=(40, 6)) for e in ("a", "b")}
+    names = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame(pd.concat([pd.DataFrame(m, columns=names).assign(row_id=range(40), who=e) for e, m in x.items()]))
+    for window in (12, None):
+        for r in features.causal_pc1(df, names, window, 15, by="who").collect():
+            want = features.first_component(x[r.entity][0 if window is None else r.row_id - window : r.row_id], x[r.entity][r.row_id], 0.98, 5) if r.row_id >= 15 else None
+            assert (r.pc1 is None) == (want is None) and (want is None or r.pc1 == pytest.approx(want))
 
 
 def test_position_rule_and_modes(spark):
@@ -76,7 +197,28 @@ def test_position_rule_and_modes(spark):
 def test_sharpe_without_variance_is_zero(spark):
     df = spark.createDataFrame([(0.0, 0.01, 1.0)] * 5, "risk_free_rate double, forward_returns double, position double")
     assert finance.adjusted_sharpe(df).first()["adjusted_sharpe"] == 0
+    none = finance.adjusted_sharpe(df.where("false")).first()
+    assert none["adjusted_sharpe"] == 0 and none["n_days"] == 0
+    with pytest.raises(ValueError):
+        finance.adjusted_sharpe(df, mode="forward return")
+
+
+def test_sharpe_parts(spark):
+    rng = np.random.default_rng(3)
+    rf, fr, p = np.full(50, 1e-4), 0.01 * rng.normal(size=50), rng.uniform(-1, 3, 50)
+    got = finance.adjusted_sharpe(spark.createDataFrame([tuple(map(float, r)) for r in zip(rf, fr, p)], "risk_free_rate double, forward_returns double, position double")).first()
+    pos = p.clip(0, 2)
+    ret = rf * (1 - pos) + pos * fr
+    mean = np.prod(1 + ret - rf) ** (1 / 50) - 1
+    assert got.strat_mean_excess == pytest.approx(mean) and got.sharpe == pytest.approx(mean / ret.std() * 252**0.5) and got.strategy_vol_annual == pytest.approx(ret.std() * 252**0.5 * 100)
+    assert got.adjusted_sharpe == pytest.approx(got.sharpe / got.vol_penalty / got.return_penalty)
+
 
+def test_distribution_and_entities(spark):
+    df = spark.createDataFrame([(e, i, r) for e in "ab" for i, r in enumerate((0.0011, None, -0.0002, 0.0013))], "who string, row_id long, ret double")
+    assert {round(r.low, 6): r.n for r in finance.distribution(df, width=0.001).collect()} == {0.001: 4, -0.001: 2}
+    t = finance.turnover(df, "ret", by="who").toPandas()
+    assert t.turnover.isna().sum() == 6 and sorted(ts.tail(df, 2, by="who").toPandas().row_id) == [0, 0, 1, 1]
 
 @pytest.mark.parametrize(("n", "folds"), [(772, 0), (773, 1), (793, 1), (794, 2)])
 def test_fold_counts(spark, n, folds):
@@ -98,23 +240,99 @@ def test_component_is_causal_and_matches_svd(spark):
     assert abs(got[40]) == pytest.approx(abs((clipped - t.mean(0)) @ v))
 
 
-def test_param_search_validates_each_fold(spark):
+def test_trees_against_plain_search():
+    """The first split against all cuts by hand; missing values go low; shares and penalties are honoured."""
     rng = np.random.default_rng(0)
-    x, n = rng.normal(size=(120, 2)), 120
-    pdf = pd.DataFrame({"row_id": range(n), "a": x[:, 0], "b": x[:, 1], "y": x[:, 0] + rng.normal(size=n)})
-    got = validation.param_search(spark, spark.createDataFrame(pdf), ["a", "b"], "y", trials=2, train=40, val=5, step=5).collect()
-    assert len(got) == 2 and {r.folds for r in got} == {16}
-    for r in got:
-        ratios = []
-        for at in range(40, n - 4, 5):
-            z, target = validation._matrix(pdf[(pdf.row_id >= at - 40) & (pdf.row_id < at + 5)], ["a", "b"], "y")
-            err = target[40:] - validation.Boosted(r.trees, r.rate, r.depth).fit(z[:40], target[:40]).predict(z[40:])
-            ratios.append((err**2).mean() / (target[40:] ** 2).mean())
-        assert r.ratio == pytest.approx(np.mean(ratios[-10:])) and r["mean"] == pytest.approx(np.mean(ratios))
-
+    x = rng.normal(size=(200, 3))
+    y = (x[:, 1] > 0.3) * 2.0 + 0.01 * rng.normal(size=200)
+    t = validation.Trees(n_estimators=1, learning_rate=1.0, num_leaves=2, min_child_samples=10).fit(x, y)
+    assert t.used.tolist() == [0, 1, 0]
+    gains = [(k * (200 - k) / 200 * (y[m].mean() - y[~m].mean()) ** 2, c) for c in t.cuts[1] for m in [x[:, 1] <= c] for k in [m.sum()] if 10 <= k <= 190]
+    node = t.made[0][0]
+    assert t.cuts[1][node[1] - 1] == max(gains)[1]
+    m = x[:, 1] <= max(gains)[1]
+    np.testing.assert_allclose(t.predict(x), np.where(m, y[m].mean(), y[~m].mean()))
+    x[::3, 1] = np.nan
+    full = validation.Trees(n_estimators=60, learning_rate=0.2, num_leaves=8, min_child_samples=5, subsample=0.7, colsample_bytree=0.7, lambda_l2=1.0).fit(x, y)
+    assert ((full.predict(x) - y) ** 2).mean() < 0.5 * y.var()
+    assert validation.Trees(n_estimators=5, lambda_l1=1e9).fit(x, y).predict(x) == pytest.approx(np.full(200, y.mean()))
+    again = files.read_record_dict(files.record_dict(full))
+    np.testing.assert_array_equal(again.predict(x), full.predict(x))
+
+
+def test_lines_agree():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 4))
+    y = x @ np.array([1.0, -2.0, 0.0, 0.5]) + 3 + 0.01 * rng.normal(size=400)
+    for w, c in (validation.ridge(x, y), validation.descent(x, y)):
+        np.testing.assert_allclose([*w, c], [1, -2, 0, 0.5, 3], atol=0.05)
 
-def test_param_search_defaults_are_the_folds_of_rolling_folds():
-    import inspect
 
-    own, folds = (inspect.signature(f).parameters for f in (validation.param_search, validation.rolling_folds))
-    assert all(own[k].default == folds[k].default for k in ("train", "val", "step")) and own["trials"].default == 60
+def model_table(spark, n=120):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(n, 2))
+    y = 0.5 * x[:, 0] + np.where(x[:, 1] > 0, 1.0, -1.0) + 0.1 * rng.normal(size=n)
+    pdf = pd.DataFrame({"row_id": range(n), "a": x[:, 0], "b": x[:, 1], "y": y})
+    pdf.loc[n - 1, "y"] = np.nan
+    pdf.loc[3:5, "a"] = np.nan
+    return pdf, spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "row_id long, a double, b double, y double")
+
+
+def test_walk_forward_learns_from_the_past_alone(spark):
+    pdf, df = model_table(spark)
+    run = lambda t: validation.walk_forward(spark, t, ["a", "b"], "y", validation.Trees(n_estimators=10, min_child_samples=5), hold=30, refit=7, window=60).orderBy("row_id").toPandas()
+    got = run(df)
+    assert got.row_id.tolist() == list(range(90, 120))
+    x, y = validation.scaled(validation.filled_matrix(pdf, ["a", "b"]), slice(0, 90)), pdf.y.to_numpy()
+    for i in (90, 96, 97, 119):
+        w, c = validation.ridge(x[:i], y[:i])
+        assert got.linear[i - 90] == pytest.approx(x[i] @ w + c)
+    w, c = validation.ridge(x[:90], y[:90])
+    np.testing.assert_allclose(got.offline, x[90:] @ w + c)
+    assert ((got.hybrid - y[90:])[:-1] ** 2).mean() < ((got.linear - y[90:])[:-1] ** 2).mean()
+    later = run(df.withColumn("y", F.when(F.col("row_id") >= 104, 99.0).otherwise(F.col("y"))))
+    pd.testing.assert_frame_equal(got[got.row_id <= 104], later[later.row_id <= 104])
+
+
+def test_param_search_scores_the_last_folds(spark):
+    pdf, df = model_table(spark)
+    ranges = {"n_estimators": (3, 9, False), "learning_rate": (0.05, 0.3, True), "min_child_samples": (5, 10, False)}
+    search = lambda every: validation.param_search(spark, df, ["a", "b"], "y", trials=3, train=40, val=5, step=5, recent=4, every_fold=every, ranges=ranges).orderBy("trial").collect()
+    got, all_folds = search(False), search(True)
+    assert {r.folds for r in got} == {4} and {r.folds for r in all_folds} == {15} and [r.ratio for r in got] == [r.ratio for r in all_folds]
+    known = pdf[pdf.y.notna()]
+    x, y = validation.filled_matrix(known, ["a", "b"]), known.y.to_numpy()
+    whole = validation.scaled(x, slice(None))
+    w, c = validation.ridge(whole, y)
+    rest = y - whole @ w - c
+    for r, params in zip(got, validation.draw(3, 42, ranges)):
+        ratios = []
+        for at in range(40, len(y) - 4, 5):
+            part = validation.scaled(x[at - 40 : at + 5], slice(0, 40))
+            err = rest[at : at + 5] - validation.Trees(**params).fit(part[:40], rest[at - 40 : at]).predict(part[40:])
+            ratios.append((err**2).mean() / (rest[at : at + 5] ** 2).mean())
+        assert r.ratio == pytest.approx(np.mean(ratios[-4:]))
+    assert [r.best for r in got].count(True) == 1 and min(got, key=lambda r: r.ratio).best
+
+
+def test_folds_with_embargo_and_a_limit(spark):
+    got = validation.rolling_folds(spark, 900, embargo=5, most=2).orderBy("fold").collect()
+    assert [(r.tr_start, r.tr_end, r.va_start, r.va_end) for r in got] == [(0, 747, 752, 773), (16, 768, 773, 794)]
+
+
+def test_sinks_and_sources(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0, "x"), (2, float("nan"), None)], "row_id long, v double, s string")
+    for kind in ("csv", "parquet"):
+        at = f"{tmp_path}/t.{kind}"
+        files.write_table(df, at, kind)
+        got = files.read_table(spark, at).orderBy("row_id").collect()
+        assert [(r.row_id, r.v, r.s) for r in got] == [(1, 2.0, "x"), (2, None, None)]
+    files.write_feature_list(spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", 9.0)], "feature string, importance double"), f"{tmp_path}/f")
+    assert [r[0] for r in spark.read.option("header", True).csv(f"{tmp_path}/f").collect()] == ["c", "a", "b"]
+    files.write_results(spark.createDataFrame([(1.5, {"k": 2.0})], "score double, parts map<string, double>"), f"{tmp_path}/r")
+    assert spark.read.json(f"{tmp_path}/r").first().parts.k == 2.0
+    model = validation.Trees(n_estimators=2, min_child_samples=1).fit(np.arange(8.0).reshape(4, 2), np.arange(4.0))
+    files.save_fitted(spark, model, f"{tmp_path}/m")
+    np.testing.assert_array_equal(files.load_fitted(spark, f"{tmp_path}/m").predict(np.ones((1, 2))), model.predict(np.ones((1, 2))))
+    files.save_fitted(spark, {"weights": [1.0, 2.0], "intercept": 0.5}, f"{tmp_path}/l")
+    assert files.load_fitted(spark, f"{tmp_path}/l") == {"weights": [1.0, 2.0], "intercept": 0.5}
