@@ -2,60 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..sources.tables import Tables
+
 #: The bytes that end a word: space, tab, newline, vertical tab, form feed, return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors see.
-
-    Where it is unset the session must be a local one, as in tests; then a temporary folder serves.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-class Tables:
-    """Parquet tables in the shared folder that cut lineage; a lost executor loses none of them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/marketloom-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        at = self.path(name)
-        df.write.option("compression", "zstd").parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        out.saved_at = at
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = SparkContext._active_spark_context._jvm
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.saved_at)
-            p.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).delete(p, True)
-
-
 def map_lists(df: DataFrame, fn: Callable[..., tuple], schema: str, rows: int = 256, per_task: bool = False) -> DataFrame:
     """mapInArrow where fn gets the columns of up to `rows` rows as lists and returns lists.
 
@@ -73,24 +32,30 @@ def map_lists(df: DataFrame, fn: Callable[..., tuple], schema: str, rows: int =
     return df.mapInArrow(run, schema)
 
 
-def likely_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 27) -> DataFrame:
-    """Rows of df whose column may be in keys' only column: all that are, and few that are not.
+def likely(df: DataFrame, column: str, keys: DataFrame, name: str, bits: int = 27) -> DataFrame:
+    """df with a boolean: true for all rows whose column is in keys' only column, and for few others; false for a null.
 
     Spares an exact join's shuffle most rows. The bitmap that it broadcasts has 2 ** bits bits, 16 MB,
     whatever the input; where keys outgrow it, more rows pass, and the exact join that must follow
     still decides.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    name = keys.columns[0]
-    own = keys.select(F.shiftright(slot(name), 15).alias("_bucket"), slot(name).bitwiseAND(F.lit(32767)).alias("_bit"))
+    key = keys.columns[0]
+    own = keys.select(F.shiftright(slot(key), 15).alias("_bucket"), slot(key).bitwiseAND(F.lit(32767)).alias("_bit"))
     maps = own.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
     placed = df.withColumn("_bucket", F.shiftright(slot(column), 15)).withColumn("_bit", slot(column).bitwiseAND(F.lit(32767)).cast("int"))
-    met = placed.join(F.broadcast(maps), "_bucket")
-    return met.where("shiftright(cast(conv(hex(substring(_map, _bit div 8 + 1, 1)), 16, 10) AS int), _bit % 8) & 1 = 1").select(*df.columns)
+    met = placed.join(F.broadcast(maps), "_bucket", "left")
+    hit = F.expr("shiftright(cast(conv(hex(substring(_map, _bit div 8 + 1, 1)), 16, 10) AS int), _bit % 8) & 1 = 1")
+    return met.select(*(F.col(f"`{c}`") for c in df.columns), (F.coalesce(hit, F.lit(False)) & F.col(f"`{column}`").isNotNull()).alias(name))
+
+
+def likely_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 27) -> DataFrame:
+    """Rows of df whose column may be in keys' only column, as `likely` tells."""
+    return likely(df, column, keys, "_likely", bits).where("_likely").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def components(tables: Tables, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the smallest node that each node of edges (u, v) reaches.
+    """A saved table (node, root): the smallest node that each node of edges (u, v) reaches.
 
     Alternates the two star contractions of Kiveris et al. until the edges stay the same. Every
     round is a group minimum, which Spark sums up before it shuffles, and a join; nothing goes to the
@@ -117,7 +82,9 @@ def components(tables: Tables, edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out = tables.save(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), "roots")
+    tables.drop(now)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

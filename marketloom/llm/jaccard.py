@@ -7,6 +7,7 @@ window. The join therefore looks for pivots close by:
 2. Cells. Shingles fall into classes by their hash. Sets within the distance differ in few shingles, so
    that some class holds the same shingles in both: those of a class are a cell, and a point lies in
    as many cells as it may differ in shingles, and one more. Cells of the fewest shingles are left out.
+   An empty class is no cell, as unlike texts share it: its points are dealt into classes anew.
 3. Pivots. A cell's smallest point is its pivot; the points of a pivot's cells are its region. Exact
    distances to the pivots link points, and components of links come from them.
 4. Windows. Linked points' distances to a pivot differ by r at most, so that a region falls into rings
@@ -28,11 +29,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bytepairs import MEMO
 from .common import Tables, components, likely_in, map_lists
 
-#: Points of a region that one task joins, pivots drawn in a larger one, and rounds of drawing.
-SMALL, PIVOTS, ROUNDS = 800, 8, 3
+#: Points and shingles of a block that one task joins, pivots drawn in a larger region, and rounds of drawing.
+SMALL, WEIGHT, PIVOTS, ROUNDS = 800, 1 << 21, 8, 3
+#: Words whose hashes a worker remembers before it forgets them all.
+KNOWN = 250_000
 M = np.uint64
 
 
@@ -76,7 +78,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     w = (text or "").encode().lower().split()
     if not w:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > 2 * MEMO:
+    if len(_hashes) > KNOWN:
         _hashes.clear()
     for x in {x for x in w if x not in _hashes}:
         _hashes[x] = xxhash.xxh64_intdigest(x)
@@ -92,40 +94,55 @@ def cells(s: np.ndarray, join: Join) -> list[int]:
     """Cells of a set: for each number of classes, the fullest apart(n) + 1 classes' contents, hashed.
 
     Linked sets share all but apart(n) of their classes. Both leave out the same way, least first, so
-    that one of the classes shared is kept by both. An empty class counts as the least.
+    that one of the classes shared is kept by both. If that one is empty, it is in both, and the classes
+    that its number deals both sets into anew hold a shared one in the same way.
     """
     out: set[int] = set()
     for many in join.classes(len(s)):
-        cls = (s % M(many)).astype(np.int64)
-        sizes = np.bincount(cls, minlength=many)
-        sums = np.zeros(many, np.uint64)
-        np.add.at(sums, cls, mix(s))
-        keys = mix(sums + mix(np.arange(many).astype(np.uint64) * M(0x9E3779B97F4A7C15) + M(many)))
-        order = np.lexsort((keys, sizes))
-        out.update(keys[order[-(join.apart(len(s)) + 1) :]].view(np.int64).tolist())
+        seeds = [M(0)]
+        while seeds:
+            seed = seeds.pop()
+            cls = ((mix(s + seed) if seed else s) % M(many)).astype(np.int64)
+            sizes = np.bincount(cls, minlength=many)
+            sums = np.zeros(many, np.uint64)
+            np.add.at(sums, cls, mix(s))
+            keys = mix(sums + mix(np.arange(many).astype(np.uint64) * M(0x9E3779B97F4A7C15) + M(many) + seed))
+            kept = np.lexsort((keys, sizes))[-(join.apart(len(s)) + 1) :]
+            out.update(keys[kept[sizes[kept] > 0]].view(np.int64).tolist())
+            seeds += list(keys[kept[sizes[kept] == 0]])
     return sorted(out)
 
 
+def overlaps(sets: list[np.ndarray], slice_of: int = 8192) -> np.ndarray:
+    """Shingles that each two sets share, from products of a slice of the shingles at a time; one that a single set holds is in no product."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    kept = often[at]
+    owner, at = owner[kept], (np.cumsum(often) - 1)[at[kept]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    many = int(often.sum())
+    ends = np.searchsorted(at, np.arange(0, many + slice_of, slice_of))
+    for i, lo in enumerate(range(0, many, slice_of)):
+        here = slice(ends[i], ends[i + 1])
+        part = np.zeros((len(sets), min(slice_of, many - lo)), dtype=np.float32)
+        part[owner[here], at[here] - lo] = 1
+        both += part @ part.T
+    return both.astype(np.int64)
+
+
 def join_block(block: pd.DataFrame, join: Join) -> pd.DataFrame:
     """Edges that connect what a block's pairs link. Of a pair of blocks, pairs within either are left to others."""
     block = block.drop_duplicates("id").sort_values("id")
     ids, side = block["id"].to_numpy(), block["side"].to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in block["set"]]
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    universe, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
     label = np.arange(len(ids))
-    cross = side.min() != side.max()
-    linked = np.zeros((len(ids), len(ids)), dtype=bool)
-    both = np.zeros((len(ids), len(ids)), dtype=np.float32)
-    for lo in range(0, len(universe), 8192):  # a slice of the shingles at a time
-        here = (at >= lo) & (at < lo + 8192)
-        part = np.zeros((len(ids), min(8192, len(universe) - lo)), dtype=np.float32)
-        part[owner[here], at[here] - lo] = 1
-        both += part @ part.T
-    both = both.astype(np.int64)
+    both = overlaps(sets)
     linked = join.links(both, size[:, None] + size[None, :] - both)
-    if cross:
+    if side.min() != side.max():
         linked &= side[:, None] != side[None, :]
     while True:
         least = np.minimum(label, np.where(linked, label[None, :], len(ids)).min(1))
@@ -168,24 +185,26 @@ class Regions:
         return own.join(size.select("region", "n"), "region").select("region", "id", "n")
 
     def small(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Edges within regions that one task joins, or pairs of blocks of larger ones."""
+        """Edges within regions that one task joins, or pairs of blocks of larger ones, of SMALL points or WEIGHT shingles on average at most."""
         join = self.join
+        weight = members.join(sets.select("id", "size"), "id").groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+        blocks = weight.select("region", F.greatest(F.ceil(F.col("n") / SMALL), F.ceil(F.col("w") / WEIGHT)).cast("long").alias("blocks"))
 
-        def deal(regions: list, ids: list, sizes: list, raw: list) -> tuple:
+        def deal(regions: list, ids: list, blocks: list, raw: list) -> tuple:
             out: list[list] = [[] for _ in range(6)]
-            for g, i, n, s in zip(regions, ids, sizes, raw):
-                many = -(-n // SMALL)
+            for g, i, many, s in zip(regions, ids, blocks, raw):
                 own = xxhash.xxh32_intdigest(str(i)) % many
                 for other in range(many):
                     for col, y in zip(out, (g, min(own, other), max(own, other), own, i, s)):
                         col.append(y)
             return tuple(out)
 
-        dealt = map_lists(members.join(sets, "id").select("region", "id", "n", "set"), deal, "region long, p int, q int, side int, id long, set binary", rows=64)
+        placed = members.select("region", "id").join(blocks, "region").join(sets.select("id", "set"), "id")
+        dealt = map_lists(placed.select("region", "id", "blocks", "set"), deal, "region long, p int, q int, side int, id long, set binary", rows=64)
         return dealt.groupBy("region", "p", "q").applyInPandas(lambda b: join_block(b, join), "u long, v long")
 
-    def apart(self, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Large regions cut by pivots drawn in them: edges found, and the smaller regions' members (region, id, pivot)."""
+    def apart(self, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Large regions cut by pivots drawn in them: the table of distances, edges found, and the smaller regions' members (region, id, pivot)."""
         draw = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id", "region"), "id"))
         # Of each region only its smallest hashes are kept before they are numbered.
         few = members.withColumn("h", F.pmod(F.xxhash64("id", "region"), F.lit(1 << 30))).where(F.col("h") * F.col("n") < F.lit((1 << 30) * 8 * PIVOTS))
@@ -197,15 +216,18 @@ class Regions:
         near = met.groupBy("region", "x").agg(F.min(d).alias("home"))
         kept = met.join(near, ["region", "x"]).where(d <= F.col("home") + F.lit(2 * r + 1e-9))
         edges = met.where(self.linked()).where("x <> p").select(F.col("x").alias("u"), F.col("p").alias("v"))
-        return edges, kept.select(F.xxhash64("region", "p").alias("region"), F.col("x").alias("id"), (F.col("x") == F.col("p")).alias("pivot"))
+        return met, edges, kept.select(F.xxhash64("region", "p").alias("region"), F.col("x").alias("id"), (F.col("x") == F.col("p")).alias("pivot"))
 
 
 def jaccard_join(spark: SparkSession, df: DataFrame, join: Join = Join(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) a row of df.
 
     Texts that are null, empty or blank have no shingles and link with nothing. Rows that share an id
-    are one node. A null id has a null component and is no other's. Sets are compared by 64-bit hashes
-    of shingles, whose chance to collide within two texts of 20,000 words is below 1e-10.
+    are one node; where their texts differ, the smallest set of hashes, in byte order, stands for those
+    that no other row shares. A null id has a null component and is no other's. Sets are compared by
+    64-bit hashes of shingles, whose chance to collide within two texts of 20,000 words is below 1e-10.
+    No other column is read. Tables that cut lineage are dropped once they are read no more, but for those
+    that the result reads.
     """
     g = Regions(spark, join)
     tables = g.tables
@@ -228,35 +250,38 @@ def jaccard_join(spark: SparkSession, df: DataFrame, join: Join = Join(), id_col
     met_ids = tables.save(met_ids, "met-ids")
     whole = likely_in(docs.where("id IS NOT NULL"), "id", met_ids).join(met_ids, "id").select("id", "text")
     named = map_lists(whole, lambda ids, texts: (ids, [shingles(t, join.words).tobytes() for t in texts]), "id long, set binary")
-    sets = tables.save(named.where("octet_length(set) > 0").groupBy("id").agg(F.first("set").alias("set")), "sets")
+    named = named.where("octet_length(set) > 0").groupBy("id").agg(F.min("set").alias("set"))
+    sets = tables.save(named.select("id", (F.octet_length("set") / 8).cast("long").alias("size"), "set"), "sets")
     met = tables.save(g.measured(pairs, sets), "met")
     edges = tables.save(met.where(g.linked()).select(F.col("x").alias("u"), F.col("p").alias("v")), "links")
-    roots = tables.save(components(tables, edges), "roots")
+    roots = components(tables, edges)
 
     r = (join.bottom - join.top) / join.bottom * (1 + 1e-9)
     ring = F.floor((F.col("either") - F.col("inner")) / F.col("either") / F.lit(r))
     placed = met.select("p", F.col("x").alias("id"), ring.alias("k")).union(met.select("p", F.col("p").alias("id"), F.lit(0).cast("long").alias("k")).distinct())
     members = placed.select("id", "p", F.explode(F.array("k", F.col("k") - 1)).alias("k")).where("k >= 0").select(F.xxhash64("p", "k").alias("region"), "id", (F.col("id") == F.col("p")).alias("pivot"))
-    left = tables.save(g.open_regions(members, roots), "open")
-    found = []
+    opened = left = tables.save(g.open_regions(members, roots), "open")
+    found, cuts = [], []
     for _ in range(ROUNDS):
         large = left.where(F.col("n") > SMALL)
         before = large.count()
         if not before:
             break
-        more, kept = g.apart(large, sets)
+        drawn, more, kept = g.apart(large, sets)
         found.append(tables.save(more, "more"))
         kept = tables.save(kept, "kept")
+        cuts += [kept, drawn]
         if kept.count() > 2 * before:  # the windows take in most of the points: they are equally far from all pivots
             break
-        cut = tables.save(g.open_regions(kept, components(tables, _union([edges, *found]))), "cut")
+        cuts.append(now := components(tables, _union([edges, *found])))
+        cuts.append(cut := tables.save(g.open_regions(kept, now), "cut"))
         if cut.count() > before:
             break
         found.append(tables.save(g.small(left.where(F.col("n") <= SMALL), sets), "small"))
         left = cut
     found.append(tables.save(g.small(left, sets), "small"))
-    every = _union([edges, *found])
-    roots = components(tables, every)
+    old, roots = roots, components(tables, _union([edges, *found]))
+    tables.drop(pivots, pairs, met_ids, sets, met, edges, old, opened, *found, *cuts)
     out = rows.select("id", "n", "key").join(first, "key", "left").join(roots, F.col("rep") == F.col("node"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
 
