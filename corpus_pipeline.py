@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm.common import Tables, vocabulary
+from marketloom.llm.common import Tables, likely, vocabulary
 from marketloom.llm.jaccard import Join, jaccard_join
 from marketloom.llm.packing import pack
 from marketloom.llm.pii import redacted
@@ -21,28 +21,43 @@ NEAR = Join(words=5, top=80, bottom=100)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects, as they are.
+
+    Null, empty and blank texts have no words and go. Rows without an id and repeated rows are judged
+    like any other; other columns than those of documents are left out.
+    """
     return quality_filter(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group; rows without an id, and texts without words, stay.
 
-    Of rows that share an id and stay, equal rows become one.
+    Of rows that share an id and stay, equal rows become one. Texts are shuffled only where a bitmap
+    says that their id may have to go or may occur twice.
     """
     own = docs.select(*COLUMNS)
-    groups = jaccard_join(spark, own, NEAR).select(F.col("doc_id").alias("id"), "component_id").distinct()
-    dropped = groups.where("id <> component_id").select(F.col("id").alias("doc_id"))
-    return own.join(dropped, "doc_id", "left_anti").dropDuplicates()
+    groups = Tables(spark).save(jaccard_join(spark, own, NEAR).select(F.col("doc_id").alias("id"), "component_id"), "groups")
+    dropped = groups.where("id <> component_id").select("id").distinct()
+    twice = groups.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    marked = likely(likely(own, "doc_id", dropped, "_dropped"), "doc_id", twice, "_twice")
+    asked = marked.where("_dropped OR _twice").select(*COLUMNS).join(dropped, F.col("doc_id") == F.col("id"), "left_anti")
+    return marked.where("NOT (_dropped OR _twice)").select(*COLUMNS).union(asked.dropDuplicates())
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a mark in place of each span of personal data, and n_chars as it then is."""
+    """Documents with a mark in place of each span of personal data, and n_chars as it then is.
+
+    Spans that overlap share one mark. Null and empty texts stay as they are, and every row stays.
+    """
     return redacted(docs.select(*COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 4096 tokens."""
+    """Pieces of documents and their places in sequences of 4096 tokens.
+
+    A null or empty text is a piece of the end id alone; repeated rows and rows without an id are packed
+    each. Pieces of one length take its places in the order in which tasks made them.
+    """
     return pack(spark, docs, vocabulary("word_bpe_49k.json"))
 
 
