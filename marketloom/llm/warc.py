@@ -18,13 +18,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Tables
+from .common import Tables, likely
 
 #: Fixed values of the format: the skippable frame's magic number and those of a frame and of a dictionary.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records and bytes after which an archive is closed, and records that its dictionary is fitted on.
 RECORDS, BYTES, SAMPLE = 4000, 64 << 20, 200
+#: Archives that one task reads, where there are many.
+READ = 4
 
 
 def digest(payload: bytes) -> str:
@@ -195,32 +197,42 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return manifest.select("path", "records").repartition(max(2, manifest.sparkSession.sparkContext.defaultParallelism), "path").mapInArrow(run, schema)
+    tasks = max(2, manifest.sparkSession.sparkContext.defaultParallelism, manifest.count() // READ)
+    return manifest.select("path", "records").repartition(tasks, "path").mapInArrow(run, schema)
 
 
-#: Copies of a payload's entry among which its rows are dealt, as one payload may be a third of all rows.
-SALTS = 16
+#: Rows of one payload that a task may join, at least, and payloads with more rows than that at most.
+COPIES, HOT = 10_000, 100_000
 
 
-def mark_revisits(pages: DataFrame) -> DataFrame:
+def mark_revisits(tables: Tables, pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) beside key (the payload's SHA-1), refers_to and revisit.
 
     Of equal payloads (null html: empty) the row with the largest page_id is the response and the
     others revisit it. Rows that share that id are all responses, as are payloads whose ids are all null.
-    Only digests that occur twice are looked up, each spread over SALTS places.
+    Payloads that occur once are not shuffled, but for their digests. Those with the most rows, of which
+    there are HOT at most at any input, are broadcast; a join brings the others theirs.
     """
     keyed = pages.select("page_id", "url", "html", F.unhex(F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8"))).alias("key"))
-    twice = keyed.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL")
-    spread = twice.select("key", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    out = salted.join(spread, ["key", "salt"], "left")
+    counts = keyed.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    twice = tables.save(counts.where("n > 1 AND last IS NOT NULL"), "twice")
+    most = max(COPIES, (twice.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = twice.where(F.col("n") > most).select("key", F.col("last").alias("hot"))
+    cold = twice.where(F.col("n") <= most).select("key", "last")
+    asked = likely(keyed.join(F.broadcast(hot), "key", "left"), "key", cold.select("key"), "_cold")
+    met = asked.where("_cold AND hot IS NULL").join(cold, "key", "left").select("page_id", "url", "html", "key", "last")
+    out = met.union(asked.where("NOT _cold OR hot IS NOT NULL").select("page_id", "url", "html", "key", "hot"))
     revisit = F.coalesce(~F.col("last").eqNullSafe(F.col("page_id")) & F.col("last").isNotNull(), F.lit(False))
-    return out.select("page_id", "url", "html", F.col("key"), F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
+    return out.select("page_id", "url", "html", "key", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Archives pages and returns what reading the archives back gives, a row a page."""
+    """Archives pages and returns what reading the archives back gives, a row a page.
+
+    A null html is an empty payload, a null url an empty one; line ends in urls are left out. Null ids
+    stay null and are never referred to while others share the payload. Repeated rows are records each.
+    Other columns are not archived. An empty table gives no archive and no row.
+    """
     tables = Tables(spark)
-    marked = mark_revisits(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
-    manifest = write_archives(tables, marked)
-    return read_archives(manifest)
+    marked = mark_revisits(tables, pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
+    return read_archives(write_archives(tables, marked))
