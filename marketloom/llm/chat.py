@@ -1,7 +1,9 @@
 """Chat formatting: schema fingerprints choose declarative mappings into canonical turns.
 
-A fingerprint is a hash of a frame's nested field paths, so that one layout has one fingerprint whatever
-the order or types of its fields. Each known layout maps to a Spark expression that gives its turns.
+A fingerprint is a hash of nested field paths, so that one layout has one fingerprint whatever the order
+or types of its fields. Each known layout maps to a Spark expression that gives its turns. A frame of one
+layout has its fingerprint; in a frame that holds the fields of several, each row has that of the paths
+that it fills.
 """
 
 from __future__ import annotations
@@ -9,8 +11,9 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from .common import map_lists
@@ -33,12 +36,18 @@ def fingerprint(paths: set[str]) -> str:
 
 @dataclass(frozen=True)
 class Layout:
-    """The field paths of a layout, and an expression over them that gives an array of (role, text)."""
+    """The field paths of a layout, those that a row need not fill, and an expression over them that gives an array of (role, text)."""
 
     name: str
     paths: frozenset[str]
     turns: str
     rows_are_turns: bool = False
+    optional: frozenset[str] = frozenset()
+
+    def prints(self) -> set[str]:
+        """Fingerprints of the layout, with and without each of its optional paths."""
+        some = sorted(self.optional)
+        return {fingerprint(set(self.paths) - set(left)) for k in range(len(some) + 1) for left in combinations(some, k)}
 
 
 def turn(role: str, text: str) -> str:
@@ -59,39 +68,61 @@ LAYOUTS = (
         "instruction",
         frozenset({"instruction", "input", "output"}),
         f"array({turn(repr('user'), 'concat_ws(chr(10), instruction, nullif(input, \"\"))')}, {turn(repr('assistant'), 'output')})",
+        optional=frozenset({"input"}),
     ),
-    Layout("question", frozenset({"system", "question", "answer"}), f"filter(array({turn(repr('system'), 'system')}, {turn(repr('user'), 'question')}, {turn(repr('assistant'), 'answer')}), (x, i) -> i > 0 OR system IS NOT NULL)"),
+    Layout("question", frozenset({"system", "question", "answer"}), f"filter(array({turn(repr('system'), 'system')}, {turn(repr('user'), 'question')}, {turn(repr('assistant'), 'answer')}), (x, i) -> i > 0 OR system IS NOT NULL)", optional=frozenset({"system"})),
 )
-KNOWN = {fingerprint(set(x.paths)): x for x in LAYOUTS}
+KNOWN = {p: x for x in LAYOUTS for p in x.prints()}
 
 
-def layout_of(df: DataFrame, id_col: str) -> Layout:
-    """The known layout whose fingerprint the frame has without its id; extra fields are left out one layout at a time.
+def layouts_of(df: DataFrame, id_col: str) -> list[Layout]:
+    """The one known layout whose fingerprint the frame has without its id, or all whose paths it holds among others.
 
-    Raises ValueError where no layout's paths are among the frame's, or where more than one layout's are.
+    Raises ValueError where there is none.
     """
     paths = field_paths(df.schema) - {id_col.lower()}
     if (found := KNOWN.get(fingerprint(paths))) is not None:
-        return found
-    within = [x for x in LAYOUTS if fingerprint(paths & x.paths) in KNOWN and x.paths <= paths]
-    if len(within) != 1:
-        raise ValueError(f"no single known layout in {sorted(paths)}")
-    return within[0]
+        return [found]
+    within = [x for x in LAYOUTS if x.paths - x.optional <= paths]
+    if not within:
+        raise ValueError(f"no known layout in {sorted(paths)}")
+    return within
+
+
+def filled_print(df: DataFrame, layouts: list[Layout]) -> Column:
+    """A row's fingerprint: the hash of those of the layouts' paths whose field is not null, in order."""
+    field = {p: p.replace("[]", ".").split(".")[0] for x in layouts for p in x.paths}
+    names = {c.lower(): c for c in df.columns}
+    filled = F.array(*(F.when(F.col(f"`{names[field[p]]}`").isNotNull(), F.lit(p)) for p in sorted(field)))
+    return F.substring(F.sha2(F.array_join(F.array_compact(filled), "\n"), 256), 1, 16)
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turns array of (role, text)) a conversation.
 
     Turn rows are ordered by turn, ties by role and text; repeated rows stay repeated turns. Null roles
-    and texts become empty, a null array of turns an empty one. Null ids make one conversation of turn rows.
+    and texts become empty, a null array of turns an empty one. A turn row without an id is a conversation
+    of its own. Where a frame holds the fields of several layouts, each row is read by the one whose paths
+    it fills; a row that fills those of none, or of more than one, has no turns. Layouts of turn rows do
+    not mix with others. Extra columns that belong to no layout are not read.
     """
-    layout = layout_of(df, id_col)
-    if not layout.rows_are_turns:
-        empty = "cast(array() AS array<struct<role: string, text: string>>)"
-        return df.select(F.col(id_col).alias("conv_id"), F.expr(f"coalesce({layout.turns}, {empty})").alias("turns"))
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    own = df.select(F.col(id_col).alias("conv_id"), row.alias("row"))
-    return own.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows")).select("conv_id", F.expr("transform(rows, x -> named_struct('role', x.role, 'text', x.text))").alias("turns"))
+    layouts = layouts_of(df, id_col)
+    for p in sorted({p for x in layouts for p in x.optional} - field_paths(df.schema)):
+        df = df.withColumn(p, F.lit(None).cast("string"))
+    empty = F.expr("cast(array() AS array<struct<role: string, text: string>>)")
+    if layouts[0].rows_are_turns and len(layouts) == 1:
+        row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("alone")
+        own = df.select(F.col(id_col).alias("conv_id"), alone, row.alias("row"))
+        return own.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("row")).alias("rows")).select("conv_id", F.expr("transform(rows, x -> named_struct('role', x.role, 'text', x.text))").alias("turns"))
+    layouts = [x for x in layouts if not x.rows_are_turns]
+    if len(layouts) == 1:
+        turns = F.expr(layouts[0].turns)
+    else:
+        own, turns = filled_print(df, layouts), F.lit(None)
+        for x in layouts:
+            turns = F.when(own.isin(*sorted(x.prints())), F.expr(x.turns)).otherwise(turns)
+    return df.select(F.col(id_col).alias("conv_id"), F.coalesce(turns, empty).alias("turns"))
 
 
 #: The template's control strings and what stands for each inside a text or a role.
