@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
 from .bpe import bpe
 from .brown import lm_scores
 from .chat import canonical_turns, digests, format_chats
@@ -71,4 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; tests/llm holds the others against libraries and brute force."""
+    return {
+        "op1_ngram_jaccard_join": oracle.JACCARD, "op2_embedding_near_dedup": oracle.COSINE, "op3_warc": oracle.WARC,
+        "op6_chat_formatting": oracle.chat(TRICKY), "op8_quality_rules": oracle.quality(),
+    }
