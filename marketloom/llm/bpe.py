@@ -94,20 +94,29 @@ def encode_words(pretokens: Column, ranks: Ranks) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of the stretches of docs' texts that Spark may fold, of up to FOLDED bytes, added up in tasks first."""
+    """(word, n) of the stretches of docs' texts that Spark may fold, of up to FOLDED bytes, added up in tasks first.
+
+    They choose the words that are folded beforehand, and nothing else hangs on them: a task whose words
+    outgrow ADDED forgets those that it has met once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        least = 1
 
         def passed_on() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            kept = {w: n for w, n in seen.items() if n >= least and len(w) <= FOLDED}
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
 
         for b in batches:
             for text in b.column(0):
-                seen.update(w for w in Spaced.split(text.as_py() or "") if len(w) <= FOLDED)
+                seen.update(Spaced.split(text.as_py() or ""))
                 if len(seen) > ADDED:
-                    yield passed_on()
-                    seen = Counter()
+                    least = 2
+                    seen = Counter({w: n for w, n in seen.items() if n > 1})
+                    if len(seen) > ADDED // 2:
+                        yield passed_on()
+                        seen = Counter()
         yield passed_on()
 
     return docs.select("text").mapInArrow(run, "word string, n long").where(F.octet_length("word") <= FOLDED).groupBy("word").agg(F.sum("n").alias("n"))
@@ -132,30 +141,29 @@ class Codec:
     def merged(self, word: str) -> str:
         """Ids of a word that isn't held: the lowest-ranked pair is joined, leftmost first, until none has a rank."""
         ranks, out = self.ranks, []
-        for p in Spaced.pattern.findall(word):
+        for p in [word] if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) else Spaced.pattern.findall(word):
             raw = p.encode()
-            if (whole := ranks.get(raw)) is not None:
-                out.append(self.text[whole])
-                continue
-            parts = [self.bytes[x] for x in raw]
-            if len(parts) > FOLDED:
-                parts = merge(parts, lambda a, b: (r, a + b) if (r := ranks.get(a + b)) is not None else None)
+            if raw in ranks:
+                out.append(raw)
+            elif len(raw) > FOLDED:
+                out += merge([self.bytes[x] for x in raw], lambda a, b: (r, a + b) if (r := ranks.get(a + b)) is not None else None)
             else:
-                self.join(parts)
-            out += [self.text[ranks[x]] for x in parts]
-        return ",".join(out)
+                out += self.join(raw)
+        return ",".join([self.text[ranks[x]] for x in out])
 
-    def join(self, parts: list[bytes]) -> None:
+    def join(self, raw: bytes) -> list[bytes]:
+        """The parts of a short pretoken, held by where they start."""
         none, get = len(self.pieces), self.ranks.get
-        near = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        starts = list(range(len(raw) + 1))
+        near = [get(raw[i : i + 2], none) for i in starts[:-2]]
         while near and (low := min(near)) != none:
             i = near.index(low)
-            new = parts[i] = parts[i] + parts.pop(i + 1)
-            del near[i]
+            del near[i], starts[i + 1]
             if i < len(near):
-                near[i] = get(new + parts[i + 1], none)
+                near[i] = get(raw[starts[i] : starts[i + 2]], none)
             if i:
-                near[i - 1] = get(parts[i - 1] + new, none)
+                near[i - 1] = get(raw[starts[i - 1] : starts[i + 1]], none)
+        return [raw[a:b] for a, b in zip(starts, starts[1:])]
 
     def encode(self, text: str) -> list[str]:
         """A run of ids for each stretch of the text."""
@@ -188,6 +196,7 @@ def bpe(spark: SparkSession, df: DataFrame, ranks_path: str, held: int = HELD, i
     common = counts.where(F.col("n") >= bound).select("word").repartition(4 * spark.sparkContext.defaultParallelism)
     split = map_lists(common, lambda words: (words, [Spaced.pattern.findall(w) for w in words]), "word string, pretokens array<string>", rows=4096)
     words = split.select("word", encode_words(F.col("pretokens"), ranks).alias("ids")).toArrow()
+    tables.drop(counts)
     sent = spark.sparkContext.broadcast(Codec(table, words["word"].to_pylist(), words["ids"].to_pylist()))
     kind = docs.dtypes[0][1]
 
