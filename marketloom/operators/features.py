@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import selection, timeseries as ts
 from ..functions.finance import clip
+from ..sources.tables import Tables
 
 #: The pairs that interact, and how.
 INTERACTIONS = (("I2", "I1", "diff"), ("I7", "I1", "diff"), ("P1", "E1", "ratio"), ("V1", "M1", "ratio"), ("S1", "S2", "diff"))
@@ -101,7 +102,8 @@ def group_components(obs: DataFrame, plan: dict = COMPONENTS, window: int = 21)
 
     A group without such columns has no component; one with too few values at a time has NULLs.
     """
-    names = [r[0] for r in obs.where(F.col("feature").rlike("_z21$" if window == 21 else f"_z{window}$")).select("feature").distinct().collect()]
+    obs = Tables(obs.sparkSession).save(obs.where(F.col("feature").endswith(f"_z{window}")).select("row_id", "feature", "value"), "scores")  # read once a group
+    names = [r[0] for r in obs.select("feature").distinct().collect()]
     out = obs.where("false").select("row_id", "feature", "value")
     for group, (frame, warmup, zwin) in plan.items():
         own = sorted(selection.matching(names, selection.group_members(group, window)))
