@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -81,46 +82,65 @@ STRETCH = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD}|[0-9]+)(?:[\x20,().-]+(?:{DIG
 DIGIT_HINT = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD}[\x20,().-]+(?:{DIGIT_WORD}|[0-9])|[0-9]+[\x20,().-]+{DIGIT_WORD})", re.I)
 UNIT = re.compile(rf"{DIGIT_WORD}|[0-9]+", re.I)
 PLUS = re.compile(r"(?<![^\W_])plus[\x20-]$", re.I)
-#: A name, a disguised or plain at sign, then labels with disguised or plain dots between them.
-AT = r"(?:[\x20]?[\(\[\{<][\x20]?(?:at|@)[\x20]?[\)\]\}>][\x20]?|[\x20](?:at|@)[\x20]|@)"
+#: A disguised or plain at sign, before it a name, after it labels with disguised or plain dots between them.
+AT = re.compile(r"[\x20]?[\(\[\{<][\x20]?(?:at|@)[\x20]?[\)\]\}>][\x20]?|[\x20](?:at|@)[\x20]|@", re.I)
 DOT = r"(?:[\x20]?[\(\[\{<][\x20]?(?:dot|\.)[\x20]?[\)\]\}>][\x20]?|[\x20](?:dot)[\x20]|\.)"
-HIDDEN_DOT = r"(?:[\x20]?[\(\[\{<][\x20]?(?:dot|\.)[\x20]?[\)\]\}>][\x20]?|[\x20](?:dot)[\x20])"
+HIDDEN_DOT = re.compile(r"[\x20]?[\(\[\{<][\x20]?(?:dot|\.)[\x20]?[\)\]\}>][\x20]?|[\x20](?:dot)[\x20]", re.I)
 LABEL = r"[A-Za-z0-9-]+"
-ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:{HIDDEN_DOT}[A-Za-z0-9._%+-]+)*)({AT})({LABEL}(?:{DOT}{LABEL})+)", re.I)
+LABELS = re.compile(rf"{LABEL}(?:{DOT}{LABEL})+", re.I)
 ADDRESS_HINT = re.compile(r"[\(\[\{<][\x20]?(?:at|@|dot|\.)[\x20]?[\)\]\}>]|[\x20](?:dot|@)[\x20]", re.I)
 DOTS = re.compile(DOT, re.I)
 STRANGE = re.compile("[" + re.escape("".join(LOOK_ALIKES) + "".join(sorted(NO_WIDTH))) + "²³¹⁰-ₜ①-⓿！-～\U0001d400-\U0001d7ff]|(?![0-9])\\d")
 
 
 class Tape:
-    """A rewritten text: its characters, and for each the source span it stands for and whether it was rewritten."""
+    """A rewritten text and its pieces: stretches of the source as they are, and rewritten ones, each with its source span.
+
+    Memory grows with the rewrites, not with the characters.
+    """
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
-        self.new = bytearray(len(text))
+        self.text = text
+        self.pieces = [(0, len(text), 0, len(text), False)]  # place in the text, source span, whether rewritten
+        self.at = [0]
+
+    def holding(self, a: int, b: int) -> list[tuple[int, int, int, int, bool]]:
+        """The pieces that hold the characters from a to b."""
+        return self.pieces[bisect_right(self.at, a) - 1 : bisect_right(self.at, b - 1)] if a < b else []
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The source span that the characters from a to b stand for."""
+        own = self.holding(a, b)
+        (lo, _, start, _, new), (last, _, begin, end, rewritten) = own[0], own[-1]
+        return start if new else start + a - lo, end if rewritten else begin + b - last
+
+    def rewritten(self, a: int, b: int) -> bool:
+        return any(p[4] for p in self.holding(a, b))
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
-        """Puts a string for each (from, to) of this tape; edits are in order and don't overlap."""
-        text, start, end, new, done = [], [], [], bytearray(), 0
+        """Puts a string for each (from, to) of this tape; edits are in order and don't overlap. What stands before something left out counts as rewritten."""
+        text, pieces, done = [], [], 0
+
+        def put(s: str, start: int, end: int, new: bool) -> None:
+            at = pieces[-1][1] if pieces else 0
+            text.append(s)
+            pieces.append((at, at + len(s), start, end, new))
+
+        def copy(a: int, b: int) -> None:
+            for lo, hi, start, end, new in self.holding(a, b):
+                x, y = max(a, lo), min(b, hi)
+                put(self.text[x:y], *((start, end) if new else (start + x - lo, start + y - lo)), new)
+
         for a, b, s in edits:
-            for part, whole in ((text, self.text), (start, self.start), (end, self.end)):
-                part.extend(whole[done:a])
-            new += self.new[done:a]
+            copy(done, a)
             if s:
-                text.extend(s)
-                start.extend([self.start[a]] * len(s))
-                end.extend([self.end[b - 1]] * len(s))
-                new += b"\1" * len(s)
-            elif new:
-                new[-1] = 1  # something left out after it
+                put(s, *self.source(a, b), True)
+            elif pieces and not pieces[-1][4]:
+                lo, hi, start, end, _ = pieces.pop()
+                pieces += [(lo, hi - 1, start, end - 1, False)] * (hi - lo > 1) + [(hi - 1, hi, end - 1, end, True)]
             done = b
-        for part, whole in ((text, self.text), (start, self.start), (end, self.end)):
-            part.extend(whole[done:])
-        new += self.new[done:]
-        self.text, self.start, self.end, self.new = "".join(text), start, end, new
-
-    def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+        copy(done, len(self.text))
+        self.text, self.pieces, self.at = "".join(text), pieces, [p[0] for p in pieces]
 
 
 def fold_look_alikes(tape: Tape) -> None:
@@ -176,18 +196,33 @@ def fold_spelled_digits(tape: Tape) -> None:
         tape.replace(edits)
 
 
+def name_before(text: str, end: int, least: int, dots: dict[int, int]) -> int:
+    """Where the name that ends at `end` begins: runs of local characters with disguised dots between them."""
+    at = start = end
+    while True:
+        while at > least and text[at - 1] in LOCAL:
+            at -= 1
+        if at == start:
+            return end if start == end else before
+        before = at
+        if (at := dots.get(at, -1)) < least:
+            return before
+        start = at
+
+
 def fold_addresses(tape: Tape) -> None:
-    """Disguised at and dot signs. A bare word `at` counts only with a disguised dot after it, as prose has `at example.com`."""
-    edits = []
-    done = 0
-    for m in ADDRESS.finditer(tape.text):
-        at, domain = m[2], m[3]
-        dots = list(DOTS.finditer(domain))
-        if at.strip().isalpha() and all(d[0] == "." for d in dots):
+    """Disguised at and dot signs, found from the at signs. A bare word `at` counts only with a disguised dot after it, as prose has `at example.com`."""
+    text, edits, done = tape.text, [], 0
+    dots = {m.end(): m.start() for m in HIDDEN_DOT.finditer(text)}
+    for m in AT.finditer(text):
+        if m.start() < done or (start := name_before(text, m.start(), done, dots)) == m.start() or start and text[start - 1] in LOCAL or not (domain := LABELS.match(text, m.end())):
+            continue
+        after = list(DOTS.finditer(domain[0]))
+        if m[0].strip().isalpha() and all(d[0] == "." for d in after):
             continue
-        found = [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in re.finditer(HIDDEN_DOT, m[1], re.I)] + [(*m.span(2), "@")] + [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in dots]
-        edits += [e for e in found if e[0] >= done and tape.text[e[0] : e[1]] != e[2]]
-        done = m.end()
+        found = [(start + d.start(), start + d.end(), ".") for d in HIDDEN_DOT.finditer(text[start : m.start()])] + [(*m.span(), "@")] + [(m.end() + d.start(), m.end() + d.end(), ".") for d in after]
+        edits += [e for e in found if text[e[0] : e[1]] != e[2]]
+        done = domain.end()
     if edits:
         tape.replace(edits)
 
@@ -207,7 +242,7 @@ def disguised(text: str) -> list[Span]:
         fold_spelled_digits(tape)
     if address or strange:
         fold_addresses(tape)
-    return [(kind, *tape.source(a, b)) for kind, a, b in detect(tape.text) if any(tape.new[a:b])]
+    return [(kind, *tape.source(a, b)) for kind, a, b in detect(tape.text) if tape.rewritten(a, b)]
 
 
 def joined(spans: list[Span]) -> str:
