@@ -109,7 +109,11 @@ class Cells:
     """Tables of places (cell, id, copies, home, unit), parted until cells are small."""
 
     def __init__(self, tables: Tables, threshold: float, reach: float):
-        self.tables, self.threshold, self.reach = tables, threshold, reach
+        self.tables, self.threshold, self.reach, self.made = tables, threshold, reach, []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(self.tables.save(df, name))
+        return self.made[-1]
 
     def part(self, large: DataFrame, level: int) -> DataFrame:
         """large, whose cells have n homes each, in the cells that centres of their own make; was is n before."""
@@ -124,7 +128,7 @@ class Cells:
 
         sample = large.where("home").where(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < FIT)
         fitted = sample.select("cell", "id", "n", "unit").groupBy("cell").applyInPandas(fit, "cell long, centres binary")
-        fitted = self.tables.save(fitted, "centres")
+        fitted = self.save(fitted, "centres")
         salts = F.ceil(F.col("n") / DEALT).cast("long")
         spread = fitted.join(large.groupBy("cell").agg(F.max("n").alias("n")), "cell").select("cell", "centres", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
 
@@ -147,13 +151,13 @@ class Cells:
         done = None
         for level in range(LEVELS + 1):
             sizes = left.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("n"), F.max("was").alias("least"))
-            sizes = self.tables.save(sizes.select("cell", "n", ((F.col("n") > 2 * CELL) & F.coalesce(F.col("n") < 0.9 * F.col("least"), F.lit(True)) & F.lit(level < LEVELS)).alias("large")).where("n > 0"), "sizes")
+            sizes = self.save(sizes.select("cell", "n", ((F.col("n") > 2 * CELL) & F.coalesce(F.col("n") < 0.9 * F.col("least"), F.lit(True)) & F.lit(level < LEVELS)).alias("large")).where("n > 0"), "sizes")
             sized = left.join(sizes, "cell")
             small = sized.where("NOT large").select("cell", "n", "id", "copies", "home", "unit")
             done = small if done is None else done.union(small)
             if not sizes.where("large").limit(1).count():
                 return done
-            left = self.tables.save(self.part(sized.where("large").drop("was", "large"), level), "cells")
+            left = self.save(self.part(sized.where("large").drop("was", "large"), level), "cells")
 
     def links(self, placed: DataFrame) -> DataFrame:
         """(id, n, other) of pairs of blocks: homes go to each pair of home blocks that theirs is in and to each block of visitors, visitors to each home block."""
@@ -200,11 +204,13 @@ def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.95,
     cells = Cells(tables, threshold, reach)
     links = tables.save(cells.links(cells.parted(entries)), "links")
     roots = components(tables, links.where("id <> other").select(F.col("id").alias("u"), F.col("other").alias("v")))
+    tables.drop(*cells.made)
     counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
     by_key = entries.select("key", F.col("id").alias("entry"), "copies").join(counts, F.col("entry") == counts["id"], "left").join(roots, F.col("entry") == roots["node"], "left")
     root = F.coalesce("root", "entry")
     by_key = by_key.select("key", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.when(root <= LAST - (1 << 50), root).alias("root"))
     by_key = tables.save(by_key, "groups")
+    tables.drop(entries, links, roots)
     out = rows.select("id", F.col("key").alias("own")).join(by_key, F.col("own") == F.col("key"), "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("root"))
     return out.select(
