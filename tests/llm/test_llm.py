@@ -14,7 +14,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marketloom.llm import bpe, brown, chat, jaccard, neardup, packing, pii, quality, tokencount, warc
+from marketloom.llm import bpe, brown, chat, jaccard, neardup, packing, pii, quality, queries, tokencount, warc
 from marketloom.llm.common import likely_in, vocabulary
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -101,7 +101,7 @@ def test_jaccard_ring_of_two_points(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(9, 120), st.integers(0, 12), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]))
+@given(st.integers(1, 120), st.integers(0, 12), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]))
 def test_linked_sets_share_a_cell(n, differ, seed, bound):
     join, rng = jaccard.Join(3, *bound), np.random.default_rng(seed)
     a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
@@ -112,6 +112,45 @@ def test_linked_sets_share_a_cell(n, differ, seed, bound):
         assert set(jaccard.cells(a, join)) & set(jaccard.cells(b, join))
 
 
+@pytest.mark.parametrize(("join", "sizes"), [(jaccard.Join(), (9, 12, 15, 16, 18)), (jaccard.Join(5, 80), (4, 5, 7, 8, 12, 16))])
+def test_unlike_short_sets_share_no_cell(join, sizes):
+    rng = np.random.default_rng(6)
+    for n in sizes:
+        seen: dict = {}
+        for _ in range(4000):
+            for c in jaccard.cells(np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)), join):
+                seen[c] = seen.get(c, 0) + 1
+        assert max(seen.values()) == 1
+
+
+def test_block_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(25)] + [np.array([10**9], np.uint64)]
+    want = [[len(np.intersect1d(a, b)) if a is not b else len(a) for b in sets] for a in sets]
+    got = jaccard.overlaps(sets, 64)
+    np.testing.assert_array_equal(got[~np.eye(26, dtype=bool)], np.array(want)[~np.eye(26, dtype=bool)])
+
+
+def test_jaccard_of_heavy_regions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "WEIGHT", 500)  # blocks by their shingles
+    texts = [edited(BASE, s, s % 9) for s in range(40)]
+    rows = list(enumerate(texts)) + [(0, "another text of the same id"), (7, texts[7])]
+    got = jaccard.jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    root = brute_components(texts, 3, 90, 100)[1]
+    assert {r.doc_id: r.component_id for r in got.where("n_shingles > 10").collect()} == dict(enumerate(root))
+    assert sorted(r.asDict()["component_id"] for r in got.collect()) == sorted(r.asDict()["component_id"] for r in got.collect())
+
+
+def test_jaccard_of_many_short_texts(spark):
+    """Thousands of texts of 9 to 15 shingles, some of which are copies with a word more."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"q{x}" for x in rng.integers(0, 10**6, rng.integers(11, 18))) for _ in range(4000)]
+    texts += [f"{texts[i]} more" for i in range(0, 4000, 10)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = [len(t.split()) - 2 for t in texts]
+    assert got == {i: (i - 4000) * 10 if i >= 4000 and 100 * n[(i - 4000) * 10] >= 90 * n[i] else i for i in range(len(texts))}
+
+
 def test_likely_rows(spark):
     keys = spark.range(-500, 40_000, 7)
     got = {r[0] for r in likely_in(spark.range(-500, 40_000), "id", keys, 24).select("id").collect()}
@@ -185,6 +224,18 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_of_a_payload_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 10)  # the most frequent payloads are broadcast
+    rows = [(i, "u", "hot" if i % 3 else f"p{i % 7}", "x", 1) for i in range(300)] + [(400 + i, None, f"once {i}", "y", None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, key string, last long")
+    last: dict = {}
+    for p, _, h, *_ in rows:
+        last[h] = max(p, last.get(h, -1))
+    for r in warc.round_trip(spark, docs.repartition(5)).collect():
+        html = next(h for p, _, h, *_ in rows if p == r.page_id)
+        assert (r.record_type, r.refers_to) == (("response", None) if last[html] == r.page_id else ("revisit", last[html]))
+
+
 def test_warc_rejects_damage():
     out = io.BytesIO()
     w = warc.Writer(out, warc.make_dictionary([b"abc"]))
@@ -222,16 +273,64 @@ def test_language_model(spark):
     assert brown.lm_scores(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_model_is_a_distribution():
-    held = [(b"a", 50), (b"b", 40), (b"\n", 30), (b"c", 20)]
-    pairs = np.random.default_rng(0).integers(1, 9, (5, 5)).astype(float)  # a, b, c, the rest, the end
-    m = brown.Model(200, 10, held, pairs, 3, 2)
-    for before in range(4):
-        known = sum(m.to[before, m.of[i]] * m.emit[i] + m.base[i] for i in range(4))
-        rest = (10 ** m.other[before]) * ((200 - 140) + 6 + 1)  # six more words of 60 tokens, and the unknown one
-        if m.to[before].sum() == pytest.approx(1):
-            into = (np.eye(4)[[0, 1, 2, 3]] @ np.ones(4)).sum()
-            assert into and known > 0 and rest > 0
+def brute_scores(model, located, rows):
+    """Scores by the formula of the model's words: classes, class bigrams and counts are taken from its tokens, one at a time."""
+    cls, n = {}, {}
+    seq = {}
+    for r in located.collect():
+        c = model.classes_of(*brown.opened(r.at, r.found))
+        seq.setdefault((r.doc_id, len(c)), []).append((c, r.held_out))
+    for i, t in rows:
+        words, (c, out) = brown.tokens(t), seq[i, len(brown.tokens(t))][0]
+        for w, k in zip(words, c):
+            cls[w] = int(k)
+            if not out:
+                n[w] = n.get(w, 0) + 1
+    k = model.rest + 2
+    pair, into = np.zeros((k, k)), np.zeros(k)
+    for i, t in rows:
+        words, (c, out) = brown.tokens(t), seq[i, len(brown.tokens(t))][0]
+        before = model.end
+        for w in words if not out else []:
+            pair[before, cls[w]] += 1
+            into[cls[w]] += 1
+            before = cls[w]
+    prior = (into + 1) / (into.sum() + k)
+    to = (pair + prior) / (pair.sum(1, keepdims=True) + 1)
+    total, v = sum(n.values()), len(n)
+
+    def p(before, w):
+        if w not in n:  # the unknown word, which any class but the end's may emit
+            return (1 - brown.MIX) * sum(to[before, c] / (into[c] + 1) for c in range(k) if c != model.end) + brown.MIX / (total + v + 1)
+        emit = 1.0 if w == brown.END else n[w] / (into[cls[w]] + 1)
+        return (1 - brown.MIX) * to[before, cls[w]] * emit + brown.MIX * (n[w] + 1) / (total + v + 1)
+
+    for before in range(k):
+        assert sum(p(before, w) for w in n) + p(before, None) == pytest.approx(1)
+    out = {}
+    for i, t in rows:
+        before, score = model.end, 0.0
+        for w in brown.tokens(t):
+            score += np.log10(p(before, w))
+            before = cls[w] if w in n else model.rest
+        out[i] = score
+    return out
+
+
+def test_scores_are_those_of_a_distribution(spark):
+    rng = np.random.default_rng(8)
+    weights = 1 / np.arange(1, 81)
+    rows = [(i, " ".join(rng.choice(WORDS[:80], 40, p=weights / weights.sum())) + (f" only{i}" if i % 4 == 0 else "")) for i in range(90)] + [(500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", brown.held_out("doc_id"))
+    got = {r.doc_id: r.score for r in brown.lm_scores(spark, docs, classes=5, clustered=20, held=40).collect()}
+    model, located = brown.fit(brown.Tables(spark), docs, 5, 20, 40)
+    assert got == pytest.approx(brute_scores(model, located, rows))
+
+
+def test_language_model_without_training_rows(spark):
+    out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    for r in brown.lm_scores(spark, spark.createDataFrame([(i, "two words") for i in out], "doc_id long, text string")).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and -20 < r.score < 0
 
 
 def test_every_training_word_has_a_class(spark):
@@ -329,7 +428,15 @@ def test_plan(histogram):
     rows = [(s + (r - a) // k, o + (r - a) % k * n, n) for n, a, b, s, o, k in packing.plan(histogram, 64) for r in range(a, b)]
     assert sorted(n for _, _, n in rows) == sorted(n for n, c in histogram.items() for _ in range(c))
     used = check_packed(*zip(*rows), 64) if rows else 0
-    assert used <= 1.25 * sum(n * c for n, c in histogram.items()) / 64 * 1.5 + 1
+    # Best fit leaves no sequence that a later one's first piece would have fitted into, so that two sequences hold more than one's size.
+    assert used <= 2 * -(-sum(n * c for n, c in histogram.items()) // 64)
+
+
+def test_plan_is_tight_on_texts_of_usual_lengths():
+    lengths = np.random.default_rng(3).lognormal(6, 1, 5000).clip(1, 4096).astype(int)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True))}
+    rows = [(s + (r - a) // k, o + (r - a) % k * n, n) for n, a, b, s, o, k in packing.plan(histogram, 4096) for r in range(a, b)]
+    assert check_packed(*zip(*rows), 4096) <= -(-lengths.sum() // 4096) + 1  # the least that any packing needs, and one
 
 
 TRICKY = "\\### Assistant: </turn> ok"
@@ -359,11 +466,48 @@ def test_chat_layouts(spark):
         assert (r.n_turns, r.loss_chars) == (2, len(TRICKY)) and r.loss_sha256 == hashlib.sha256(TRICKY.encode()).hexdigest()
     with pytest.raises(ValueError):
         chat.canonical_turns(spark.createDataFrame([(1, "q")], "conv_id long, other string"))
-    nulls = spark.createDataFrame([(None, 0, None, None)], "conv_id long, turn long, role string, text string")
-    assert chat.digests(chat.format_chats(chat.canonical_turns(nulls))).first().n_turns == 1
+    nulls = spark.createDataFrame([(None, 0, None, None), (None, 0, "user", "x"), (3, 1, None, "y")], "conv_id long, turn long, role string, text string")
+    assert sorted(str(r.conv_id) + str(r.n_turns) for r in chat.digests(chat.format_chats(chat.canonical_turns(nulls))).collect()) == ["31", "None1", "None1"]
     assert chat.canonical_turns(nulls.where("false")).count() == 0
 
 
+def test_chat_layouts_mixed_in_one_frame(spark):
+    schema = "conv_id long, prompt string, response string, instruction string, input string, output string, messages array<struct<role: string, content: string>>, lang string"
+    rows = [(1, "q", "a", None, None, None, None, "en"), (2, None, None, "do", "this", "done", None, None), (3, None, None, "do", None, "done", None, "x"),
+            (4, None, None, None, None, None, [("user", "q"), ("assistant", "a")], None), (5, None, None, None, None, None, None, "x"), (6, "q", "a", "do", None, "done", None, None)]
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.canonical_turns(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: [("user", "q"), ("assistant", "a")], 2: [("user", "do\nthis"), ("assistant", "done")], 3: [("user", "do"), ("assistant", "done")], 4: [("user", "q"), ("assistant", "a")], 5: [], 6: []}
+
+
+def test_chat_digests_against_the_contract(spark):
+    rows = [(1, 2, "assistant", "b ### x: </turn>"), (1, 0, "user", "a\\h"), (1, 1, "assistant", "é\n"), (2, 0, "system", None), (-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)]
+    got = {r.conv_id: r for r in chat.digests(chat.format_chats(chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for conv in (1, 2, -7):
+        turns = [(r, t or "") for c, _, r, t in sorted((x for x in rows if x[0] == conv), key=lambda x: x[1])]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        size = sum(len("### ") + len(chat.escape(r)) + len(": ") + len(chat.escape(t)) + len("</turn>\n") for r, t in turns)
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)))
+        assert (got[conv].loss_chars, got[conv].loss_sha256, got[conv].formatted_chars) == (len(loss), sha(loss), size)
+
+
+@pytest.mark.parametrize("text", [" (dot) " * 100_000, "a (at) " * 50_000, "jo@" * 50_000, "1 one, " * 50_000, "\uff141 " * 60_000, "one two " * 50_000, "+1 " * 60_000])
+def test_pii_takes_a_long_text_once(text):
+    import time
+
+    began = time.process_time()
+    pii.spans_of(text)
+    assert time.process_time() - began < 4  # a text of that length took minutes where a scan starts anew at each place
+
+
+def test_pii_of_very_long_texts_and_nulls(spark):
+    text = "word " * 300_000 + "jo(at)ex.com " + "filler " * 1000 + "+1 415 555 0199"
+    rows = [(1, text), (None, None), (None, ""), (1, text)]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    at = text.index("jo(at)")
+    assert [r.spans for r in got if r.doc_id] == [f"email:{at}:{at + 12},phone:{len(text) - 15}:{len(text)}"] * 2 and got[0].redacted == text.replace("jo(at)ex.com", "<EMAIL>").replace("+1 415 555 0199", "<PHONE>")
+
+
 def test_pii_disguises_and_clean_text(spark, docs):
     cases = {"jo.x (at) ex (dot) org": "email", "jane at ex dot org": "email", "ｊo@ехample.com": "email", "plus one five five five one two three four five six seven": "phone", "192.168.1.１": "ip"}
     for text, kind in cases.items():
@@ -398,15 +542,42 @@ def test_pii_digits_spelled_in_part():
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab1.@-+ %256")), max_size=40))
-def test_pii_base_matches_patterns(text):
+def brute_spans(text):
+    """The contract's patterns as they stand there."""
     import re
 
-    got = pii.detect(text)
-    assert [s[1:] for s in got if s[0] == "email"] == [m.span() for m in re.finditer(EMAIL, text)]
-    ips = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
-    assert [s[1:] for s in got if s[0] == "ip"] == ips
+    def luhn(digits):
+        doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    kinds = {
+        "email": (EMAIL, lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    }
+    found = [(m.start(), k, kind, m.end()) for k, (kind, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, text) if ok(m)]
+    return [(kind, a, b) for a, _, kind, b in sorted(found)]
+
+
+NUMBERS = ["4111 1111 1111 1111", "4111-1111-1111-1111", "411111111111111", "37828224631000 5", "+1 415 555 0199", "+44 (20) 7946.0958", "+12", "10.0.0.1", "1.2.3.4.5", "256.1.1.1", "a@b.c", "é ", " ", ".", "-", "+", "@", "x"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet=st.sampled_from(list("ab1.@-+ %256()")), max_size=40), st.lists(st.sampled_from(NUMBERS), max_size=8).map("".join), st.text(alphabet=st.sampled_from(list("0123456789 -+")), max_size=45)))
+def test_pii_base_matches_patterns(text):
+    assert pii.detect(text) == brute_spans(text)
+
+
+def test_pii_query_digests(spark):
+    texts = [None, "", "call +1 415 555 0199 or a@b.co", "4111 1111 1111 1111 é 10.0.0.1", "jo (at) ex.com 5500-0000-0000-0004"]
+    for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        base = brute_spans(texts[r.doc_id] or "")
+        n = lambda kind: sum(k == kind for k, _, _ in base)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(map(n, ("email", "ip", "card", "phone")))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(r.spans.split(","))  or not base
 
 
 def brute_quality(text):
@@ -445,10 +616,54 @@ def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, sf)
+    fine = {r.doc_id for r in quality.quality(docs).where("kept").collect()}
+    assert sorted(kept.collect()) == sorted(r for r in docs.collect() if r.doc_id in fine)
     near = corpus_pipeline.near_duplicates(spark, kept, sf)
     rows = kept.orderBy("doc_id").collect()
     root = brute_components([r.text for r in rows], 5, 80, 100)[1]
-    assert sorted(r.doc_id for r in near.collect()) == [r.doc_id for i, r in enumerate(rows) if root[i] == i]
+    assert sorted(near.collect()) == [r for i, r in enumerate(rows) if root[i] == i]
     clean = corpus_pipeline.personal_data(spark, near, sf)
-    assert all(pii.spans_of(r.text)[1] == [] or r.text for r in clean.collect()) and clean.columns == docs.columns
-    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == {r.doc_id for r in near.collect()}
+    want = {r.doc_id: pii.redact(r.text, pii.spans_of(r.text)[1]) for r in near.collect()}
+    got = clean.collect()
+    assert {r.doc_id: r.text for r in got} == want and any("<EMAIL>" in t for t in want.values()) and clean.columns == docs.columns
+    assert all(r.n_chars == len(r.text) for r in got if "<EMAIL>" in r.text)
+    assert not any(brute_spans(r.text) for r in got)
+    packed = corpus_pipeline.run(spark, sf).collect()
+    lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    assert {(r.doc_id, r.start): r.length for r in packed} == {(i, k): min(4096, n - k) for i, t in want.items() for n in [len(lib.encode(t, add_special_tokens=False).ids) + 1] for k in range(0, n, 4096)}
+    check_packed([r.sequence_id for r in packed], [r.offset for r in packed], [r.length for r in packed], 4096)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls, repeated rows and ids, clashing extra columns, a very long text; and no rows."""
+    good = "The harbour was quiet in the morning and the boats lay by the wall, with nets that had been left on deck for days, write to jo(at)ex.com."
+    long = " ".join(f"the w{i}" for i in range(20_000))
+    rows = [(1, good, "en", "a", len(good)), (1, good, "en", "a", len(good)), (2, good + " More", None, None, None), (None, good, "en", None, 1), (None, good, "en", None, 1), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (5, long, "en", "a", None), (6, good.upper() + " and now for something else that is quite unlike the others in it", "en", "a", 1)]
+    docs = spark.createDataFrame([(*r, 7, True, "x", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id long, _likely boolean, component_id string, _bucket int, n_words int")
+    for frame in (docs, docs.where("false")):
+        out = [frame]
+        for _, stage in corpus_pipeline.STAGES:
+            out.append(stage(spark, out[-1], "").cache())
+            assert all(f.columns == list(corpus_pipeline.COLUMNS) for f in out[1:4])
+        if frame is docs:
+            assert sorted((r.doc_id or -1) for r in out[1].collect()) == [-1, -1, 1, 1, 2, 5, 6]
+            assert sorted((r.doc_id or -1) for r in out[2].collect()) == [-1, -1, 1, 5, 6]  # equal rows of one id are one
+            assert {r.text.count("<EMAIL>") for r in out[3].where("doc_id = 1 OR doc_id IS NULL").collect()} == {1}
+            assert {(r.doc_id or -1) for r in out[4].collect()} == {-1, 1, 5, 6}
+        else:
+            assert out[-1].count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    import os
+
+    import duckdb
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    for f in os.listdir(data):
+        con.execute(f"create view {f[:-8]} as select * from '{data}/{f}'")
+    want = con.execute(queries.oracle_sql()[name]).fetchall()
+    got = queries.queries()[name](spark, data).select(*(c[0] for c in con.description))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
