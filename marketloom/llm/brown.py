@@ -146,7 +146,8 @@ class Model:
     """Tables that workers score with; bounded by the words held and the classes. Made of the words that exchange clusters, until learn()."""
 
     def __init__(self, total: int, kinds: int, held: list[tuple[bytes, int]], pairs: np.ndarray, clustered: int, classes: int):
-        self.total, self.kinds, self.rest, self.end = total, kinds, classes, classes + 1
+        self.total, self.kinds, self.rest, self.end = total, max(1, kinds), classes, classes + 1
+        self.base = total + kinds + 1  # without training rows no word is known to the base, and to the model the end alone
         of = exchange(pairs, classes, ROUNDS)
         one = np.zeros((clustered + 2, classes + 2))
         one[np.arange(clustered + 2), of] = 1
@@ -165,7 +166,7 @@ class Model:
         self.of = np.append(of, self.rest).astype(np.int64)
         emit, base = self.parts(counts, of)
         emit[of == self.end] = 1 - MIX
-        self.emit, self.base = np.append(emit, 0.0), np.append(base, MIX / (self.total + self.kinds + 1))
+        self.emit, self.floor = np.append(emit, 0.0), np.append(base, MIX / (self.total + self.kinds + 1))
         open_to = np.where(np.arange(len(table)) == self.end, 0.0, 1 / self.into)
         self.other = np.log10((1 - MIX) * (self.to @ open_to) + MIX / (self.total + self.kinds + 1))
 
@@ -200,13 +201,13 @@ class Model:
         """Tokens, those known, base and model score."""
         cls = self.classes_of(at, found)
         before = np.concatenate([[self.end], cls[:-1]])
-        emit, base, log1 = self.emit[at], self.base[at], self.log1[at]
+        emit, base, log1 = self.emit[at], self.floor[at], self.log1[at]
         emit[found[0]], base[found[0]] = self.parts(found[2], found[1])
         log1[found[0]] = np.log10(found[2] + 1)
         unknown = cls == self.rest
         p = np.where(unknown, 1.0, self.to[before, cls] * emit + base)
         score = np.where(unknown, self.other[before], np.log10(p)).sum()
-        return len(at), int(len(at) - unknown.sum()), float(log1.sum() - len(at) * math.log10(self.total + self.kinds + 1)), float(score)
+        return len(at), int((log1 > 0).sum()), float(log1.sum() - len(at) * math.log10(self.base)), float(score)
 
 
 #: A class before, or the number of classes and a class after, and how often it was met.
@@ -336,7 +337,7 @@ def fit(tables: Tables, docs: DataFrame, classes: int, clustered: int, held: int
     train = docs.where(~F.col("held_out"))
     counts = tables.save(word_counts(train), "words")
     total, kinds, ends = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n")))).first()
-    kinds, total = (kinds or 0) + (0 if total else 1), total or 0
+    total = total or 0
     first = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(clustered).select("word", "n").collect()
     words = [(bytes(w), n) for w, n in first] + [(END, ends or 0)]
     size = len(first)
@@ -362,7 +363,8 @@ def lm_scores(spark: SparkSession, df: DataFrame, classes: int = CLASSES, cluste
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) a row of df.
 
     Learns from the rows not held out. Null and empty texts are one end token. Repeated rows count and
-    are scored each. Without training rows every token is unknown and scores as one of one kind.
+    are scored each. Without training rows no token is known, and each has a base of 0. Null ids learn
+    and are scored; other columns are not read.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), held_out(id_col).alias("held_out"))
     model, located = fit(Tables(spark), docs, classes, clustered, held)
