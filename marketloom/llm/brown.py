@@ -287,25 +287,24 @@ def class_bigrams(docs: DataFrame, classes_of: Callable[[np.ndarray, tuple], np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(k * k, np.int64)
         for b in batches:
-            for at, found in zip(*(c.to_pylist() for c in b.columns)):
-                cls = classes_of(*opened(at, found))
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                cls = classes_of(*opened(*row))
                 n += np.bincount(np.concatenate([[end], cls[:-1]]) * k + cls, minlength=k * k)
         pairs = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(n[pairs])], names=["pair", "n"])
 
-    got = docs.select("at", "found").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("at", "pos", "cls", "n").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(k * k)
     table[got["pair"].to_numpy()] = got["n"].to_numpy()
     return table.reshape(k, k)
 
 
-def opened(at: bytes, found: list[dict] | None) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    found = found or []
-    return np.frombuffer(at, "<i4"), tuple(np.array([x[c] for x in found], np.int64) for c in ("pos", "cls", "n"))
+def opened(at: bytes, *found: list[int] | None) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    return np.frombuffer(at, "<i4"), tuple(np.array(x or [], np.int64) for x in found)
 
 
 def locate(tables: Tables, docs: DataFrame, places: dict[bytes, int], others: DataFrame) -> DataFrame:
-    """(doc_id, held_out, at, found): tokens' places among held words, and those of `others` by their place in the text with class and count."""
+    """(doc_id, held_out, at, pos, cls, n): tokens' places among held words, and of the `others` among them the places in the text, classes and counts."""
     sent = docs.sparkSession.sparkContext.broadcast(places)
 
     def task() -> Callable[..., tuple]:
@@ -314,20 +313,21 @@ def locate(tables: Tables, docs: DataFrame, places: dict[bytes, int], others: Da
         def batch(ids: list, out: list, texts: list) -> tuple:
             keys = list(range(base + done[0], base + done[0] + len(ids)))
             done[0] += len(ids)
-            at, rare = [], []
+            at, rare, pos = [], [], []
             for t in texts:
                 words, n = tokens(t), len(sent.value)
                 own = np.fromiter((sent.value.get(w, n) for w in words), np.int32, len(words))
                 at.append(own.astype("<i4").tobytes())
-                rare.append([{"word": words[i], "pos": i} for i in np.flatnonzero(own == n).tolist()])
-            return keys, ids, out, at, rare
+                pos.append(np.flatnonzero(own == n).tolist())
+                rare.append([words[i] for i in pos[-1]])
+            return keys, ids, out, at, rare, pos
 
         return batch
 
-    schema = f"row long, doc_id {docs.dtypes[0][1]}, held_out boolean, at binary, rare array<struct<word: binary, pos: int>>"
+    schema = f"row long, doc_id {docs.dtypes[0][1]}, held_out boolean, at binary, word array<binary>, pos array<int>"
     read = tables.save(map_lists(docs.select("doc_id", "held_out", "text"), task, schema, per_task=True), "read")
-    found = read.select("row", F.inline("rare")).join(others, "word").groupBy("row").agg(F.collect_list(F.struct("pos", "cls", "n")).alias("found"))
-    located = tables.save(read.drop("rare").join(found, "row", "left").drop("row"), "located")
+    found = read.select("row", F.inline(F.arrays_zip("word", "pos"))).join(others, "word").groupBy("row").agg(F.collect_list(F.struct("pos", "cls", "n")).alias("found"))
+    located = tables.save(read.drop("word", "pos").join(found, "row", "left").select("doc_id", "held_out", "at", "found.pos", "found.cls", "found.n"), "located")
     tables.drop(read)
     return located
 
@@ -370,8 +370,8 @@ def lm_scores(spark: SparkSession, df: DataFrame, classes: int = CLASSES, cluste
     model, located = fit(Tables(spark), docs, classes, clustered, held)
     sent, total = spark.sparkContext.broadcast(model), model.total
 
-    def batch(ids: list, out: list, at: list, found: list) -> tuple:
-        made = [sent.value.score(*opened(a, f)) for a, f in zip(at, found)]
+    def batch(ids: list, out: list, *located: list) -> tuple:
+        made = [sent.value.score(*opened(*row)) for row in zip(*located)]
         return ids, out, [m[0] for m in made], [m[1] for m in made], [total] * len(ids), [m[2] for m in made], [m[3] for m in made]
 
     schema = f"doc_id {docs.dtypes[0][1]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -278,7 +278,7 @@ def brute_scores(model, located, rows):
     cls, n = {}, {}
     seq = {}
     for r in located.collect():
-        c = model.classes_of(*brown.opened(r.at, r.found))
+        c = model.classes_of(*brown.opened(r.at, r.pos, r.cls, r.n))
         seq.setdefault((r.doc_id, len(c)), []).append((c, r.held_out))
     for i, t in rows:
         words, (c, out) = brown.tokens(t), seq[i, len(brown.tokens(t))][0]
@@ -347,7 +347,7 @@ def test_every_training_word_has_a_class(spark):
         got = located.where("not held_out").collect()
         n_class = {}
         for r in got:
-            cls = model.classes_of(*brown.opened(r.at, r.found))
+            cls = model.classes_of(*brown.opened(r.at, r.pos, r.cls, r.n))
             assert model.rest not in cls  # none is left out
             for j, c in enumerate(cls[:-1]):
                 n_class.setdefault(j % 2, []).append(int(c))
