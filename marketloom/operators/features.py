@@ -19,8 +19,8 @@ COMPONENTS = {"V": (126, 126, 126), "M": (126, 126, 126), "MOM": (63, 63, 126),
 GATED = {"V": (21, 63), "S": (21, 63), "M": (21, 63), "MOM": (21, 63), "E": (126, 252), "P": (126, 252), "I": (63, 126)}
 #: Gates, as (name, the score that opens it, its weight, its limit, groups that it acts on).
 GATES = (("E", "E_pc1_z252", 0.5, 3.0, ("V",)), ("V", "V_pc1_z126", 0.5, 3.0, ("S", "M", "MOM", "E", "P", "I")), ("Vstrong", "V_pc1_z126", 0.8, 4.0, ("S",)))
-#: Days that one task scores.
-DAYS = 512
+#: Days that are scored together.
+DAYS = 128
 
 
 def interactions(wide: DataFrame, pairs: tuple = INTERACTIONS, eps: float = EPS, flags: bool = False, prefix: str = "XINT_") -> DataFrame:
@@ -65,7 +65,7 @@ def first_component(train: np.ndarray, x: np.ndarray, q: float, least: int) -> f
     if active.sum() < least:
         return float("nan")
     train, x = train[:, active], x[active]
-    low, high = np.nanquantile(train, [1 - q, q], axis=0)
+    low, high = (np.nanquantile if np.isnan(train).any() else np.quantile)(train, [1 - q, q], axis=0)
     train, x = (np.nan_to_num(np.clip(v, low, high)) for v in (train, x))
     mean = train.mean(axis=0)
     values, vectors = np.linalg.eigh((train - mean).T @ (train - mean))
@@ -77,8 +77,8 @@ def causal_pc1(wide: DataFrame, columns: list[str], window: int | None, warmup:
     """(entity, row_id, pc1): each row's score on a component fitted on earlier rows alone; row_id is dense from 0.
 
     The window is the rows before, all of them where it is None. The component's largest loading is
-    positive. Each task scores DAYS rows of an entity, to which the rows of their windows are dealt;
-    without `by` there is one entity.
+    positive. DAYS rows of an entity are scored together, and the rows of their windows are dealt to
+    them; without `by` there is one entity.
     """
     first = warmup if window is None else max(warmup, window)
 
@@ -93,6 +93,8 @@ def causal_pc1(wide: DataFrame, columns: list[str], window: int | None, warmup:
     ends = wide.groupBy(entity.alias("entity")).agg(F.floor(F.max("row_id") / DAYS).alias("_top"))
     last = F.col("_top") if window is None else F.least("_top", F.floor((F.col("row_id") + window) / DAYS))
     dealt = wide.select(entity.alias("entity"), "row_id", *columns).join(ends, "entity").withColumn("part", F.explode(F.sequence(F.floor(F.col("row_id") / DAYS), last))).drop("_top")
+    # The number of tasks is stated, as small tables of costly days would be put together in one.
+    dealt = dealt.repartition(2 * wide.sparkSession.sparkContext.defaultParallelism, "entity", "part")
     out = dealt.groupBy("entity", "part").applyInPandas(run, "entity string, row_id long, pc1 double")
     return out.withColumn("pc1", F.nanvl("pc1", F.lit(None).cast("double")))
 

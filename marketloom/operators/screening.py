@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .selection import is_excluded
+from ..sources.tables import Tables
 
 #: Loose prefixes; MOM1 starts with M as well as with MOM.
 PREFIXES = ("E", "S", "V", "M", "MOM", "P", "I", "D")
@@ -64,50 +65,52 @@ def _patterns(x: DataFrame) -> DataFrame:
 
 
 def _gram(x: DataFrame) -> DataFrame:
-    """(a, b, both, own_a, own_b) for a <= b of one pattern: sums of products of x (pattern, row_id, feature, r).
+    """(lo, hi, a, b, dot) for a <= b, of x (lo, hi, row_id, feature, own, r): sums of products of r over the rows that a pair of patterns shares.
 
-    A row's values meet once; a task adds up their products and gives a number a pair of features.
+    A row's values meet once; a task adds up their products and gives a number a pair of features. Of
+    features with the same pattern only those that lie in the pair (own, own) count, and squares.
     """
-    rows = x.groupBy("pattern", "row_id").agg(F.array_sort(F.collect_list(F.struct("feature", "r"))).alias("v")).select("pattern", F.col("v.feature").alias("names"), F.col("v.r").alias("r"))
+    rows = x.groupBy("lo", "hi", "row_id").agg(F.array_sort(F.collect_list(F.struct("feature", "own", "r"))).alias("v"))
+    rows = rows.select("lo", "hi", F.col("v.feature").alias("names"), F.col("v.own").alias("own"), F.col("v.r").alias("r"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for batch in batches:
-            for pattern, part in batch.groupby("pattern"):
+            for key, part in batch.groupby(["lo", "hi"]):
                 m = np.stack(part["r"].to_numpy())
-                names, total = sums.get(pattern, (list(part["names"].iloc[0]), 0))
-                sums[pattern] = names, total + m.T @ m
-        for names, total in sums.values():
+                names, own, total = sums.get(key, (list(part["names"].iloc[0]), np.asarray(part["own"].iloc[0]), 0))
+                sums[key] = names, own, total + m.T @ m
+        for (lo, hi), (names, own, total) in sums.items():
             i, j = np.triu_indices(len(names))
-            yield pd.DataFrame({"a": np.array(names, dtype=object)[i], "b": np.array(names, dtype=object)[j], "dot": total[i, j]})
+            kept = (i == j) | (own[i] != own[j]) | (lo == hi)
+            i, j, names = i[kept], j[kept], np.array(names, dtype=object)
+            yield pd.DataFrame({"lo": lo, "hi": hi, "a": names[i], "b": names[j], "dot": total[i, j]})
 
-    dots = rows.mapInPandas(run, "a string, b string, dot double").groupBy("a", "b").agg(F.sum("dot").alias("dot"))
-    own = dots.where("a = b").select(F.col("a").alias("f"), F.col("dot").alias("own"))
-    left, right = own.toDF("a", "own_a"), own.toDF("b", "own_b")
-    return dots.where("a < b").join(left, "a").join(right, "b")
+    return rows.mapInPandas(run, "lo long, hi long, a string, b string, dot double").groupBy("lo", "hi", "a", "b").agg(F.sum("dot").alias("dot"))
 
 
 def correlations(obs: DataFrame, method: str = "spearman") -> DataFrame:
     """(a, b, rho) for a < b over the rows in which both have values, by ranks or (method pearson) by values; NULL where either is constant there.
 
-    Features with values in the same rows are ranked once, and a row's ranks meet once. Only pairs whose
-    rows differ are put side by side and ranked anew.
+    Features with values in the same rows form a pattern. The rows of two features are those that their
+    patterns share, so that a feature is ranked once for each pattern that its own meets, not for each feature.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown method {method!r}: spearman or pearson")
-    x = obs.where("value IS NOT NULL").select("row_id", "feature", "value")
-    kinds = _patterns(x)
-    known = x.join(kinds, "feature")
-    rank = _ranked("value", ("feature",)) if method == "spearman" else F.col("value")
-    ranks = known.withColumn("r", rank).withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("feature")))
-    flat = ranks.withColumn("r", F.when(F.min("value").over(Window.partitionBy("feature")) == F.max("value").over(Window.partitionBy("feature")), 0.0).otherwise(F.col("r")))
-    same = _gram(flat).select("a", "b", F.when((F.col("own_a") > 0) & (F.col("own_b") > 0), F.col("dot") / F.sqrt(F.col("own_a")) / F.sqrt(F.col("own_b"))).alias("rho"))
-
-    k = lambda side: known.select("row_id", F.col("feature").alias(side), F.col("value").alias(f"v{side}"), F.col("pattern").alias(f"p{side}"))
-    pairs = k("a").join(k("b"), "row_id").where("a < b AND pa <> pb")
-    r = lambda side: _ranked(f"v{side}", ("a", "b")) if method == "spearman" else F.col(f"v{side}")
-    other = pairs.select("a", "b", r("a").alias("ra"), r("b").alias("rb")).groupBy("a", "b").agg(correlation("ra", "rb").alias("rho"))
-    return same.unionByName(other)
+    tables = Tables(obs.sparkSession)  # values and products are read several times
+    x = tables.save(obs.where("value IS NOT NULL").select("row_id", "feature", "value"), "values")
+    known = x.join(_patterns(x), "feature")
+    rows = known.select(F.col("pattern").alias("other"), "row_id").distinct()
+    met = known.join(rows, "row_id").select("row_id", "feature", "value", F.col("pattern").alias("own"), F.least("pattern", "other").alias("lo"), F.greatest("pattern", "other").alias("hi"))
+    each = Window.partitionBy("lo", "hi", "feature")
+    ranked = met.withColumn("r", _ranked("value", ("lo", "hi", "feature")) if method == "spearman" else F.col("value"))
+    flat = F.min("value").over(each) == F.max("value").over(each)
+    dots = tables.save(_gram(ranked.withColumn("r", F.when(flat, 0.0).otherwise(F.col("r") - F.avg("r").over(each)))), "products")
+    tables.drop(x)
+    square = dots.where("a = b").select("lo", "hi", F.col("a").alias("f"), "dot")
+    pairs = dots.where("a < b").join(square.toDF("lo", "hi", "a", "own_a"), ["lo", "hi", "a"]).join(square.toDF("lo", "hi", "b", "own_b"), ["lo", "hi", "b"])
+    rho = F.when((F.col("own_a") > 0) & (F.col("own_b") > 0), F.col("dot") / F.sqrt(F.col("own_a")) / F.sqrt(F.col("own_b")))
+    return pairs.select("a", "b", rho.alias("rho"))
 
 
 def spearman_pairs(obs: DataFrame) -> DataFrame:
