@@ -82,3 +82,30 @@ c AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w,
 m AS (SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(tests)}) AS kept FROM m
 """
+
+
+AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {words('text')} AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > low, false)}} AS s,
+  coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d JOIN m USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+b AS (SELECT part, s.A::INT + 2 * s.B::INT + 4 * s.C::INT + 8 * s.D::INT + 16 * s.E::INT AS mask, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c), o AS (SELECT a.c || b.c || x.c || y.c || z.c AS o FROM c a, c b, c x, c y, c z WHERE len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5),
+st AS (SELECT o, i, 1 << (ascii(substr(o, i, 1)) - 65) AS own, CAST(coalesce(list_sum(list_transform(range(1, i), lambda j: 1 << (ascii(substr(o, CAST(j AS INT), 1)) - 65))), 0) AS INT) AS earlier FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS i)),
+r AS (SELECT part, o, i, own, sum(CASE WHEN mask & (own | earlier) = 0 THEN docs ELSE 0 END) AS kept, sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN docs ELSE 0 END) AS removed, sum(CASE WHEN mask & own <> 0 AND mask & earlier <> 0 THEN docs ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = own THEN docs ELSE 0 END) AS uf, sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS gl, sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS tl FROM b, st GROUP BY ALL)
+SELECT part, o AS filter_order, i AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(uf AS BIGINT) AS unique_fails, CAST(gl AS BIGINT) AS good_lost, CAST(tl AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+#: The crc32 of a decimal text, a bit at a time: each byte is followed by eight steps.
+CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"
+
+TIES = f"""
+WITH h AS (SELECT *, sale_id IS NOT NULL AND {CRC} % 5 = 0 AS hot FROM sale_lines),
+x AS (SELECT CASE WHEN hot THEN -1 ELSE vendor_id END AS vendor_id, CASE WHEN hot THEN -1 ELSE coalesce(item_id % 5, -1) END AS part, CASE WHEN hot THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS month,
+  CAST(floor(quantity / 10) AS BIGINT) AS tens, CAST(floor(100 * discount + 0.5) AS BIGINT) AS percent, sale_id, CAST(line_no AS BIGINT) AS line_no, CAST(quantity AS BIGINT) AS quantity, CAST(floor(100 * amount + 0.5) AS BIGINT) AS amount_cents FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS LAST, percent NULLS LAST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos, count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied FROM x)
+SELECT vendor_id, part, month, pos, pos AS place, sale_id, line_no, quantity, percent, amount_cents, tied FROM r WHERE pos <= 2
+"""
