@@ -13,6 +13,7 @@ from .brown import lm_scores
 from .chat import canonical_turns, digests, format_chats
 from .common import table, vocabulary
 from .jaccard import jaccard_join
+from .langid import language_id
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import find_pii
@@ -69,6 +70,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
