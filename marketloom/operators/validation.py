@@ -1,16 +1,9 @@
-"""Folds in time, scaling, and models that are fitted again as time goes on."""
+"""Folds in time, scaling, and a line of one feature from running sums."""
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.finance import adjusted_sharpe, position_rule
-
 
 def rolling_folds(spark: SparkSession, n: int, train: int = 752, val: int = 21, step: int = 21, embargo: int = 0, most: int | None = None) -> DataFrame:
     """(fold, tr_start, tr_end, va_start, va_end), ends exclusive; whole validation windows only, the first `most` of them."""
@@ -58,281 +51,3 @@ def linear_walk_forward(df: DataFrame, x: str, y: str, by: str | None = None) ->
     a, b = F.when(known, F.col(x)), F.when(known, F.col(y))
     slope, at = F.regr_slope(b, a).over(past), F.regr_intercept(b, a).over(past)
     return df.select(*ids, "row_id", (slope * F.col(x) + at).alias("yhat"))
-
-
-def ridge(x: np.ndarray, y: np.ndarray, alpha: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept of least squares with a penalty of alpha on the weights, in closed form."""
-    mx, my = x.mean(axis=0), y.mean()
-    w = np.linalg.solve((x - mx).T @ (x - mx) + alpha * len(x) * np.eye(x.shape[1]), (x - mx).T @ (y - my))
-    return w, float(my - mx @ w)
-
-
-def descent(x: np.ndarray, y: np.ndarray, alpha: float = 1e-4, eta: float = 0.01, power: float = 0.25, epochs: int = 1000, tol: float = 1e-3, patience: int = 5, seed: int = 42) -> tuple[np.ndarray, float]:
-    """The same line by stochastic descent, a row a step in an order drawn anew each epoch; the step shrinks with the power of the steps so far.
-
-    Ends when the mean loss has not fallen by tol for `patience` epochs.
-    """
-    rng, w, c, t, best, waited = np.random.default_rng(seed), np.zeros(x.shape[1]), 0.0, 1, np.inf, 0
-    for _ in range(epochs):
-        loss = 0.0
-        for i in rng.permutation(len(x)):
-            rate, off = eta / t**power, float(x[i] @ w) + c - y[i]
-            w = w * (1 - rate * alpha) - rate * off * x[i]
-            c -= rate * off
-            loss += off * off / 2
-            t += 1
-        loss /= len(x)
-        waited = waited + 1 if loss > best - tol else 0
-        best = min(best, loss)
-        if waited >= patience:
-            break
-    return w, c
-
-
-LINES = {"ridge": ridge, "descent": descent}
-
-
-@dataclass
-class Trees:
-    """Gradient-boosted regression trees on binned columns, grown best leaf first, with a penalty on leaf values.
-
-    A missing value is in the lowest bin. Each tree sees a share of the rows and of the columns.
-    """
-
-    n_estimators: int = 100
-    learning_rate: float = 0.1
-    num_leaves: int = 31
-    min_child_samples: int = 20
-    subsample: float = 1.0
-    colsample_bytree: float = 1.0
-    lambda_l1: float = 0.0
-    lambda_l2: float = 0.0
-    bins: int = 32
-    seed: int = 42
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
-        rng = np.random.default_rng(self.seed)
-        inner = np.linspace(0, 1, self.bins)[1:-1]
-        self.cuts = [np.unique(np.quantile(v, inner)) if len(v := c[~np.isnan(c)]) else np.zeros(0) for c in x.T]
-        codes, d = self.coded(x), x.shape[1]
-        self.used, self.base, self.made = np.zeros(d), float(y.mean()), []
-        rest = y - self.base
-        rows, cols = max(1, round(len(x) * self.subsample)), max(1, round(d * self.colsample_bytree))
-        for _ in range(self.n_estimators):
-            some = np.sort(rng.permutation(len(x))[:rows]) if rows < len(x) else np.arange(len(x))
-            of = np.sort(rng.permutation(d)[:cols]) if cols < d else np.arange(d)
-            tree = self.grow(codes, rest, some, of)
-            self.made.append(tree)
-            if len(tree) == 1 and rows == len(x) and cols == d:
-                break  # no split is left to any further tree
-            rest = rest - self.learning_rate * self.leaf_values(tree, codes)
-        return self
-
-    def coded(self, x: np.ndarray) -> np.ndarray:
-        """Bins of the columns, from 1; 0 is a missing value."""
-        return np.stack([np.where(np.isnan(c), 0, np.searchsorted(cut, c, "left") + 1) for c, cut in zip(x.T, self.cuts)], axis=1) if len(self.cuts) else np.zeros((len(x), 0), np.int64)
-
-    def worth(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.maximum(np.abs(total) - self.lambda_l1, 0) ** 2 / (n + self.lambda_l2)
-
-    def best_split(self, codes: np.ndarray, rest: np.ndarray, rows: np.ndarray, of: np.ndarray) -> tuple | None:
-        """(gain, column, bin, rows of the left, rows of the right); bins up to it go left."""
-        n, least = len(rows), max(1, self.min_child_samples)
-        if n < 2 * least:
-            return None
-        wide = self.bins + 1
-        at = codes[np.ix_(rows, of)] + np.arange(len(of)) * wide
-        total = np.bincount(at.ravel(), np.repeat(rest[rows], len(of)), len(of) * wide).reshape(len(of), wide).cumsum(axis=1)[:, :-1]
-        count = np.bincount(at.ravel(), minlength=len(of) * wide).reshape(len(of), wide).cumsum(axis=1)[:, :-1]
-        whole = float(rest[rows].sum())
-        ok = (count >= least) & (n - count >= least)
-        gain = np.where(ok, self.worth(total, np.maximum(count, 1)) + self.worth(whole - total, np.maximum(n - count, 1)) - self.worth(np.float64(whole), np.float64(n)), -np.inf)
-        k = int(np.argmax(gain))
-        if not gain.flat[k] > 1e-12 * max(1.0, abs(whole)):
-            return None
-        j, b = divmod(k, wide - 1)
-        left = codes[rows, of[j]] <= b
-        return float(gain.flat[k]), int(of[j]), b, rows[left], rows[~left]
-
-    def value(self, rest: np.ndarray) -> float:
-        total = float(rest.sum())
-        return float(np.sign(total) * max(abs(total) - self.lambda_l1, 0) / (len(rest) + self.lambda_l2))
-
-    def grow(self, codes: np.ndarray, rest: np.ndarray, rows: np.ndarray, of: np.ndarray) -> list:
-        """Nodes: a leaf's value, or (column, bin, left node, right node)."""
-        nodes: list = [self.value(rest[rows])]
-        open_ = {0: s} if (s := self.best_split(codes, rest, rows, of)) else {}
-        leaves = 1
-        while open_ and leaves < self.num_leaves:
-            at = max(open_, key=lambda i: (open_[i][0], -i))
-            _, j, b, left, right = open_.pop(at)
-            self.used[j] += 1
-            nodes[at] = (j, b, len(nodes), len(nodes) + 1)
-            leaves += 1
-            for part in (left, right):
-                nodes.append(self.value(rest[part]))
-                if s := self.best_split(codes, rest, part, of):
-                    open_[len(nodes) - 1] = s
-        return nodes
-
-    def leaf_values(self, nodes: list, codes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(codes))
-        todo = [(0, np.arange(len(codes)))]
-        while todo:
-            at, rows = todo.pop()
-            node = nodes[at]
-            if isinstance(node, tuple):
-                left = codes[rows, node[0]] <= node[1]
-                todo += [(node[2], rows[left]), (node[3], rows[~left])]
-            else:
-                out[rows] = node
-        return out
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        codes = self.coded(x)
-        return self.base + self.learning_rate * sum((self.leaf_values(t, codes) for t in self.made), np.zeros(len(x)))
-
-
-def filled_matrix(pdf: pd.DataFrame, columns: list[str], backward: bool = False) -> np.ndarray:
-    """Columns in row order, gaps filled from before; leading ones with 0, or (backward, which looks ahead) from after. Columns without a value are 0."""
-    x = pdf[columns].astype(float).ffill()
-    return (x.bfill() if backward else x).fillna(0.0).to_numpy(dtype=float)
-
-
-def scaled(x: np.ndarray, rows: slice) -> np.ndarray:
-    """x less the mean over the deviation, both of the rows given alone; no deviation counts as 1."""
-    sd = x[rows].std(axis=0)
-    return (x - x[rows].mean(axis=0)) / np.where(sd > 0, sd, 1)
-
-
-def per_task(wide: DataFrame, tasks: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(task row, the table as pandas in row order) for each row of `tasks`, shared out among tasks.
-
-    The table, a row a day, must be small: its size is checked before it is sent to the workers.
-    """
-    rows = wide.count()
-    if rows * len(wide.columns) > 20_000_000:
-        raise ValueError(f"{rows} rows of {len(wide.columns)} columns are too many to send; fit by entity instead")
-    sent = wide.sparkSession.sparkContext.broadcast(wide.toPandas().sort_values("row_id", ignore_index=True))
-
-    def run(batches):
-        for b in batches:
-            for t in b.to_dict("records"):
-                yield fn(t, sent.value)
-
-    many = max(1, tasks.count())
-    numbered = tasks.withColumn("_task", F.row_number().over(Window.orderBy(*tasks.columns)))  # a row a fit, of which there are few
-    return numbered.repartitionByRange(min(256, many), "_task").drop("_task").mapInPandas(run, schema)
-
-
-def tree_importance(spark: SparkSession, wide: DataFrame, columns: list[str], y: str, splits: int = 5, model: Trees = Trees(n_estimators=60, learning_rate=0.03, num_leaves=126, min_child_samples=50, subsample=0.8, colsample_bytree=0.8, lambda_l2=5.0)) -> DataFrame:
-    """(feature, importance): splits a feature serves in, on average over expanding folds; a fold is a task. Rows without a target are left out."""
-
-    def fit(t: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[(pdf.row_id < t["tr_end"]) & pdf[y].notna()]
-        used = Trees(**asdict(model)).fit(own[columns].to_numpy(dtype=float), own[y].to_numpy(dtype=float)).used if len(own) else np.zeros(len(columns))
-        return pd.DataFrame({"feature": columns, "used": used})
-
-    return per_task(wide, expanding_folds(spark, wide.count(), splits), fit, "feature string, used double").groupBy("feature").agg((F.sum("used") / splits).alias("importance"))
-
-
-#: The last rows held out, the days after which trees are fitted again, and the rows they are fitted on.
-HOLD, REFIT, TREE_ROWS = 180, 21, 504
-
-
-def walk_forward(spark: SparkSession, wide: DataFrame, columns: list[str], y: str, trees: Trees = Trees(), line: str = "ridge", hold: int = HOLD, refit: int = REFIT, window: int = TREE_ROWS, backward: bool = False) -> DataFrame:
-    """(row_id, linear, offline, hybrid) for the last `hold` rows.
-
-    linear is a line fitted each day on all earlier rows, offline the line of the core rows alone, hybrid
-    linear and the trees' guess at its residual. Trees are fitted again each `refit` days on the last `window` rows; such a
-    stretch is a task, as no day needs another's model. Scaling is by the core rows alone. Rows without
-    a target are predicted but not learnt from.
-    """
-    n = wide.count()
-    start = max(2, n - hold)
-
-    def fit(t: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, target = scaled(filled_matrix(pdf, columns, backward), slice(0, start)), pdf[y].to_numpy(dtype=float)
-        known = ~np.isnan(target)
-        fitted = lambda i: LINES[line](x[:i][known[:i]], target[:i][known[:i]])
-        first = int(t["id"])
-        (w, c), (w0, c0) = fitted(first), fitted(start)
-        recent = np.flatnonzero(known[:first] & (np.arange(first) >= first - window))
-        made = Trees(**asdict(trees)).fit(x[recent], target[recent] - x[recent] @ w - c)
-        rest = made.predict(x[first : first + refit])
-        rows = []
-        for i in range(first, min(n, first + refit)):
-            w, c = (w, c) if i == first else fitted(i)
-            linear = float(x[i] @ w + c)
-            rows.append((i, linear, float(x[i] @ w0 + c0), linear + float(rest[i - first])))
-        return pd.DataFrame(rows, columns=["row_id", "linear", "offline", "hybrid"])
-
-    return per_task(wide, spark.range(start, n, refit), fit, "row_id long, linear double, offline double, hybrid double")
-
-
-def held_positions(pred: DataFrame, wide: DataFrame, prediction: str, vol: str = "lagged_forward_returns_std21", mom: str = "lagged_forward_returns_mean21") -> DataFrame:
-    """(row_id, forward_returns, risk_free_rate, position) of predictions by the position rule; wide has the labels, vol and mom."""
-    rows = pred.join(wide.select("row_id", "forward_returns", "risk_free_rate", F.col(vol).alias("vol"), F.col(mom).alias("mom")), "row_id")
-    return rows.select("row_id", "forward_returns", "risk_free_rate", position_rule(F.col(prediction), F.col("vol"), F.col("mom")).alias("position"))
-
-
-def walk_forward_scores(pred: DataFrame, wide: DataFrame, **rule: str) -> DataFrame:
-    """(model, n_days, the parts of the score, adjusted_sharpe) for the hybrid, the daily line and the offline line on the rows whose return is known."""
-    out = None
-    for model in ("hybrid", "linear", "offline"):
-        held = held_positions(pred, wide, model, **rule).where("forward_returns IS NOT NULL AND risk_free_rate IS NOT NULL")
-        one = adjusted_sharpe(held).select(F.lit(model).alias("model"), "*")
-        out = one if out is None else out.union(one)
-    return out
-
-
-#: The ranges that parameters are drawn from, as (low, high, whether by the logarithm).
-RANGES = {
-    "n_estimators": (100, 400, False), "learning_rate": (0.02, 0.08, True), "num_leaves": (15, 127, False), "min_child_samples": (30, 400, False),
-    "subsample": (0.6, 0.8, False), "colsample_bytree": (0.6, 0.8, False), "lambda_l1": (1e-3, 50.0, True), "lambda_l2": (1e-2, 20.0, True),
-}
-
-
-def draw(trials: int, seed: int, ranges: dict = RANGES) -> list[dict]:
-    """Parameters of each trial, drawn independently; whole numbers where both ends are."""
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(trials):
-        own = {}
-        for name, (low, high, log) in ranges.items():
-            if isinstance(low, int):
-                own[name] = int(rng.integers(low, high + 1))
-            else:
-                own[name] = float(np.exp(rng.uniform(np.log(low), np.log(high))) if log else rng.uniform(low, high))
-        out.append(own)
-    return out
-
-
-def param_search(spark: SparkSession, wide: DataFrame, columns: list[str], y: str, trials: int = 60, seed: int = 42, train: int = 752, val: int = 21, step: int = 21, recent: int = 10, every_fold: bool = False, ranges: dict = RANGES) -> DataFrame:
-    """(trial, params as JSON, ratio, folds, best): each trial's mean squared-error ratio over the last `recent` rolling folds.
-
-    Trees learn the residual of a line fitted on all rows with a target, as the offline line is. Only the
-    folds that the score reads are fitted, a trial a fold, shared out among tasks; with every_fold all are, and the
-    score stays that of the last ones. Ties go to the earlier trial. Scaling is by a fold's training rows.
-    """
-    rows = wide.where(F.col(y).isNotNull())
-    rows = rows.withColumn("row_id", F.row_number().over(Window.orderBy("row_id")) - 1)
-    drawn = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(draw(trials, seed, ranges))], "trial int, params string")
-    folds = rolling_folds(spark, rows.count(), train, val, step)
-    many = folds.count()
-    own = folds if every_fold else folds.where(F.col("fold") >= many - recent)
-    tasks = drawn.withColumn("fold", F.explode(F.sequence(F.lit(0 if every_fold else max(0, many - recent)).cast("long"), F.lit(max(0, many - 1)).cast("long")))).join(F.broadcast(own), "fold")
-
-    def fit(t: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, target = filled_matrix(pdf, columns), pdf[y].to_numpy(dtype=float)
-        whole = scaled(x, slice(None))
-        w, c = ridge(whole, target)
-        rest = target - whole @ w - c
-        lo, k, hi = int(t["tr_start"]), int(t["tr_end"]), int(t["va_end"])
-        part = scaled(x[lo:hi], slice(0, k - lo))
-        got = Trees(**json.loads(t["params"])).fit(part[: k - lo], rest[lo:k]).predict(part[k - lo :])
-        zero = float((rest[k:hi] ** 2).mean())
-        return pd.DataFrame([(t["trial"], t["params"], t["fold"], float(((rest[k:hi] - got) ** 2).mean()) / zero if zero > 0 else 1.0)], columns=["trial", "params", "fold", "r"])
-
-    scored = per_task(rows, tasks, fit, "trial int, params string, fold long, r double")
-    out = scored.groupBy("trial", "params").agg(F.avg(F.when(F.col("fold") >= many - recent, F.col("r"))).alias("ratio"), F.count("*").alias("folds"))
-    return out.withColumn("best", F.row_number().over(Window.orderBy("ratio", "trial")) == 1)

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import finance
-from ..operators import build, features, screening, selection, timeseries as ts, validation
+from ..operators import build, features, models, screening, search, selection, timeseries as ts, validation
 from ..sources.panel import FEATURES, LABELS, daily_panel, observations
+from ..sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -481,29 +482,51 @@ def _(spark, d):
     return rows(build.build_features(daily_panel(spark, d)))
 
 
+def _saved(spark, d):
+    """The panel as a table, for queries that read it several times."""
+    return Tables(spark).save(daily_panel(spark, d), "panel")
+
+
 def _model_table(spark, d):
     """Features and the labels, with the volatility and momentum of lagged returns that the position rule asks for."""
-    panel = daily_panel(spark, d)
+    panel = _saved(spark, d)
     lags = ts.rolling_long(panel.select("row_id", F.lit("lagged_forward_returns").alias("feature"), F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("value")), (21,), ("mean", "std"), with_diff=False)
     return panel.select("row_id", *FEATURES, *LABELS).join(build.to_wide(lags, ["lagged_forward_returns_mean21", "lagged_forward_returns_std21"]), "row_id")
 
 
+def _core(spark, d):
+    """Core rows of the panel for trees (row_id, x, y), their number, and the same for lines, scaled."""
+    panel = _saved(spark, d)
+    n = panel.count() - models.HOLD
+    obs, y = observations(panel), panel.select("row_id", F.col(Y).alias("y"))
+    core = lambda df: df.where(F.col("row_id") < n).join(y, "row_id")
+    return core(models.vectors(obs, list(FEATURES))), n, core(models.line_rows(obs, list(FEATURES), n))
+
+
 @query("tree_importance")
 def _(spark, d):
-    return validation.tree_importance(spark, _model_table(spark, d), list(FEATURES), Y)
+    """Of 3000 trees a fold, over folds of core rows."""
+    rows, n, _ = _core(spark, d)
+    return models.tree_importance(spark, rows, list(FEATURES), n)
+
+
+def _forward(spark, d):
+    wide = Tables(spark).save(_model_table(spark, d), "labels")
+    panel = wide.select("row_id", *FEATURES, *LABELS)
+    n, obs, names = panel.count(), observations(panel), list(FEATURES)
+    line, tree = models.line_rows(obs, names, n - models.HOLD), models.vectors(models.carried(obs), names)
+    return models.walk_forward(spark, line, tree, panel.select("row_id", F.col(Y).alias("y")), n, (len(names), len(names))), wide
 
 
 @query("walk_forward_hybrid")
 def _(spark, d):
-    wide = _model_table(spark, d)
-    pred = validation.walk_forward(spark, wide, list(FEATURES), Y)
-    return pred.join(validation.held_positions(pred, wide, "hybrid").select("row_id", "position"), "row_id")
+    pred, wide = _forward(spark, d)
+    return pred.join(models.held_positions(pred, wide, "hybrid").select("row_id", "position"), "row_id")
 
 
 @query("walk_forward_scores")
 def _(spark, d):
-    wide = _model_table(spark, d)
-    return validation.walk_forward_scores(validation.walk_forward(spark, wide, list(FEATURES), Y), wide)
+    return models.walk_forward_scores(*_forward(spark, d))
 
 
 HELD_SQL = (
@@ -518,9 +541,13 @@ def _(spark, d):
     wide = _model_table(spark, d)
     n = wide.count()
     pred = wide.select("row_id", F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("naive")).where(F.col("row_id") >= n - 180)
-    return validation.held_positions(pred, wide, "naive").select("row_id", *((F.round(c, 8) + 0.0).alias(c) for c in ("forward_returns", "risk_free_rate")), r6("position"))
+    return models.held_positions(pred, wide, "naive").select("row_id", *((F.round(c, 8) + 0.0).alias(c) for c in ("forward_returns", "risk_free_rate")), r6("position"))
 
 
 @query("param_search")
 def _(spark, d):
-    return validation.param_search(spark, _model_table(spark, d), list(FEATURES), Y)
+    """On core rows: trees learn what the offline line leaves."""
+    rows, n, line = _core(spark, d)
+    w, c = models.core_line(line, n, len(FEATURES))
+    left = line.select("row_id", (F.col("y") - models.dot("x", w, c)).alias("y"))
+    return search.param_search(spark, rows.drop("y").join(left, "row_id"), len(FEATURES), n)

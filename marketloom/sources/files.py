@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.validation import Trees
+from ..operators.boosting import Tree, Trees
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -45,16 +44,17 @@ def record_dict(model: Trees | dict) -> dict:
     """A fitted model as plain numbers; lines and scalers are such dictionaries already."""
     if isinstance(model, dict):
         return {"kind": "numbers", "values": model}
-    return {"kind": "trees", "parameters": asdict(model), "cuts": [c.tolist() for c in model.cuts], "base": model.base, "used": model.used.tolist(), "made": model.made}
+    made = [{k: getattr(t, k).tolist() for k in Tree._fields} for t in model.made]
+    return {"kind": "trees", "parameters": model.settings(), "cuts": [c.tolist() for c in model.cuts], "base": model.base, "used": model.used.tolist(), "made": made}
 
 
 def read_record_dict(record: dict) -> Trees | dict:
+    """The model that record_dict gave as plain numbers."""
     if record["kind"] == "numbers":
         return record["values"]
-    model = Trees(**record["parameters"])
-    model.cuts, model.base, model.used = [np.array(c, dtype=float) for c in record["cuts"]], record["base"], np.array(record["used"])
-    model.made = [[tuple(node) if isinstance(node, list | tuple) else node for node in tree] for tree in record["made"]]
-    return model
+    kinds = dict(zip(Tree._fields, (np.int32, np.int32, bool, np.int32, np.int32, float)))
+    made = [Tree(**{k: np.array(t[k], dtype=kinds[k]) for k in Tree._fields}) for t in record["made"]]
+    return Trees(**record["parameters"], cuts=[np.array(c, dtype=float) for c in record["cuts"]], base=record["base"], used=np.array(record["used"]), made=made)
 
 
 def save_fitted(spark: SparkSession, model: Trees | dict, path: str) -> None:

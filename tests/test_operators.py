@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import finance
 from marketloom.operators import build, features, screening, selection, timeseries as ts, validation
+from marketloom.operators.boosting import Trees
 from marketloom.sources import files
 
 
@@ -240,81 +241,6 @@ def test_component_is_causal_and_matches_svd(spark):
     assert abs(got[40]) == pytest.approx(abs((clipped - t.mean(0)) @ v))
 
 
-def test_trees_against_plain_search():
-    """The first split against all cuts by hand; missing values go low; shares and penalties are honoured."""
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 3))
-    y = (x[:, 1] > 0.3) * 2.0 + 0.01 * rng.normal(size=200)
-    t = validation.Trees(n_estimators=1, learning_rate=1.0, num_leaves=2, min_child_samples=10).fit(x, y)
-    assert t.used.tolist() == [0, 1, 0]
-    gains = [(k * (200 - k) / 200 * (y[m].mean() - y[~m].mean()) ** 2, c) for c in t.cuts[1] for m in [x[:, 1] <= c] for k in [m.sum()] if 10 <= k <= 190]
-    node = t.made[0][0]
-    assert t.cuts[1][node[1] - 1] == max(gains)[1]
-    m = x[:, 1] <= max(gains)[1]
-    np.testing.assert_allclose(t.predict(x), np.where(m, y[m].mean(), y[~m].mean()))
-    x[::3, 1] = np.nan
-    full = validation.Trees(n_estimators=60, learning_rate=0.2, num_leaves=8, min_child_samples=5, subsample=0.7, colsample_bytree=0.7, lambda_l2=1.0).fit(x, y)
-    assert ((full.predict(x) - y) ** 2).mean() < 0.5 * y.var()
-    assert validation.Trees(n_estimators=5, lambda_l1=1e9).fit(x, y).predict(x) == pytest.approx(np.full(200, y.mean()))
-    again = files.read_record_dict(files.record_dict(full))
-    np.testing.assert_array_equal(again.predict(x), full.predict(x))
-
-
-def test_lines_agree():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 4))
-    y = x @ np.array([1.0, -2.0, 0.0, 0.5]) + 3 + 0.01 * rng.normal(size=400)
-    for w, c in (validation.ridge(x, y), validation.descent(x, y)):
-        np.testing.assert_allclose([*w, c], [1, -2, 0, 0.5, 3], atol=0.05)
-
-
-def model_table(spark, n=120):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(n, 2))
-    y = 0.5 * x[:, 0] + np.where(x[:, 1] > 0, 1.0, -1.0) + 0.1 * rng.normal(size=n)
-    pdf = pd.DataFrame({"row_id": range(n), "a": x[:, 0], "b": x[:, 1], "y": y})
-    pdf.loc[n - 1, "y"] = np.nan
-    pdf.loc[3:5, "a"] = np.nan
-    return pdf, spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "row_id long, a double, b double, y double")
-
-
-def test_walk_forward_learns_from_the_past_alone(spark):
-    pdf, df = model_table(spark)
-    run = lambda t: validation.walk_forward(spark, t, ["a", "b"], "y", validation.Trees(n_estimators=10, min_child_samples=5), hold=30, refit=7, window=60).orderBy("row_id").toPandas()
-    got = run(df)
-    assert got.row_id.tolist() == list(range(90, 120))
-    x, y = validation.scaled(validation.filled_matrix(pdf, ["a", "b"]), slice(0, 90)), pdf.y.to_numpy()
-    for i in (90, 96, 97, 119):
-        w, c = validation.ridge(x[:i], y[:i])
-        assert got.linear[i - 90] == pytest.approx(x[i] @ w + c)
-    w, c = validation.ridge(x[:90], y[:90])
-    np.testing.assert_allclose(got.offline, x[90:] @ w + c)
-    assert ((got.hybrid - y[90:])[:-1] ** 2).mean() < ((got.linear - y[90:])[:-1] ** 2).mean()
-    later = run(df.withColumn("y", F.when(F.col("row_id") >= 104, 99.0).otherwise(F.col("y"))))
-    pd.testing.assert_frame_equal(got[got.row_id <= 104], later[later.row_id <= 104])
-
-
-def test_param_search_scores_the_last_folds(spark):
-    pdf, df = model_table(spark)
-    ranges = {"n_estimators": (3, 9, False), "learning_rate": (0.05, 0.3, True), "min_child_samples": (5, 10, False)}
-    search = lambda every: validation.param_search(spark, df, ["a", "b"], "y", trials=3, train=40, val=5, step=5, recent=4, every_fold=every, ranges=ranges).orderBy("trial").collect()
-    got, all_folds = search(False), search(True)
-    assert {r.folds for r in got} == {4} and {r.folds for r in all_folds} == {15} and [r.ratio for r in got] == [r.ratio for r in all_folds]
-    known = pdf[pdf.y.notna()]
-    x, y = validation.filled_matrix(known, ["a", "b"]), known.y.to_numpy()
-    whole = validation.scaled(x, slice(None))
-    w, c = validation.ridge(whole, y)
-    rest = y - whole @ w - c
-    for r, params in zip(got, validation.draw(3, 42, ranges)):
-        ratios = []
-        for at in range(40, len(y) - 4, 5):
-            part = validation.scaled(x[at - 40 : at + 5], slice(0, 40))
-            err = rest[at : at + 5] - validation.Trees(**params).fit(part[:40], rest[at - 40 : at]).predict(part[40:])
-            ratios.append((err**2).mean() / (rest[at : at + 5] ** 2).mean())
-        assert r.ratio == pytest.approx(np.mean(ratios[-4:]))
-    assert [r.best for r in got].count(True) == 1 and min(got, key=lambda r: r.ratio).best
-
-
 def test_folds_with_embargo_and_a_limit(spark):
     got = validation.rolling_folds(spark, 900, embargo=5, most=2).orderBy("fold").collect()
     assert [(r.tr_start, r.tr_end, r.va_start, r.va_end) for r in got] == [(0, 747, 752, 773), (16, 768, 773, 794)]
@@ -331,7 +257,7 @@ def test_sinks_and_sources(spark, tmp_path):
     assert [r[0] for r in spark.read.option("header", True).csv(f"{tmp_path}/f").collect()] == ["c", "a", "b"]
     files.write_results(spark.createDataFrame([(1.5, {"k": 2.0})], "score double, parts map<string, double>"), f"{tmp_path}/r")
     assert spark.read.json(f"{tmp_path}/r").first().parts.k == 2.0
-    model = validation.Trees(n_estimators=2, min_child_samples=1).fit(np.arange(8.0).reshape(4, 2), np.arange(4.0))
+    model = Trees(n_estimators=2, min_child_samples=1).fit(np.arange(8.0).reshape(4, 2), np.arange(4.0))
     files.save_fitted(spark, model, f"{tmp_path}/m")
     np.testing.assert_array_equal(files.load_fitted(spark, f"{tmp_path}/m").predict(np.ones((1, 2))), model.predict(np.ones((1, 2))))
     files.save_fitted(spark, {"weights": [1.0, 2.0], "intercept": 0.5}, f"{tmp_path}/l")
