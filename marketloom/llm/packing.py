@@ -8,6 +8,7 @@ within their length. Ranks come from counts by task and length, so that no task
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from array import array
@@ -43,6 +44,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.known: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -58,11 +60,9 @@ class Words:
         self.marks = {m: array("I", self.tokenizer.encode(m.decode(), add_special_tokens=False).ids).tobytes() for m in (b".", b",")}
 
     def split(self, text: str) -> list[bytes]:
-        if any(s in text for s in self.special):
-            out = [text]
-            for s in self.special:  # a special string is a stretch of its own, and parts what is around it
-                out = [y for x in out for y in (x.replace(s, f"\0{s}\0").split("\0") if x not in self.special and s in x else [x])]
-            return [y for x in out for y in ([x.encode()] if x in self.special else x.encode().lower().split())]
+        if any(s in text for s in self.special):  # a special string is a stretch of its own, and parts what is around it
+            parts = self.specials.split(text)
+            return [y for i, x in enumerate(parts) for y in ([x.encode()] if i % 2 else x.encode().lower().split())]
         return text.encode().lower().split()
 
     def letters(self, word: str) -> bytes | None:
