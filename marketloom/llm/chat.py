@@ -89,40 +89,61 @@ def layouts_of(df: DataFrame, id_col: str) -> list[Layout]:
     return within
 
 
+def filled(df: DataFrame, path: str) -> Column:
+    """Whether a row has the field that a path begins with."""
+    names = {c.lower(): c for c in df.columns}
+    return F.col(f"`{names[path.replace('[]', '.').split('.')[0]]}`").isNotNull()
+
+
+def filled_paths(df: DataFrame, layouts: list[Layout]) -> Column:
+    """Those of the layouts' paths that a row fills, in order."""
+    return F.array_compact(F.array(*(F.when(filled(df, p), F.lit(p)) for p in sorted({p for x in layouts for p in x.paths}))))
+
+
 def filled_print(df: DataFrame, layouts: list[Layout]) -> Column:
     """A row's fingerprint: the hash of those of the layouts' paths whose field is not null, in order."""
-    field = {p: p.replace("[]", ".").split(".")[0] for x in layouts for p in x.paths}
-    names = {c.lower(): c for c in df.columns}
-    filled = F.array(*(F.when(F.col(f"`{names[field[p]]}`").isNotNull(), F.lit(p)) for p in sorted(field)))
-    return F.substring(F.sha2(F.array_join(F.array_compact(filled), "\n"), 256), 1, 16)
+    return F.substring(F.sha2(F.array_join(filled_paths(df, layouts), "\n"), 256), 1, 16)
+
+
+def gathered(df: DataFrame, id_col: str) -> DataFrame:
+    """(conv_id, turns, layout) of turn rows."""
+    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("alone")
+    own = df.select(F.col(id_col).alias("conv_id"), alone, row.alias("row"))
+    rows = own.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return rows.select("conv_id", F.expr("transform(rows, x -> named_struct('role', x.role, 'text', x.text))").alias("turns"), F.lit("turn rows").alias("layout"))
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(conv_id, turns array of (role, text)) a conversation.
+    """(conv_id, turns array of (role, text), layout) a conversation; layout names what it was read by.
 
     Turn rows are ordered by turn, ties by role and text; repeated rows stay repeated turns. Null roles
     and texts become empty, a null array of turns an empty one. A turn row without an id is a conversation
-    of its own. Where a frame holds the fields of several layouts, each row is read by the one whose paths
-    it fills; a row that fills those of none, or of more than one, has no turns. Layouts of turn rows do
-    not mix with others. Extra columns that belong to no layout are not read.
+    of its own. One conversation's turn rows meet in one task. Where a frame holds the fields of several
+    layouts, each row is read by the one whose paths it fills, or else by the first that has all paths it fills, and a row that
+    fills none but has a turn, a role or a text is a turn row where the frame has those; a conversation then
+    has a row for its turn rows and one for each other row. A row that fills nothing has no turns and no layout;
+    one whose fields no single layout has is of layout `unclear`, without turns. Extra columns that belong to no layout are not read.
     """
     layouts = layouts_of(df, id_col)
     for p in sorted({p for x in layouts for p in x.optional} - field_paths(df.schema)):
         df = df.withColumn(p, F.lit(None).cast("string"))
     empty = F.expr("cast(array() AS array<struct<role: string, text: string>>)")
-    if layouts[0].rows_are_turns and len(layouts) == 1:
-        row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("alone")
-        own = df.select(F.col(id_col).alias("conv_id"), alone, row.alias("row"))
-        return own.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("row")).alias("rows")).select("conv_id", F.expr("transform(rows, x -> named_struct('role', x.role, 'text', x.text))").alias("turns"))
-    layouts = [x for x in layouts if not x.rows_are_turns]
+    others = [x for x in layouts if not x.rows_are_turns]
+    if not others:
+        return gathered(df, id_col)
     if len(layouts) == 1:
-        turns = F.expr(layouts[0].turns)
-    else:
-        own, turns = filled_print(df, layouts), F.lit(None)
-        for x in layouts:
-            turns = F.when(own.isin(*sorted(x.prints())), F.expr(x.turns)).otherwise(turns)
-    return df.select(F.col(id_col).alias("conv_id"), F.coalesce(turns, empty).alias("turns"))
+        return df.select(F.col(id_col).alias("conv_id"), F.coalesce(F.expr(others[0].turns), empty).alias("turns"), F.lit(others[0].name).alias("layout"))
+    either = lambda paths: F.coalesce(F.greatest(*(filled(df, p).cast("int") for p in sorted(paths))) == 1, F.lit(False)) if len(paths) > 1 else filled(df, *paths)
+    any_other = either({p for x in others for p in x.paths})
+    of_turns = either(LAYOUTS[0].paths) if len(others) < len(layouts) else F.lit(False)
+    own, paths, turns, name = filled_print(df, others), filled_paths(df, others), F.lit(None), F.lit("unclear")
+    within = [(x, F.size(F.array_except(paths, F.array(*map(F.lit, sorted(x.paths))))) == 0) for x in reversed(others)]
+    exact = [(x, own.isin(*sorted(x.prints()))) for x in others]
+    for x, fits in [(x, f & any_other & ~of_turns) for x, f in within + exact]:  # the last that fits counts
+        turns, name = F.when(fits, F.expr(x.turns)).otherwise(turns), F.when(fits, x.name).otherwise(name)
+    rest = df.where(any_other | ~of_turns).select(F.col(id_col).alias("conv_id"), F.coalesce(turns, empty).alias("turns"), F.when(any_other | of_turns, name).alias("layout"))
+    return rest if len(others) == len(layouts) else rest.unionByName(gathered(df.where(of_turns & ~any_other), id_col))
 
 
 #: The template's control strings and what stands for each inside a text or a role.
