@@ -76,7 +76,7 @@ NO_WIDTH = frozenset("­​‌‍⁠﻿")
 #: Digits as English spells them.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
-DIGIT_RUN = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD}|[0-9]+)(?:[\x20,-]{{1,2}}(?:{DIGIT_WORD}|[0-9]+))*(?![^\W_])", re.I)
+DIGIT_RUN = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD}|[0-9]+)(?:[\x20,-]{{1,3}}(?:{DIGIT_WORD}|[0-9]+))*(?![^\W_])", re.I)
 #: Runs with dots and brackets between them, as in addresses and phone numbers.
 STRETCH = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD}|[0-9]+)(?:[\x20,().-]+(?:{DIGIT_WORD}|[0-9]+))+(?![^\W_])", re.I)
 DIGIT_HINT = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD}[\x20,().-]+(?:{DIGIT_WORD}|[0-9])|[0-9]+[\x20,().-]+{DIGIT_WORD})", re.I)
@@ -86,10 +86,19 @@ PLUS = re.compile(r"(?<![^\W_])plus[\x20-]$", re.I)
 AT = re.compile(r"[\x20]?[\(\[\{<][\x20]?(?:at|@)[\x20]?[\)\]\}>][\x20]?|[\x20](?:at|@)[\x20]|@", re.I)
 DOT = r"(?:[\x20]?[\(\[\{<][\x20]?(?:dot|\.)[\x20]?[\)\]\}>][\x20]?|[\x20](?:dot)[\x20]|\.)"
 HIDDEN_DOT = re.compile(r"[\x20]?[\(\[\{<][\x20]?(?:dot|\.)[\x20]?[\)\]\}>][\x20]?|[\x20](?:dot)[\x20]", re.I)
+#: Four numbers, of figures or spelled digits, with dots between them of which some are disguised.
+PART = rf"(?:{DIGIT_WORD}|[0-9]{{1,3}})(?:[\x20-]?(?:{DIGIT_WORD}|[0-9])){{0,3}}"
+DOTTED = re.compile(rf"(?<![^\W_.]){PART}(?:{DOT}{PART}){{3}}(?![^\W_])", re.I)
+#: A dot that stands alone counts in an address that has an at sign.
+APART = re.compile(r"[\x20]\.[\x20]")
+#: Top-level names that a label must be where signs are bare words or stand alone, besides names of two letters; and words of two letters that prose has there.
+TOP = frozenset("com net org edu gov mil int info biz name io ai dev app".split())
+SHORT_WORDS = frozenset("am an as at be by do go he if in is it me my no of oh on or so to up us we".split())
 LABEL = r"[A-Za-z0-9-]+"
-LABELS = re.compile(rf"{LABEL}(?:{DOT}{LABEL})+", re.I)
+ANY_DOT = rf"(?:{DOT}|[\x20]\.[\x20])"
+LABELS = re.compile(rf"{LABEL}(?:{ANY_DOT}{LABEL})+", re.I)
 ADDRESS_HINT = re.compile(r"[\(\[\{<][\x20]?(?:at|@|dot|\.)[\x20]?[\)\]\}>]|[\x20](?:dot|@)[\x20]", re.I)
-DOTS = re.compile(DOT, re.I)
+DOTS = re.compile(ANY_DOT, re.I)
 STRANGE = re.compile("[" + re.escape("".join(LOOK_ALIKES) + "".join(sorted(NO_WIDTH))) + "²³¹⁰-ₜ①-⓿！-～\U0001d400-\U0001d7ff]|(?![0-9])\\d")
 
 
@@ -210,19 +219,41 @@ def name_before(text: str, end: int, least: int, dots: dict[int, int]) -> int:
         start = at
 
 
+def fold_dotted_numbers(tape: Tape) -> None:
+    """Disguised dots between four numbers; detect() says whether that is an address."""
+    edits = [(m.start() + d.start(), m.start() + d.end(), ".") for m in DOTTED.finditer(tape.text) for d in HIDDEN_DOT.finditer(m[0])]
+    if edits:
+        tape.replace(edits)
+
+
+def named_end(labels: str, strict: bool) -> list[re.Match] | None:
+    """The dots of the longest start of labels that ends in what may be a top-level name: two letters or more, and, if strict, a known one."""
+    dots = list(DOTS.finditer(labels))
+    for k in range(len(dots), 0, -1):
+        last = labels[dots[k - 1].end() : dots[k].start() if k < len(dots) else len(labels)].lower()
+        bare = strict or any(APART.fullmatch(d[0]) or d[0].strip().isalpha() for d in dots[:k])
+        if len(last) >= 2 and last.isalpha() and (not bare or last in TOP or len(last) == 2 and last not in SHORT_WORDS):
+            return dots[:k]
+    return None
+
+
 def fold_addresses(tape: Tape) -> None:
-    """Disguised at and dot signs, found from the at signs. A bare word `at` counts only with a disguised dot after it, as prose has `at example.com`."""
+    """Disguised at and dot signs, found from the at signs.
+
+    A bare word `at` counts only with a disguised dot after it, as prose has `at example.com`. Prices and times
+    after an at sign end in no name; where signs are words or stand alone, as prose has them too, the name must be a known one.
+    """
     text, edits, done = tape.text, [], 0
     dots = {m.end(): m.start() for m in HIDDEN_DOT.finditer(text)}
     for m in AT.finditer(text):
         if m.start() < done or (start := name_before(text, m.start(), done, dots)) == m.start() or start and text[start - 1] in LOCAL or not (domain := LABELS.match(text, m.end())):
             continue
-        after = list(DOTS.finditer(domain[0]))
-        if m[0].strip().isalpha() and all(d[0] == "." for d in after):
+        after = named_end(domain[0], strict=m[0].strip() in ("at", "AT", "At", "aT") or m[0] == " @ ")
+        if after is None or m[0].strip().isalpha() and all(d[0] == "." for d in after):
             continue
         found = [(start + d.start(), start + d.end(), ".") for d in HIDDEN_DOT.finditer(text[start : m.start()])] + [(*m.span(), "@")] + [(m.end() + d.start(), m.end() + d.end(), ".") for d in after]
         edits += [e for e in found if text[e[0] : e[1]] != e[2]]
-        done = domain.end()
+        done = m.end() + after[-1].end()
     if edits:
         tape.replace(edits)
 
@@ -238,7 +269,9 @@ def disguised(text: str) -> list[Span]:
     tape = Tape(text)
     if strange:
         fold_look_alikes(tape)
-    if spelled or strange:
+    if address or strange:
+        fold_dotted_numbers(tape)
+    if spelled or strange or address:
         fold_spelled_digits(tape)
     if address or strange:
         fold_addresses(tape)
