@@ -3,8 +3,9 @@
 Equal vectors are one entry with a count. Vectors of one length begin as one cell. A cell that is too
 large is parted by centres fitted on a bounded sample of it; an entry lives in the cell of its nearest
 centre and visits cells whose border is near: a pair at the threshold differs by a chord, of which a
-random direction such as the one across a border sees its share by the root of the dimension. Within
-`reach` such shares of a border an entry visits the other cell. Large cells so made are parted again, so
+random direction such as the one across a border sees its share by the root of the dimensions that the
+cell's vectors really spread over. Within `reach` such shares of a border an entry visits the other cell; where
+dimensions are few that is the exact window, and a large `reach` makes it so everywhere: then no link is lost. Large cells so made are parted again, so
 that cells grow with the data and not in size. Entries at home in a cell are compared with each other and
 with its visitors, a pair of blocks a task; visitors meet where one of them is at home. README has the
 recall measured against all pairs.
@@ -55,10 +56,21 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def places(x: np.ndarray, at_home: np.ndarray, centres: np.ndarray, reach: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def dimensions_of(x: np.ndarray, centres: np.ndarray) -> float:
+    """The dimensions that vectors spread over around their centres, from 1: the participation ratio of the covariance's eigenvalues."""
+    total, power = 0.0, np.zeros((x.shape[1], x.shape[1]))
+    for i in range(0, len(x), 4096):
+        part = x[i : i + 4096]
+        off = part - centres[(part @ centres.T).argmax(1)]
+        total += float((off * off).sum())
+        power += off.T @ off
+    return max(1.0, total * total / float((power * power).sum())) if total > 0 else 1.0
+
+
+def places(x: np.ndarray, at_home: np.ndarray, centres: np.ndarray, dimensions: float, reach: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(entries, cells, at home there). Of two homes near their border, the one of the higher number visits; who visits already goes to every cell near."""
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
-    margin = min(math.sin(math.acos(threshold)), reach * math.sqrt(2 - 2 * threshold) / math.sqrt(x.shape[1]))
+    margin = min(math.sin(math.acos(threshold)), reach * math.sqrt(2 - 2 * threshold) / math.sqrt(dimensions))
     at = x @ centres.T
     home = at.argmax(1)
     near = at[np.arange(len(x)), home][:, None] - at <= margin * apart[home]
@@ -124,13 +136,14 @@ class Cells:
             group = group.sort_values("id")
             x = np.frombuffer(b"".join(group["unit"]), dtype=np.float64).reshape(len(group), -1)
             k = min(len(x), CENTRES, max(2, int(group["n"].iloc[0]) // CELL))
-            return pd.DataFrame({"cell": group["cell"].iloc[:1], "centres": [fit_centres(x, k).tobytes()]})
+            centres = fit_centres(x, k)
+            return pd.DataFrame({"cell": group["cell"].iloc[:1], "centres": [centres.tobytes()], "dimensions": [dimensions_of(x, centres)]})
 
         sample = large.where("home").where(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < FIT)
-        fitted = sample.select("cell", "id", "n", "unit").groupBy("cell").applyInPandas(fit, "cell long, centres binary")
+        fitted = sample.select("cell", "id", "n", "unit").groupBy("cell").applyInPandas(fit, "cell long, centres binary, dimensions double")
         fitted = self.save(fitted, "centres")
         salts = F.ceil(F.col("n") / DEALT).cast("long")
-        spread = fitted.join(large.groupBy("cell").agg(F.max("n").alias("n")), "cell").select("cell", "centres", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+        spread = fitted.join(large.groupBy("cell").agg(F.max("n").alias("n")), "cell").select("cell", "centres", "dimensions", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
 
         def place(members: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
             parts = [pd.DataFrame(columns=["cell", "part", "was", "id", "copies", "home", "unit"])]
@@ -138,7 +151,7 @@ class Cells:
                 some = members.iloc[at : at + DEALT].rename(columns={"n": "was"})
                 x = np.frombuffer(b"".join(some["unit"]), dtype=np.float64).reshape(len(some), -1)
                 c = np.frombuffer(centres["centres"].iloc[0], dtype=np.float64).reshape(-1, x.shape[1])
-                parts += [some.iloc[rows].assign(part=to, home=home)[list(parts[0])] for rows, to, home in places(x, some["home"].to_numpy(), c, reach, threshold)]
+                parts += [some.iloc[rows].assign(part=to, home=home)[list(parts[0])] for rows, to, home in places(x, some["home"].to_numpy(), c, centres["dimensions"].iloc[0], reach, threshold)]
             return pd.concat(parts[1:] or parts)
 
         salted = large.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(~level)), salts))
