@@ -89,7 +89,7 @@ LINES = {"ridge": ridge, "descent": descent}
 
 def matrix(x) -> np.ndarray:
     """Lists of doubles as rows, NULL as NaN."""
-    return np.array([[np.nan if v is None else v for v in r] for r in x], dtype=float).reshape(len(x), -1)
+    return np.array([[np.nan if v is None else v for v in r] for r in x], dtype=float).reshape(len(x), -1 if len(x) else 0)
 
 
 def dealt(rows: DataFrame, tasks: DataFrame) -> DataFrame:

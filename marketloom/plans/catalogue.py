@@ -5,14 +5,17 @@ Doubles are rounded to six places on both sides; adding 0.0 makes a negative zer
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from . import tactical
 from ..functions import finance
 from ..operators import build, features, models, screening, search, selection, timeseries as ts, validation
 from ..sources.panel import FEATURES, LABELS, daily_panel, observations
-from ..sources.tables import Tables
+from ..sources.tables import Tables, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,11 +125,11 @@ def _(spark, d):
     return validation.holdout(panel, panel.count()).select("row_id", "part", F.col("place").cast("long").alias("place"))
 
 
-def _base_sql() -> str:
+def _base_sql(kinds: tuple[str, ...] = ("mean", "z", "pos")) -> str:
     parts = []
     for name in (*ts.WINDOWS, "D"):
         for w in ts.WINDOWS.get(name, ts.DEFAULT_WINDOWS):
-            parts.append(roll_sql(f"(SELECT * FROM obs WHERE regexp_extract(feature, '^(MOM|E|S|V|M|P|I|D)', 1) = '{name}')", w, ("mean", "z", "pos")))
+            parts.append(roll_sql(f"(SELECT * FROM obs WHERE regexp_extract(feature, '^(MOM|E|S|V|M|P|I|D)', 1) = '{name}')", w, kinds))
     return obs_sql() + "o AS (" + " UNION ALL ".join([*parts, diff_sql("obs")]) + ") " + ROWS + "o"
 
 
@@ -212,6 +215,29 @@ def _(spark, d):
     return rows(features.gated(*_gate_parts(spark, d), "V", missing_term=True, mask=True))
 
 
+#: Scores that SQL can tell stand for the components, so that all three gates open: E1's and V1's own z-scores.
+def _gates_sql() -> str:
+    z = " OR ".join(f"(starts_with(feature, '{p}') AND ends_with(feature, '_z{w}'))" for p, ws in features.GATED.items() for w in ws)
+    lead = _base_sql(("z",)).removesuffix(ROWS + "o") + ", v126 AS (" + roll_sql("(SELECT * FROM obs WHERE feature = 'V1')", 126, ("z",)) + f"), zz AS MATERIALIZED (SELECT * FROM o WHERE {z}), "
+    parts, gates = [], []
+    for name, score, alpha, high, groups in features.GATES:
+        source = "(SELECT * FROM o WHERE feature = 'E1_z252')" if score[0] == "E" else "v126"
+        own = " OR ".join(f"(starts_with(feature, '{p}') AND ends_with(feature, '_z{w}'))" for p in groups for w in features.GATED[p])
+        gates.append(f"g{name} AS MATERIALIZED (SELECT row_id, 1 + {alpha} * CASE WHEN coalesce(value, 0) < 0 THEN 0 WHEN coalesce(value, 0) > {high} THEN {high} ELSE coalesce(value, 0) END AS g FROM {source})")
+        parts.append(f"SELECT row_id, feature || '_g{name}' AS feature, coalesce(value, 0) * coalesce(g, 1) AS value FROM zz LEFT JOIN g{name} USING (row_id) WHERE {own}")
+    return lead + ", ".join(gates) + ", out AS (" + " UNION ALL ".join(parts) + ") " + ROWS + "out"
+
+
+@query("gate_block", _gates_sql())
+def _(spark, d):
+    obs = observations(daily_panel(spark, d))
+    block = ts.base_block(obs).where(F.col("feature").rlike("_z[0-9]+$"))
+    stands = block.where("feature = 'E1_z252'").withColumn("feature", F.lit("E_pc1_z252"))
+    stands = stands.union(ts.rolling_long(obs.where("feature = 'V1'"), (126,), ("z",), with_diff=False).withColumn("feature", F.lit("V_pc1_z126")))
+    every = Tables(spark).save(block.union(stands), "scores")
+    return rows(features.gate_block(every).where(~F.col("feature").startswith("E_pc1") & ~F.col("feature").startswith("V_pc1")))
+
+
 F63 = FRAME.format(62, "current row")
 
 
@@ -324,25 +350,35 @@ def _(spark, d):
     return rows(b.select("row_id", "feature", ts.winsorized(F.col("value"), F.col("b")).alias("value")))
 
 
-NAMES = tuple(f"{c}{s}" for c in (*FEATURES, "P_x") for s in ("", "_z21", "_z63", "_z126", "_mean21", "_pc1", "_pc1_z126")) + (*LABELS, "lagged_excess", "XINT_S1_S2_diff", "excess_returns", "date_id", "is_scored")
 ONE_OF = "('date_id', 'row_id', 'is_scored', 'forward_returns', 'risk_free_rate', 'market_forward_excess_returns'"
 
 
 def _picker_sql() -> str:
     lags, pc = "starts_with(feature, 'lagged_')", "(ends_with(feature, '_pc1') OR contains(feature, '_pc1_'))"
-    z = " OR ".join(f"(starts_with(feature, '{p}') AND ends_with(feature, '_z{w}'))" for p, ws in features.GATED.items() for w in ws)
+    z = lambda plan: " OR ".join(f"(starts_with(feature, '{p}') AND ends_with(feature, '_z{w}'))" for p, ws in plan.items() for w in ws)
+    labels = " UNION ".join(f"SELECT '{x}'" for x in (*LABELS, "excess_returns", "row_id"))
+    groups = ", ".join(f"coalesce({z({g: (21,)})}, false) AS {g.lower()}_group" for g in features.COMPONENTS)
     return (
-        f"WITH n AS (SELECT unnest([{', '.join(repr(x) for x in NAMES)}]) AS feature) SELECT feature, feature NOT IN {ONE_OF}, 'excess_returns') AND NOT {lags} AND NOT starts_with(feature, 'XINT_') AND NOT {pc} AS base, "
-        f"feature NOT IN {ONE_OF}, 'excess_returns') AS main, feature IN {ONE_OF}) OR {lags} AS excluded, substr(feature, 1, 1) IN ('E', 'S') AS late_block, {z} AS gated, starts_with(feature, 'M') AND ends_with(feature, '_z21') AS m_group, "
+        _base_sql(("mean", "z")).removesuffix(ROWS + "o") + f", n AS (SELECT DISTINCT feature FROM o UNION SELECT DISTINCT feature FROM obs UNION SELECT 'lagged_' || feature FROM obs WHERE feature = 'M1' UNION SELECT 'XINT_' || feature FROM obs WHERE feature = 'M1' UNION {labels}) "
+        f"SELECT feature, feature NOT IN {ONE_OF}, 'excess_returns') AND NOT {lags} AND NOT starts_with(feature, 'XINT_') AND NOT {pc} AS base, "
+        f"feature NOT IN {ONE_OF}, 'excess_returns') AS main, feature IN {ONE_OF}) OR {lags} AS excluded, substr(feature, 1, 1) IN ('E', 'S') AS late_block, {z(features.GATED)} AS gated, {groups}, "
         "split_part(feature, '_', 1) IN ('P', 'I', 'S') AND contains(feature, '_mean') AS literal_mean FROM n"
     )
 
 
 @query("column_pickers", _picker_sql())
 def _(spark, d):
-    c = F.col("feature")
-    flags = {"base": selection.BASE, "main": selection.MAIN, "excluded": selection.EXCLUDED, "late_block": selection.LATE_BLOCK, "gated": selection.z_scores(features.GATED), "m_group": selection.group_members("M"), "literal_mean": selection.literal_means()}
-    return spark.createDataFrame([(n,) for n in NAMES], "feature string").select("feature", *(c.rlike(p).alias(k) for k, p in flags.items()))
+    """What each picker says of the columns of the panel, of its rolling block, and of one lag and one interaction."""
+    c, panel = F.col("feature"), daily_panel(spark, d)
+    obs = observations(panel)
+    flags = {"base": selection.BASE, "main": selection.MAIN, "excluded": selection.EXCLUDED, "late_block": selection.LATE_BLOCK, "gated": selection.z_scores(features.GATED), "literal_mean": selection.literal_means()}
+    flags |= {f"{g.lower()}_group": selection.group_members(g) for g in features.COMPONENTS}
+    block = ts.base_block(obs).where(~c.rlike("_pos[0-9]+$")).select("feature").distinct()
+    own = obs.select("feature").distinct()
+    one = own.where(c == "M1")
+    other = spark.createDataFrame([(x,) for x in (*LABELS, selection.TARGET, "row_id")], "feature string")
+    names = block.union(own).union(one.select(F.concat(F.lit("lagged_"), c))).union(one.select(F.concat(F.lit("XINT_"), c))).union(other)
+    return names.select("feature", *(c.rlike(p).alias(k) for k, p in flags.items()))
 
 
 @query("rolling_folds", PANEL_SQL + "x AS (SELECT count(*) AS n FROM panel), f AS (SELECT unnest(range(0, CAST((n - 752 - 21) // 21 + 1 AS BIGINT))) AS fold FROM x) SELECT fold, fold * 21 AS tr_start, 752 + fold * 21 AS tr_end, 752 + fold * 21 AS va_start, 773 + fold * 21 AS va_end FROM f")
@@ -551,3 +587,15 @@ def _(spark, d):
     w, c = models.core_line(line, n, len(FEATURES))
     left = line.select("row_id", (F.col("y") - models.dot("x", w, c)).alias("y"))
     return search.param_search(spark, rows.drop("y").join(left, "row_id"), len(FEATURES), n)
+
+
+#: Smaller than a run's own settings, as the README has it: trees that importances are counted in (and the bound with them), trials, folds.
+SMALLER = tactical.Settings(counted=replace(models.COUNTED, n_estimators=30), bound=2.6, plan=search.Plan(trials=6, batch=3, random=3), step=105)
+
+
+@query("tactical_run")
+def _(spark, d):
+    """The whole run, from the panel to the scores of its hold-out."""
+    root = f"{shared_dir(spark)}/tactical-{uuid.uuid4().hex}"
+    tactical.run(spark, daily_panel(spark, d), root, SMALLER)
+    return spark.read.parquet(f"{root}/scores")
