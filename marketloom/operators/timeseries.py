@@ -1,19 +1,26 @@
 """Lags, differences and rolling frames over the long layout (…, row_id, feature, value).
 
-Every series is a window partition; all frames of a call share one exchange and one sort. Frames are
-strict: NULL unless all their rows exist and hold a value.
+Column functions work over window partitions, a series each. Whole blocks of features are made in one pass, for
+which a long series is cut into stretches. Frames are strict: NULL unless all their rows exist and hold a value.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import sliding
 from ..functions.finance import clip
 
-EPS_Z, EPS_POS = 1e-9, 1e-12
+EPS_Z, EPS_POS = sliding.EPS_Z, sliding.EPS_POS
 #: Windows by the exclusive prefix of a feature's name, and those of other names and of lagged labels.
 WINDOWS = {"V": (5, 21, 63), "S": (5, 10, 21), "M": (5, 10, 21, 63), "MOM": (5, 21), "E": (63, 126, 252), "P": (63, 126, 252), "I": (21, 63)}
 DEFAULT_WINDOWS = (21, 63)
+#: The groups, MOM before M.
+PREFIX = "^(MOM|E|S|V|M|P|I|D)"
 LAG_WINDOWS, EXCESS_WINDOWS = (1, 2, 3, 5, 10, 21, 63), (1, 2, 3, 5, 10)
 
 
@@ -43,31 +50,43 @@ def rolling(x: Column, w: int, by: tuple[str, ...] = ("feature",)) -> dict[str,
 
 
 def rolling_long(obs: DataFrame, windows: tuple[int, ...], parts: tuple[str, ...], with_diff: bool = True, by: tuple[str, ...] = ("feature",)) -> DataFrame:
-    """(by.., row_id, feature, value) with a row for each {feature}_{part}{w} and {feature}_d1."""
-    x = F.col("value")
-    made = [(f"_{p}{w}", rolling(x, w, by)[p]) for w in windows for p in parts] + [("_d1", diff(x, by))] * with_diff
-    pairs = F.array(*(F.struct(F.lit(s).alias("s"), v.alias("v")) for s, v in made))
-    others = [c for c in by if c != "feature"]
-    wide = obs.select(*others, "row_id", "feature", pairs.alias("pairs"))
-    return wide.select(*others, "row_id", "feature", F.explode("pairs").alias("p")).select(*others, "row_id", F.concat("feature", "p.s").alias("feature"), F.col("p.v").alias("value"))
+    """(by.., row_id, feature, value) with a row for each {feature}_{part}{w} and {feature}_d1; row_id is dense within a series."""
+    return _rolled(obs, lambda feature: windows, parts, with_diff, max((1, *windows)), by)
+
+
+def _rolled(obs: DataFrame, windows_of: Callable[[str], tuple[int, ...]], parts: tuple[str, ...], with_diff: bool, widest: int, by: tuple[str, ...]) -> DataFrame:
+    def make(feature: str, x: np.ndarray) -> sliding.Made:
+        out = [("_d1", sliding.difference(x))] * with_diff
+        for w in windows_of(feature):
+            got = sliding.frames(x, w)
+            out += [(f"_{p}{w}", got[p]) for p in parts]
+        return out
+
+    return sliding.over_series(obs, by, widest, make)
+
+
+def winsorized_frames(obs: DataFrame, w: int | None, q: float = 0.98, by: tuple[str, ...] = ("feature",)) -> DataFrame:
+    """(by.., row_id, feature, value): values clipped to the quantiles of the w rows before each, or of all before it; what is missing becomes 0.
+
+    A window's values are kept in order from row to row. Where all earlier rows count, a series is one task.
+    """
+    return sliding.over_series(obs, by, w, lambda feature, x: [("", sliding.winsorized(x, w, q))])
 
 
 def prefix_of(feature: Column) -> Column:
     """MOM before M; DEFAULT for names of no group."""
-    got = F.regexp_extract(feature, "^(MOM|E|S|V|M|P|I|D)", 1)
+    got = F.regexp_extract(feature, PREFIX, 1)
     return F.when(got == "", "DEFAULT").otherwise(got)
 
 
 def base_block(obs: DataFrame, by: str | None = None) -> DataFrame:
     """Mean, z and pos over the windows of each feature's group, and its difference; of each entity where `by` names one."""
-    out = None
-    groups: dict[tuple[int, ...], list[str]] = {}
-    for name in (*WINDOWS, "D", "DEFAULT"):
-        groups.setdefault(WINDOWS.get(name, DEFAULT_WINDOWS), []).append(name)
-    for windows, names in groups.items():
-        part = rolling_long(obs.where(prefix_of(F.col("feature")).isin(names)), windows, ("mean", "z", "pos"), by=_keys(by))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def windows_of(feature: str | None) -> tuple[int, ...]:
+        group = re.match(PREFIX, feature or "")
+        return WINDOWS.get(group[0] if group else "", DEFAULT_WINDOWS)
+
+    return _rolled(obs, windows_of, ("mean", "z", "pos"), True, max(max(w) for w in (*WINDOWS.values(), DEFAULT_WINDOWS)), _keys(by))
 
 
 def _keys(by: str | None) -> tuple[str, ...]:

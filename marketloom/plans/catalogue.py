@@ -180,9 +180,7 @@ W126 = FRAME.format(126, "1 preceding")
 
 @query("winsorized", obs_sql() + f"b AS (SELECT row_id, feature, value, quantile_cont(value, 0.02) {W126} AS lo, quantile_cont(value, 0.98) {W126} AS hi FROM obs), o AS (SELECT row_id, feature, coalesce(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 0.0) AS value FROM b) " + ROWS + "o")
 def _(spark, d):
-    o = observations(daily_panel(spark, d))
-    b = o.withColumn("b", ts.winsor_bounds(F.col("value"), 126))
-    return rows(b.select("row_id", "feature", ts.winsorized(F.col("value"), F.col("b")).alias("value")))
+    return rows(ts.winsorized_frames(observations(daily_panel(spark, d)), 126))
 
 
 F126 = FRAME.format(125, "current row")
@@ -345,9 +343,7 @@ W_ALL = "over (partition by feature order by row_id rows between unbounded prece
 
 @query("winsorized_expanding", obs_sql() + f"b AS (SELECT row_id, feature, value, quantile_cont(value, 0.02) {W_ALL} AS lo, quantile_cont(value, 0.98) {W_ALL} AS hi FROM obs), o AS (SELECT row_id, feature, coalesce(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 0.0) AS value FROM b) " + ROWS + "o")
 def _(spark, d):
-    o = observations(daily_panel(spark, d))
-    b = o.withColumn("b", ts.winsor_bounds(F.col("value"), None))
-    return rows(b.select("row_id", "feature", ts.winsorized(F.col("value"), F.col("b")).alias("value")))
+    return rows(ts.winsorized_frames(observations(daily_panel(spark, d)), None))
 
 
 ONE_OF = "('date_id', 'row_id', 'is_scored', 'forward_returns', 'risk_free_rate', 'market_forward_excess_returns'"
