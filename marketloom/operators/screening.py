@@ -13,6 +13,8 @@ from ..sources.tables import Tables
 
 #: Loose prefixes; MOM1 starts with M as well as with MOM.
 PREFIXES = ("E", "S", "V", "M", "MOM", "P", "I", "D")
+#: Values that a task compares at once, features of a block at most.
+VALUES, BLOCK = 1 << 24, 64
 #: Bounds that importances are counted by.
 BOUNDS = (300, 250, 200, 100, 80, 50)
 
@@ -89,14 +91,82 @@ def _gram(x: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "lo long, hi long, a string, b string, dot double").groupBy("lo", "hi", "a", "b").agg(F.sum("dot").alias("dot"))
 
 
-def correlations(obs: DataFrame, method: str = "spearman") -> DataFrame:
-    """(a, b, rho) for a < b over the rows in which both have values, by ranks or (method pearson) by values; NULL where either is constant there.
+def correlations(obs: DataFrame, method: str = "spearman", values: int = VALUES) -> DataFrame:
+    """(a, b, rho) for a < b over the rows in which both have values, by ranks or (method pearson) by values; NULL where either is constant there, no row where they share none.
 
-    Features with values in the same rows form a pattern. The rows of two features are those that their
-    patterns share, so that a feature is ranked once for each pattern that its own meets, not for each feature.
+    Features are dealt in blocks, and a task gets two blocks, of `values` values in all at most: so that a
+    table of any width is as many bounded tasks as there are pairs of blocks. Where even two features are more
+    than that, their rows are spread over tasks instead.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown method {method!r}: spearman or pearson")
+    x = obs.where("value IS NOT NULL").select("row_id", "feature", "value")
+    sizes = {r.feature: r.n for r in x.groupBy("feature").agg(F.count("*").alias("n")).collect()}  # a number a column
+    longest = max(sizes.values(), default=0)
+    if 2 * longest > values:
+        return _correlations_by_rows(obs, method)
+    width = max(1, min(BLOCK, values // (2 * max(1, longest))))
+    return _correlations_by_blocks(x, sorted(sizes, key=str.encode), method, width)
+
+
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1; ties share the mean of theirs."""
+    _, at, many = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(many) - (many - 1) / 2)[at]
+
+
+def _standard(m: np.ndarray, method: str) -> np.ndarray:
+    """Rows at mean 0 and length 1, by ranks or values; NaN where a row is constant."""
+    flat = m.min(axis=1) == m.max(axis=1)
+    r = np.array([_ranks(v) for v in m]) if method == "spearman" else m
+    off = r - r.mean(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = off / np.sqrt((off * off).sum(axis=1, keepdims=True))
+    out[flat] = np.nan
+    return out
+
+
+def _block_pair(pdf: pd.DataFrame, method: str) -> pd.DataFrame:
+    """(a, b, rho) of the pairs between two blocks, or within one. Features with values in the same rows are ranked together, once for each set of rows that they are asked about."""
+    pdf = pdf.sort_values("at").reset_index(drop=True)
+    ids = np.unique(np.concatenate(pdf["ids"].to_list()))
+    m = np.full((len(pdf), len(ids)), np.nan)
+    for i, (own, v) in enumerate(zip(pdf["ids"], pdf["vs"])):
+        m[i, np.searchsorted(ids, own)] = v
+    there = ~np.isnan(m)
+    _, kind = np.unique(np.packbits(there, axis=1), axis=0, return_inverse=True)
+    side, within = pdf["block"].to_numpy(), pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+    left, right = (np.flatnonzero(side == pdf[k].iloc[0]) for k in ("lo", "hi"))
+    names, out = pdf["feature"].to_numpy(), []
+    for p in np.unique(kind[left]):
+        for q in np.unique(kind[right]):
+            a, b = left[kind[left] == p], right[kind[right] == q]
+            both = there[a[0]] & there[b[0]]
+            if not both.any():
+                continue
+            rho = _standard(m[a][:, both], method) @ _standard(m[b][:, both], method).T
+            i, j = np.nonzero(a[:, None] < b[None, :]) if within else (g.ravel() for g in np.indices(rho.shape))
+            out.append(pd.DataFrame({"a": names[a[i]], "b": names[b[j]], "rho": rho[i, j]}))
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "rho": []})
+
+
+def _correlations_by_blocks(x: DataFrame, names: list[str], method: str, width: int) -> DataFrame:
+    many = -(-len(names) // width)
+    known = x.sparkSession.createDataFrame([(n, i, i // width) for i, n in enumerate(names)], "feature string, at int, block int")
+    series = x.groupBy("feature").agg(F.collect_list(F.struct("row_id", "value")).alias("v")).join(F.broadcast(known), "feature")
+    series = series.select("feature", "at", "block", F.col("v.row_id").alias("ids"), F.col("v.value").alias("vs"))
+    dealt = series.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(0, many - 1))))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
+    tasks = max(1, min(4096, many * (many + 1) // 2))
+    out = dealt.repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInPandas(lambda pdf: _block_pair(pdf, method), "a string, b string, rho double")
+    return out.withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
+
+
+def _correlations_by_rows(obs: DataFrame, method: str) -> DataFrame:
+    """The same where a feature has more values than a task may hold.
+
+    Features with values in the same rows form a pattern. The rows of two features are those that their
+    patterns share, so that a feature is ranked once for each pattern that its own meets, not for each feature.
+    """
     tables = Tables(obs.sparkSession)  # values and products are read several times
     x = tables.save(obs.where("value IS NOT NULL").select("row_id", "feature", "value"), "values")
     known = x.join(_patterns(x), "feature")
