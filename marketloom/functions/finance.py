@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators import ranges
+
 
 def clip(x: Column, low: float | None, high: float | None) -> Column:
     """NULL stays NULL, which greatest and least would skip."""
@@ -16,6 +18,7 @@ def clip(x: Column, low: float | None, high: float | None) -> Column:
 
 
 def finite(x: Column) -> Column:
+    """Neither NULL nor NaN nor infinite."""
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
@@ -27,6 +30,7 @@ def position_rule(pred: Column, vol: Column, mom: Column, k: float = 6.0, floor:
 
 
 def to_position(yhat: Column, mode: str, k: float = 6.0) -> Column:
+    """A position within [0, 2]: the value itself, 1 + tanh(k yhat) of an excess return, or twice a probability."""
     if mode == "position":
         return clip(yhat, 0, 2)
     if mode == "excess":
@@ -65,12 +69,16 @@ def adjusted_sharpe(df: DataFrame, position: str = "position", days: int = 252,
     return r.select(F.col("n").alias("n_days"), *parts, F.when(none, 0.0).otherwise(score).alias("adjusted_sharpe"))
 
 
-def in_order(by: str | None = None):
-    return Window.partitionBy(*([by] if by else [])).orderBy("row_id")
+def in_order(by: str):
+    """The window of an entity's rows by row_id."""
+    return Window.partitionBy(by).orderBy("row_id")
 
 
 def drawdown(df: DataFrame, ret: str = "ret", by: str | None = None) -> DataFrame:
     """Adds curve, the cumulative return, and drawdown from its running top; of each entity where `by` names one."""
+    if by is None:
+        out = ranges.running(df.withColumn("_log", F.log1p(ret)), "_log")
+        return out.select(*df.columns, F.exp("total").alias("curve"), (F.exp(F.col("total") - F.col("top")) - 1).alias("drawdown"))
     upto = in_order(by).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("curve", F.exp(F.sum(F.log1p(ret)).over(upto)))
     return out.withColumn("drawdown", F.col("curve") / F.max("curve").over(upto) - 1)
@@ -78,6 +86,8 @@ def drawdown(df: DataFrame, ret: str = "ret", by: str | None = None) -> DataFram
 
 def turnover(df: DataFrame, position: str = "position", by: str | None = None) -> DataFrame:
     """Adds turnover, the absolute change of the position since the row before; NULL on the first row."""
+    if by is None:
+        return ranges.change(df, position, "turnover").withColumn("turnover", F.abs("turnover"))
     return df.withColumn("turnover", F.abs(F.col(position) - F.lag(position, 1).over(in_order(by))))
 
 

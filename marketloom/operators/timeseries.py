@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import sliding
+from . import ranges, sliding
 from ..functions.finance import clip
 
 EPS_Z, EPS_POS = sliding.EPS_Z, sliding.EPS_POS
@@ -25,6 +25,7 @@ LAG_WINDOWS, EXCESS_WINDOWS = (1, 2, 3, 5, 10, 21, 63), (1, 2, 3, 5, 10)
 
 
 def series(by: tuple[str, ...] = ("feature",)):
+    """The window of a series by row_id."""
     return Window.partitionBy(*by).orderBy("row_id")
 
 
@@ -94,16 +95,26 @@ def _keys(by: str | None) -> tuple[str, ...]:
 
 
 def lagged_block(labels: DataFrame, by: str | None = None) -> DataFrame:
-    """Of labels (row_id, three labels) the lags by one row, their difference, and rolling features of them; a missing label is skipped."""
+    """Of labels (row_id, three labels) the lags by one row, their difference, and rolling features of them; a missing label is skipped.
+
+    Lags are taken series by series, with their features. row_id is dense within a series.
+    """
     ids = ([by] if by else []) + ["row_id"]
     names = [c for c in labels.columns if c not in ids]
-    wide = labels.select(*ids, *(F.lag(c, 1).over(in_order(by)).alias(f"lagged_{c}") for c in names))
-    own = [f"lagged_{c}" for c in names]
-    if {"lagged_forward_returns", "lagged_risk_free_rate"} <= set(own):
+    wide = labels.select(*ids, *(F.col(c).cast("double").alias(f"lagged_{c}") for c in names))
+    if {"lagged_forward_returns", "lagged_risk_free_rate"} <= set(wide.columns):
         wide = wide.withColumn("lagged_excess", F.col("lagged_forward_returns") - F.col("lagged_risk_free_rate"))
     long = wide.unpivot(ids, [c for c in wide.columns if c not in ids], "feature", "value")
-    plain = rolling_long(long.where("feature <> 'lagged_excess'"), LAG_WINDOWS, ("mean", "std", "z"), by=_keys(by))
-    return long.unionByName(plain).unionByName(rolling_long(long.where("feature = 'lagged_excess'"), EXCESS_WINDOWS, ("mean", "std", "z"), by=_keys(by)))
+
+    def make(feature: str, x: np.ndarray) -> sliding.Made:
+        x = np.concatenate([[np.nan], x[:-1]])[: len(x)]
+        out = [("", x), ("_d1", sliding.difference(x))]
+        for w in EXCESS_WINDOWS if feature == "lagged_excess" else LAG_WINDOWS:
+            got = sliding.frames(x, w)
+            out += [(f"_{p}{w}", got[p]) for p in ("mean", "std", "z")]
+        return out
+
+    return sliding.over_series(long, _keys(by), max(LAG_WINDOWS) + 1, make)
 
 
 def score_zscore(x: Column, w: int, by: tuple[str, ...] = ("feature",)) -> Column:
@@ -136,20 +147,23 @@ def filled(x: Column, backward: bool = False, by: tuple[str, ...] = ("feature",)
     return F.coalesce(ahead, F.first(x, ignorenulls=True).over(series(by).rowsBetween(0, Window.unboundedFollowing))) if backward else ahead
 
 
-def in_order(by: str | None = None):
-    return Window.partitionBy(*([by] if by else [])).orderBy("row_id")
+def in_order(by: str):
+    """The window of an entity's rows by row_id."""
+    return Window.partitionBy(by).orderBy("row_id")
 
 
 def tail(df: DataFrame, n: int, by: str | None = None) -> DataFrame:
-    """The last n rows, of each entity where `by` names one, renumbered from 0."""
+    """The last n rows, of each entity where `by` names one, renumbered from 0; without `by` row_id is dense from 0."""
     if by:
         back = Window.partitionBy(by).orderBy(F.desc("row_id"))
         return renumbered(df.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= n).drop("_back"), by)
-    return renumbered(df.orderBy(F.desc("row_id")).limit(n))
+    return skip(df, max(0, df.count() - n))
 
 
 def renumbered(df: DataFrame, by: str | None = None) -> DataFrame:
     """row_id from 0 in its order, without gaps."""
+    if by is None:
+        return ranges.numbered(df.withColumnRenamed("row_id", "_old"), "_old").select(*df.columns)
     return df.withColumn("row_id", (F.row_number().over(in_order(by)) - 1).cast("long"))
 
 
@@ -160,8 +174,13 @@ def skip(df: DataFrame, n: int) -> DataFrame:
 
 def shifted(df: DataFrame, columns: list[str], k: int = 10, by: str | None = None) -> DataFrame:
     """columns take their values of k rows before; the first k rows go. Without columns nothing changes."""
-    return skip(df.withColumns({c: F.lag(c, k).over(in_order(by)) for c in columns}), k) if columns else df
+    if not columns:
+        return df
+    names = df.columns
+    own = ranges.moved(df, {c: c for c in columns}, k) if by is None else df.withColumns({c: F.lag(c, k).over(in_order(by)) for c in columns})
+    return skip(own.select(*names), k)
 
 
 def gate(s: Column, alpha: float, high: float) -> Column:
+    """1 and alpha times the score within [0, high]; 1 where it is missing."""
     return 1 + alpha * clip(F.coalesce(s, F.lit(0.0)), 0, high)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import tactical
 from ..functions import finance
-from ..operators import build, features, models, screening, search, selection, timeseries as ts, validation
+from ..operators import build, features, models, ranges, screening, search, selection, timeseries as ts, validation
 from ..sources.panel import FEATURES, LABELS, daily_panel, observations
 from ..sources.tables import Tables, shared_dir
 
@@ -393,7 +393,7 @@ PRED = "pd AS (SELECT row_id, forward_returns AS y, lag(forward_returns) over (o
 @query("fold_mse_ratio", PANEL_SQL + PRED + "SELECT fold, round(coalesce(ratio, 1.0), 6) + 0.0 AS ratio, round(avg(coalesce(ratio, 1.0)) over (order by fold rows between 9 preceding and current row), 6) + 0.0 AS recent FROM e")
 def _(spark, d):
     panel = daily_panel(spark, d)
-    pred = panel.select("row_id", F.col("forward_returns").alias("y"), F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("yhat"))
+    pred = ranges.moved(panel.select("row_id", F.col("forward_returns").alias("y")), {"yhat": "y"}, 1)
     return validation.fold_mse_ratio(pred, validation.rolling_folds(spark, panel.count())).select("fold", r6("ratio"), r6("recent"))
 
 
@@ -414,12 +414,17 @@ def _(spark, d):
 RULE = "rl AS (SELECT row_id, forward_returns, risk_free_rate, M1, lag(forward_returns) over (order by row_id) AS pred, CASE WHEN count(forward_returns) over w = 21 THEN stddev_samp(forward_returns) over w END AS vol, CASE WHEN count(forward_returns) over w = 21 THEN avg(forward_returns) over w END AS mom FROM panel WINDOW w AS (ORDER BY row_id ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)), p0 AS (SELECT *, 1 + tanh(6 * pred / (CASE WHEN vol IS NULL OR vol < 1e-4 THEN 1e-4 ELSE vol END)) AS raw FROM rl), p1 AS (SELECT *, CASE WHEN mom < -0.0005 AND raw > 1 THEN 1.0 ELSE raw END AS r FROM p0), pos AS (SELECT row_id, forward_returns, risk_free_rate, CASE WHEN r < 0 THEN 0.0 WHEN r > 2 THEN 2.0 ELSE r END AS position FROM p1), "
 
 
+def _naive(panel: DataFrame) -> DataFrame:
+    """The panel's labels with pred, the return of the day before, and vol and mom of the 21 days up to it."""
+    labels = panel.select("row_id", "forward_returns", "risk_free_rate")
+    pred = ranges.moved(labels, {"pred": "forward_returns"}, 1)
+    back = pred.select("row_id", F.lit("r").alias("feature"), F.col("pred").alias("value"))
+    return pred.join(build.to_wide(ts.rolling_long(back, (21,), ("std", "mean"), with_diff=False), ["r_std21", "r_mean21"]).toDF("row_id", "vol", "mom"), "row_id")
+
+
 def positions(spark: SparkSession, d: str) -> DataFrame:
     """The position rule on the day before's return, with trailing volatility and momentum."""
-    back = Window.orderBy("row_id").rowsBetween(-21, -1)
-    full = F.count("forward_returns").over(back) == 21
-    vol, mom = (F.when(full, f("forward_returns").over(back)) for f in (F.stddev_samp, F.avg))
-    p = daily_panel(spark, d).select("row_id", "forward_returns", "risk_free_rate", F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("pred"), vol.alias("vol"), mom.alias("mom"))
+    p = _naive(daily_panel(spark, d))
     return p.select("row_id", "forward_returns", "risk_free_rate", finance.position_rule(F.col("pred"), F.col("vol"), F.col("mom")).alias("position"))
 
 
@@ -522,7 +527,8 @@ def _saved(spark, d):
 def _model_table(spark, d):
     """Features and the labels, with the volatility and momentum of lagged returns that the position rule asks for."""
     panel = _saved(spark, d)
-    lags = ts.rolling_long(panel.select("row_id", F.lit("lagged_forward_returns").alias("feature"), F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("value")), (21,), ("mean", "std"), with_diff=False)
+    back = ranges.moved(panel.select("row_id", "forward_returns"), {"value": "forward_returns"}, 1)
+    lags = ts.rolling_long(back.select("row_id", F.lit("lagged_forward_returns").alias("feature"), "value"), (21,), ("mean", "std"), with_diff=False)
     return panel.select("row_id", *FEATURES, *LABELS).join(build.to_wide(lags, ["lagged_forward_returns_mean21", "lagged_forward_returns_std21"]), "row_id")
 
 
@@ -572,7 +578,7 @@ def _(spark, d):
     """The position rule over the rows held out, on a prediction that SQL can tell: the day before's return."""
     wide = _model_table(spark, d)
     n = wide.count()
-    pred = wide.select("row_id", F.lag("forward_returns", 1).over(Window.orderBy("row_id")).alias("naive")).where(F.col("row_id") >= n - 180)
+    pred = ranges.moved(wide.select("row_id", "forward_returns"), {"naive": "forward_returns"}, 1).select("row_id", "naive").where(F.col("row_id") >= n - 180)
     return models.held_positions(pred, wide, "naive").select("row_id", *((F.round(c, 8) + 0.0).alias(c) for c in ("forward_returns", "risk_free_rate")), r6("position"))
 
 

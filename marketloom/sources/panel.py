@@ -1,12 +1,14 @@
 """The daily panel: one row a ship day, from line items and orders.
 
 Measures come from exact integers (cents, hundredths), so that any order of summation gives the same
-doubles. Days are pre-aggregated before they are numbered; only one row a day meets in the window.
+doubles. Days are pre-aggregated, and numbered by ranges of days, which are saved: later reads start from one row a day.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..operators import ranges
 
 #: The columns of each group, by the first letters of their names.
 FEATURES = (
@@ -41,11 +43,12 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("day")).agg(
         (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("*") / 100.0).alias("E1"), F.count("*").cast("double").alias("E2")
     )
-    order = Window.orderBy("day")
-    back, ahead = F.lag("M1", 1).over(order), F.lead("M1", 1).over(order)
-    fr = 0.01 * (ahead / F.col("M1") - 1)
-    return days.join(orders, "day", "left").select(
-        (F.row_number().over(order) - 1).cast("long").alias("row_id"), *FEATURES[:23], (F.col("M1") - back).alias("MOM1"),
+    own = ranges.numbered(days.join(orders, "day", "left"), "day")
+    m1 = own.select("row_id", "M1")
+    own = own.join(m1.select((F.col("row_id") + 1).alias("row_id"), F.col("M1").alias("_back")), "row_id", "left").join(m1.select((F.col("row_id") - 1).alias("row_id"), F.col("M1").alias("_ahead")), "row_id", "left")
+    fr = 0.01 * (F.col("_ahead") / F.col("M1") - 1)
+    return own.select(
+        "row_id", *FEATURES[:23], (F.col("M1") - F.col("_back")).alias("MOM1"),
         (F.weekday("day") + 1).cast("double").alias("D1"), F.month("day").cast("double").alias("D2"),
         fr.alias("forward_returns"), (F.col("I2") / 252).alias("risk_free_rate"), (fr - F.col("I2") / 252).alias("market_forward_excess_returns"),
     )
