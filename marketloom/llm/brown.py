@@ -120,7 +120,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
             table[own] -= a
             table[:, own] -= b
             table[own, own] -= self_n
-            out, into = table.sum(1), table.sum(0)
+            out, into = table.sum(1) + b, table.sum(0) + a  # pairs with the word count for the other classes wherever it goes
             gain = (f(table + a[None, :]) - f(table)).sum(1) + (f(table + b[:, None]) - f(table)).sum(0)
             d = np.arange(k)
             t = table[d, d]
