@@ -126,6 +126,20 @@ def read_archive(source, chunk: int = 1 << 16) -> Iterator[bytes]:
         rest = rest or source.read(chunk)
 
 
+#: Names that Spark has for stores which the library of archives' files knows by another.
+STORES = {"s3a": "s3", "s3n": "s3"}
+
+
+def library_uri(uri: str) -> str:
+    """A path of Spark's as that library has it: a store's own name, and three slashes before a local path."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
+        return uri
+    if scheme == "file" and not rest.startswith("//"):
+        rest = "//" + rest
+    return f"{STORES.get(scheme, scheme)}:{rest}"
+
+
 def write_archives(tables: Tables, records: DataFrame) -> DataFrame:
     """Writes (page_id, url, html, key, refers_to, revisit), key the SHA-1 of html, and returns the saved manifest (path, records, bytes).
 
@@ -136,7 +150,7 @@ def write_archives(tables: Tables, records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = pafs.FileSystem.from_uri(library_uri(folder))
         fs.create_dir(base, recursive=True)
         rows = (r for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist())
         nth = 0
@@ -174,7 +188,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
 
     def rows(path: str, count: int) -> Iterator[tuple]:
-        fs, at = pafs.FileSystem.from_uri(path)
+        fs, at = pafs.FileSystem.from_uri(library_uri(path))
         with fs.open_input_stream(at) as f:
             n = 0
             for n, raw in enumerate(read_archive(f), 1):  # noqa: B007
