@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from marketloom.llm import chat, neardup, packing, pii, warc
 from marketloom.llm.common import vocabulary
+from marketloom.sources import tables
 
 
 def test_special_strings_beside_any_character():
@@ -104,12 +105,8 @@ def test_numbers_with_disguised_dots_in_long_texts():
     assert time.process_time() - began < 12
 
 
-def test_archives_in_stores_that_spark_names_otherwise(spark, tmp_path):
+def test_archives_in_stores_that_spark_names_otherwise(spark, tmp_path, monkeypatch):
     assert [warc.library_uri(x) for x in ("s3a://b/x", "s3n://b/x", "s3://b/x", "hdfs://h:8020/x", "file:/x", "file:///x", "/x")] == ["s3://b/x", "s3://b/x", "s3://b/x", "hdfs://h:8020/x", "file:///x", "file:///x", "/x"]
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file:{tmp_path}")
-    try:
-        got = warc.round_trip(spark, spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "v", None)], "page_id long, url string, html string")).orderBy("page_id").collect()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file:{tmp_path}")
+    got = warc.round_trip(spark, spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "v", None)], "page_id long, url string, html string")).orderBy("page_id").collect()
     assert [(r.page_id, r.record_type, r.refers_to) for r in got] == [(1, "revisit", 2), (2, "response", None), (3, "response", None)]
