@@ -9,6 +9,10 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions, by application.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which the driver and all executors see.
 
@@ -18,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _local.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="marketloom-")  # a running session does not take the setting
+        _local[app] = found
     return found
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import finance
 from marketloom.operators import build, features, screening, selection, timeseries as ts, validation
 from marketloom.operators.boosting import Trees
-from marketloom.sources import files
+from marketloom.sources import files, tables
 
 
 def frame(spark, values, name="x"):
@@ -262,3 +262,18 @@ def test_sinks_and_sources(spark, tmp_path):
     np.testing.assert_array_equal(files.load_fitted(spark, f"{tmp_path}/m").predict(np.ones((1, 2))), model.predict(np.ones((1, 2))))
     files.save_fitted(spark, {"weights": [1.0, 2.0], "intercept": 0.5}, f"{tmp_path}/l")
     assert files.load_fitted(spark, f"{tmp_path}/l") == {"weights": [1.0, 2.0], "intercept": 0.5}
+
+
+def test_shared_folder_of_a_session_without_one():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, other: other)
+
+        class sparkContext:
+            master, applicationId = "local[2]", "app-of-a-test"
+
+    one = tables.shared_dir(Session)
+    assert one.startswith("file://") and tables.shared_dir(Session) == one
+    Session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_dir(Session)
