@@ -25,6 +25,7 @@ LATE_BLOCK = r"^[ES]"
 
 
 def matching(names: Iterable[str], pattern: str) -> list[str]:
+    """Those of names that the pattern is found in, in their order."""
     return [n for n in names if re.search(pattern, n)]
 
 
@@ -45,6 +46,7 @@ def main_columns(df: DataFrame) -> list[str]:
 
 
 def is_excluded(feature: Column) -> Column:
+    """Whether the first-valid filter leaves a feature alone."""
     return feature.rlike(EXCLUDED)
 
 

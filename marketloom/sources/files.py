@@ -21,6 +21,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Parquet, or CSV with a header, in place of what is there."""
     writer = df.write.mode("overwrite")
     (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
 
