@@ -567,6 +567,25 @@ def _(spark, d):
     return models.walk_forward_scores(*_forward(spark, d))
 
 
+#: The line of one feature in closed form, from sums over all rows before each, and over the core rows.
+LINE_SQL = (
+    PANEL_SQL + "nn AS (SELECT count(*) - 180 AS n FROM panel), st AS (SELECT avg(M1) AS m, stddev_pop(M1) AS s FROM panel, nn WHERE row_id < n), "
+    "z AS (SELECT row_id, n, (M1 - m) / s AS x, forward_returns AS y, CASE WHEN forward_returns IS NOT NULL THEN 1.0 END AS k FROM panel, st, nn), "
+    "u AS (SELECT row_id, n, x, sum(k) over w AS c, sum(x * k) over w AS sx, sum(y) over w AS sy, sum(x * x * k) over w AS sxx, sum(x * y) over w AS sxy FROM z WINDOW w AS (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "l AS (SELECT row_id, n, x, sx / c AS mx, sy / c AS my, (sxy - sx * sy / c) / (sxx - sx * sx / c + 1e-4 * c) AS w FROM u WHERE row_id >= n) "
+    "SELECT l.row_id, round(l.w * l.x + l.my - l.w * l.mx, 9) + 0.0 AS linear, round(o.w * l.x + o.my - o.w * o.mx, 9) + 0.0 AS offline FROM l, (SELECT * FROM l WHERE row_id = n) o"
+)
+
+
+@query("daily_lines", LINE_SQL)
+def _(spark, d):
+    """Of the rows held out, the guess of the line of all earlier rows and that of the core rows' line."""
+    panel = _saved(spark, d)
+    n = panel.count()
+    rows = models.line_rows(observations(panel, ("M1",)), ["M1"], n - models.HOLD).join(panel.select("row_id", F.col(Y).alias("y")), "row_id")
+    return models.daily_lines(rows, n - models.HOLD, n, 1).select("row_id", *((F.round(c, 9) + 0.0).alias(c) for c in ("linear", "offline")))
+
+
 HELD_SQL = (
     PANEL_SQL + "hb AS (SELECT row_id, forward_returns, risk_free_rate, lag(forward_returns) over (order by row_id) AS lr FROM panel), hv AS (SELECT *, CASE WHEN count(lr) over w = 21 THEN stddev_samp(lr) over w END AS vol, CASE WHEN count(lr) over w = 21 THEN avg(lr) over w END AS mom FROM hb WINDOW w AS (ORDER BY row_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)), "
     "hp AS (SELECT *, 1 + tanh(6 * lr / (CASE WHEN vol IS NULL OR vol < 1e-4 THEN 1e-4 ELSE vol END)) AS raw FROM hv WHERE row_id >= (SELECT count(*) - 180 FROM panel)) SELECT row_id, round(forward_returns, 8) + 0.0 AS forward_returns, round(risk_free_rate, 8) + 0.0 AS risk_free_rate, round(CASE WHEN mom < -0.0005 AND raw > 1 THEN 1 WHEN raw < 0 THEN 0 WHEN raw > 2 THEN 2 ELSE raw END, 6) + 0.0 AS position FROM hp"
