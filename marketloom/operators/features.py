@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from . import selection, timeseries as ts
+from . import expanding, selection, timeseries as ts
 from ..functions.finance import clip
 from ..sources.tables import Tables
 
@@ -68,9 +68,7 @@ def first_component(train: np.ndarray, x: np.ndarray, q: float, least: int) -> f
     low, high = (np.nanquantile if np.isnan(train).any() else np.quantile)(train, [1 - q, q], axis=0)
     train, x = (np.nan_to_num(np.clip(v, low, high)) for v in (train, x))
     mean = train.mean(axis=0)
-    values, vectors = np.linalg.eigh((train - mean).T @ (train - mean))
-    load = vectors[:, -1]
-    return float((x - mean) @ (load * np.sign(load[np.argmax(np.abs(load))])))
+    return float((x - mean) @ expanding.leading((train - mean).T @ (train - mean)))
 
 
 def causal_pc1(wide: DataFrame, columns: list[str], window: int | None, warmup: int, q: float = 0.98, least: int = 5, by: str | None = None) -> DataFrame:
@@ -78,20 +76,23 @@ def causal_pc1(wide: DataFrame, columns: list[str], window: int | None, warmup:
 
     The window is the rows before, all of them where it is None. The component's largest loading is
     positive. DAYS rows of an entity are scored together, and the rows of their windows are dealt to
-    them; without `by` there is one entity.
+    them, or of all rows before sums of products; without `by` there is one entity.
     """
-    first = warmup if window is None else max(warmup, window)
+    entity = F.col(by).cast("string") if by else F.lit("all")
+    if window is None:
+        out = expanding.expanding_pc1(wide.select(entity.alias("entity"), "row_id", *columns), columns, warmup, q, least, DAYS)
+        return out.withColumn("pc1", F.nanvl("pc1", F.lit(None).cast("double")))
+    first = max(warmup, window)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")
         m, at = pdf[columns].to_numpy(dtype=float), pdf["row_id"].to_numpy()
         own = np.flatnonzero(at // DAYS == pdf["part"].iloc[0])
-        got = [first_component(m[0 if window is None else t - window : t], m[t], q, least) if at[t] >= first else np.nan for t in own]
+        got = [first_component(m[t - window : t], m[t], q, least) if at[t] >= first else np.nan for t in own]
         return pd.DataFrame({"entity": pdf["entity"].iloc[own], "row_id": at[own], "pc1": got})
 
-    entity = F.col(by).cast("string") if by else F.lit("all")
     ends = wide.groupBy(entity.alias("entity")).agg(F.floor(F.max("row_id") / DAYS).alias("_top"))
-    last = F.col("_top") if window is None else F.least("_top", F.floor((F.col("row_id") + window) / DAYS))
+    last = F.least("_top", F.floor((F.col("row_id") + window) / DAYS))
     dealt = wide.select(entity.alias("entity"), "row_id", *columns).join(ends, "entity").withColumn("part", F.explode(F.sequence(F.floor(F.col("row_id") / DAYS), last))).drop("_top")
     # The number of tasks is stated, as small tables of costly days would be put together in one.
     dealt = dealt.repartition(2 * wide.sparkSession.sparkContext.defaultParallelism, "entity", "part")
