@@ -20,6 +20,9 @@ from ..sources.tables import Tables
 #: Where a value lies in a part of days: between the bounds, below the lower ones, above the upper ones, or passed by one.
 FREE, LOW, HIGH, PASSED = range(4)
 
+#: Loadings closer than this part of the largest count as equal to it.
+TIED = 1_000_000
+
 Cuts = tuple[int, int, int, int]
 
 
@@ -127,9 +130,13 @@ def clipped(x: np.ndarray, low: np.ndarray, high: np.ndarray, off: np.ndarray) -
 
 
 def leading(cov: np.ndarray) -> np.ndarray:
-    """The first component's loadings, the largest of them positive."""
+    """The first component's loadings, the largest of them positive; of those as large but for a part in TIED the first.
+
+    Columns that mirror each other load alike with opposite signs, and rounding would choose between them day by day.
+    """
     load = np.linalg.eigh(cov)[1][:, -1]
-    return load * np.sign(load[np.argmax(np.abs(load))])
+    size = np.abs(load)
+    return load * np.sign(load[np.argmax(size >= size.max() * (1 - 1 / TIED))])
 
 
 def scored(held: pd.DataFrame, rows: pd.DataFrame, days: int, first: int, least: int) -> pd.DataFrame:

@@ -75,7 +75,7 @@ def causal_pc1(wide: DataFrame, columns: list[str], window: int | None, warmup:
     """(entity, row_id, pc1): each row's score on a component fitted on earlier rows alone; row_id is dense from 0.
 
     The window is the rows before, all of them where it is None. The component's largest loading is
-    positive. DAYS rows of an entity are scored together, and the rows of their windows are dealt to
+    positive, of equal ones the first. DAYS rows of an entity are scored together, and the rows of their windows are dealt to
     them, or of all rows before sums of products; without `by` there is one entity.
     """
     entity = F.col(by).cast("string") if by else F.lit("all")

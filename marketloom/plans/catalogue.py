@@ -12,6 +12,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import tactical
+from .components_sql import components_sql, scores_sql
 from ..functions import finance
 from ..operators import build, features, models, ranges, screening, search, selection, timeseries as ts, validation
 from ..sources.panel import FEATURES, LABELS, daily_panel, observations
@@ -483,7 +484,25 @@ def _(spark, d):
     return features.causal_pc1(daily_panel(spark, d), list(FEATURES), 126, 126).select("row_id", r6("pc1"))
 
 
-@query("group_components")
+#: Of no other group has the panel z-scores of 21 rows.
+GROUPS = ("V", "M", "MOM", "S", "I")
+
+
+def _groups_sql() -> str:
+    columns = [c for c in FEATURES if c[0] in "VMSI"]
+    wide = ", ".join(f"max(value) FILTER (feature = '{c}_z21') AS {c}" for c in columns)
+    out = obs_sql() + "zs AS (" + roll_sql(f"(SELECT * FROM obs WHERE feature IN {tuple(columns)})", 21, ("z",)) + f"), wide AS MATERIALIZED (SELECT row_id, {wide} FROM zs GROUP BY row_id), "
+    parts = []
+    for g in GROUPS:
+        window, warmup, zwin = features.COMPONENTS[g]
+        out += scores_sql(g, "wide", [c for c in columns if c.startswith(g)], window, max(warmup, window or 0))
+        f = f"OVER (ORDER BY row_id ROWS BETWEEN {zwin - 1} PRECEDING AND CURRENT ROW)"
+        z = f"SELECT row_id, pc1, CASE WHEN min(pc1) {f} <> max(pc1) {f} THEN (pc1 - avg(pc1) {f}) / stddev_samp(pc1) {f} END AS z FROM wide LEFT JOIN (SELECT row_id, pc1 FROM pc WHERE g = '{g}') USING (row_id)"
+        parts.append(f"SELECT row_id, unnest(['{g}_pc1', '{g}_pc1_z{zwin}', '{g}_pc1_pos']) AS feature, unnest([pc1, z, CASE WHEN z < 0 THEN 0 ELSE z END]) AS value FROM ({z})")
+    return out + components_sql(list(GROUPS), 20) + ", o AS (" + " UNION ALL ".join(parts) + ") " + ROWS + "o"
+
+
+@query("group_components", _groups_sql())
 def _(spark, d):
     return rows(features.group_components(ts.base_block(observations(daily_panel(spark, d)))))
 

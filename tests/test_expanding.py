@@ -87,3 +87,13 @@ def test_what_is_dealt_grows_with_the_days(spark):
         moved = [len(rows) for _, rows, _ in expanding.moves(x, low, high, 128)]
         sizes.append(sum(moved) / n)
     assert sizes[1] < 1.2 * sizes[0] < 0.5
+
+
+def test_sign_of_columns_that_mirror_each_other():
+    """Equal loadings of opposite signs: the first column's is positive, however the rounding falls."""
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x = rng.normal(size=(40, 3)) * [0.1, 1, 0.1]
+        m = np.column_stack([x[:, 0], x[:, 1], -x[:, 1] * (1 + 1e-13), x[:, 2]])
+        load = expanding.leading(np.cov(m.T))
+        assert load[1] > 0 > load[2] and abs(load[1] + load[2]) < 1e-6
