@@ -479,19 +479,23 @@ def _(spark, d):
 Y = "forward_returns"
 
 
-@query("pc1_score")
+PC1_SQL = PANEL_SQL + scores_sql("every", "panel", list(FEATURES), 126, 126) + components_sql(["every"], 6) + f" SELECT panel.row_id, {PLACED.format('pc1')} AS pc1 FROM panel LEFT JOIN pc USING (row_id)"
+
+
+@query("pc1_score", PC1_SQL)
 def _(spark, d):
-    return features.causal_pc1(daily_panel(spark, d), list(FEATURES), 126, 126).select("row_id", r6("pc1"))
+    return features.causal_pc1(daily_panel(spark, d), list(FEATURES), 126, 126).select("row_id", placed(F.col("pc1")).alias("pc1"))
 
 
 #: Of no other group has the panel z-scores of 21 rows.
 GROUPS = ("V", "M", "MOM", "S", "I")
 
 
-def _groups_sql() -> str:
+def _component_tables(source: str) -> str:
+    """Common tables up to comp (row_id, feature, value), the groups' components of z-scores of 21 rows in source (row_id, feature, value)."""
     columns = [c for c in FEATURES if c[0] in "VMSI"]
     wide = ", ".join(f"max(value) FILTER (feature = '{c}_z21') AS {c}" for c in columns)
-    out = obs_sql() + "zs AS (" + roll_sql(f"(SELECT * FROM obs WHERE feature IN {tuple(columns)})", 21, ("z",)) + f"), wide AS MATERIALIZED (SELECT row_id, {wide} FROM zs GROUP BY row_id), "
+    out = f"wide AS MATERIALIZED (SELECT row_id, {wide} FROM {source} GROUP BY row_id), "
     parts = []
     for g in GROUPS:
         window, warmup, zwin = features.COMPONENTS[g]
@@ -499,7 +503,13 @@ def _groups_sql() -> str:
         f = f"OVER (ORDER BY row_id ROWS BETWEEN {zwin - 1} PRECEDING AND CURRENT ROW)"
         z = f"SELECT row_id, pc1, CASE WHEN min(pc1) {f} <> max(pc1) {f} THEN (pc1 - avg(pc1) {f}) / stddev_samp(pc1) {f} END AS z FROM wide LEFT JOIN (SELECT row_id, pc1 FROM pc WHERE g = '{g}') USING (row_id)"
         parts.append(f"SELECT row_id, unnest(['{g}_pc1', '{g}_pc1_z{zwin}', '{g}_pc1_pos']) AS feature, unnest([pc1, z, CASE WHEN z < 0 THEN 0 ELSE z END]) AS value FROM ({z})")
-    return out + components_sql(list(GROUPS), 20) + ", o AS (" + " UNION ALL ".join(parts) + ") " + ROWS + "o"
+    return out + components_sql(list(GROUPS), 20) + ", comp AS MATERIALIZED (" + " UNION ALL ".join(parts) + ") "
+
+
+def _groups_sql() -> str:
+    columns = tuple(c for c in FEATURES if c[0] in "VMSI")
+    zs = roll_sql(f"(SELECT * FROM obs WHERE feature IN {columns})", 21, ("z",))
+    return obs_sql() + f"zs AS ({zs}), " + _component_tables("zs") + ROWS + "comp"
 
 
 @query("group_components", _groups_sql())
@@ -507,8 +517,8 @@ def _(spark, d):
     return rows(features.group_components(ts.base_block(observations(daily_panel(spark, d)))))
 
 
-#: The features that the build makes of the panel but for components and gates, which SQL cannot tell.
 def _build_sql() -> str:
+    """Common tables up to o (row_id, feature, value), the features that the build makes of the panel but for components and gates."""
     shifted = ", ".join(f"lag({c}, 10) over (order by row_id) AS {c}" if c in LATE else c for c in FEATURES)
     lead = (
         PANEL_SQL + "rw AS (SELECT row_number() over (order by row_id) - 1 AS row_id, * EXCLUDE (row_id) FROM (SELECT * FROM panel ORDER BY row_id DESC LIMIT 5000)), "
@@ -524,16 +534,27 @@ def _build_sql() -> str:
     known = ", ".join(f"'{c}'" for c in (*LABELS, "excess_returns")), ", ".join((*LABELS, "excess_returns"))
     blocks = [roll_sql(f"(SELECT * FROM ok WHERE regexp_extract(feature, '^(MOM|E|S|V|M|P|I|D)', 1) = '{n}')", w, ("mean", "z", "pos")) for n in (*ts.WINDOWS, "D") for w in ts.WINDOWS.get(n, ts.DEFAULT_WINDOWS)]
     every = " UNION ALL ".join([*(f"({x})" for x in pairs), *blocks, diff_sql("ok"), "SELECT * FROM ok", "SELECT * FROM lags", f"SELECT row_id, unnest([{known[0]}]) AS feature, unnest([{known[1]}]) AS value FROM bu"])
-    return lead + f"o AS ({every}) SELECT feature, count(*) AS n_rows, count(value) AS n_valid, {PLACED.format('avg(value)')} AS mean FROM o GROUP BY feature"
+    return lead + f"o AS MATERIALIZED ({every}) "
+
+
+def _whole_build_sql() -> str:
+    """The whole build; of the gates those open that V's component leads, as E has none."""
+    starts = lambda p, w: f"(starts_with(feature, '{p}') AND ends_with(feature, '_z{w}'))"
+    parts = ["SELECT * FROM o", "SELECT * FROM comp"]
+    for name, score, alpha, high, groups in features.GATES:
+        own = " OR ".join(starts(p, w) for p in groups for w in features.GATED[p])
+        gates = f"SELECT row_id, 1 + {alpha} * CASE WHEN coalesce(value, 0) < 0 THEN 0 WHEN value > {high} THEN {high} ELSE coalesce(value, 0) END AS g FROM comp WHERE feature = '{score}'"
+        parts.append(f"SELECT o.row_id, feature || '_g{name}' AS feature, coalesce(value, 0) * g AS value FROM o JOIN ({gates}) USING (row_id) WHERE {own}")
+    return _build_sql() + ", " + _component_tables("o") + ", whole AS (" + " UNION ALL ".join(parts) + ") " + ROWS + "whole"
 
 
-@query("feature_build_profile", _build_sql())
+@query("feature_build_profile", _build_sql() + f"SELECT feature, count(*) AS n_rows, count(value) AS n_valid, {PLACED.format('avg(value)')} AS mean FROM o GROUP BY feature")
 def _(spark, d):
     out = build.build_features(daily_panel(spark, d)).where(~F.col("feature").rlike("_pc1|_g(E|V|Vstrong)$"))
     return out.groupBy("feature").agg(F.count("*").alias("n_rows"), F.count("value").alias("n_valid"), placed(F.avg("value")).alias("mean"))
 
 
-@query("feature_build")
+@query("feature_build", _whole_build_sql())
 def _(spark, d):
     return rows(build.build_features(daily_panel(spark, d)))
 
