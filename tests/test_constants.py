@@ -30,3 +30,8 @@ def both(spark, level, name):
 def test_a_constant_leaves_no_share_to_cut(spark, level):
     got, want = both(spark, level, "importance_cut")
     assert got == want
+
+
+def test_a_constant_counts_at_every_bound(spark, level):
+    got, want = both(spark, level, "importance_counts")
+    assert got == want
