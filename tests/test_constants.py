@@ -35,3 +35,8 @@ def test_a_constant_leaves_no_share_to_cut(spark, level):
 def test_a_constant_counts_at_every_bound(spark, level):
     got, want = both(spark, level, "importance_counts")
     assert got == want
+
+
+def test_a_constant_is_at_least_any_bound(spark, level):
+    got, want = both(spark, level, "importance_at_least")
+    assert got == want
