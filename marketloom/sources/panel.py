@@ -2,6 +2,7 @@
 
 Measures come from exact integers (cents, hundredths), so that any order of summation gives the same
 doubles. Days are pre-aggregated, and numbered by ranges of days, which are saved: later reads start from one row a day.
+Line items without a ship date make up a day of their own, the last.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("day")).agg(
         (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("*") / 100.0).alias("E1"), F.count("*").cast("double").alias("E2")
     )
-    own = ranges.numbered(days.join(orders, "day", "left"), "day")
+    own = ranges.numbered(days.join(orders, "day", "left").withColumn("undated", F.col("day").isNull()), "undated", "day")
     m1 = own.select("row_id", "M1")
     own = own.join(m1.select((F.col("row_id") + 1).alias("row_id"), F.col("M1").alias("_back")), "row_id", "left").join(m1.select((F.col("row_id") - 1).alias("row_id"), F.col("M1").alias("_ahead")), "row_id", "left")
     fr = 0.01 * (F.col("_ahead") / F.col("M1") - 1)
