@@ -229,9 +229,9 @@ def importance_at_least(importances: DataFrame, bound: float = 260.0) -> DataFra
 
 
 def importance_cut(importances: DataFrame, share: float = 0.95) -> DataFrame:
-    """(feature, importance, rank, cumulative) down to the one that first reaches the share of the total."""
+    """(feature, importance, rank, cumulative) down to the one that first reaches the share of the total; no row where the total is 0."""
     order = Window.orderBy(F.desc("importance"), "feature")
-    total = F.sum("importance").over(Window.partitionBy())
+    total = F.nullif(F.sum("importance").over(Window.partitionBy()), F.lit(0.0))
     before = F.sum("importance").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("importance")
     out = importances.select("feature", "importance", F.row_number().over(order).alias("rank"), (before / total).alias("before"), ((before + F.col("importance")) / total).alias("cumulative"))
     return out.where(F.col("before") < share).drop("before")
