@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -212,6 +213,32 @@ def test_embeddings_across_many_cells(spark, monkeypatch, cell, block):
     assert placed.where("home").count() == len(rows) and placed.select("cell").distinct().count() >= 8
 
 
+def test_embeddings_take_disk_by_their_bytes_and_not_by_their_visits(spark, monkeypatch):
+    for name, value in {"CELL": 40, "CENTRES": 16, "SHARE": 1 << 19, "BLOCK": 64, "VISITORS": 256}.items():  # many visits, many shares, large cells too
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[2900:] = x[:100] + 0.15 * rng.normal(size=(100, 64))
+    x[2800:2900] = x[0] + 0.01 * rng.normal(size=(100, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    peak, save = [0], neardup.Tables.save
+
+    def weighed(self, table, name):
+        out = save(self, table, name)
+        peak[0] = max(peak[0], sum(p.stat().st_size for p in Path(self.root.removeprefix("file://")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(neardup.Tables, "save", weighed)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(spark, df).collect()}
+    assert peak[0] < 4 * x.nbytes and spark.conf.get(setting) == before
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    want = near.sum(1) - 1
+    assert 0.9 * want.sum() <= sum(got.values()) <= want.sum() and all(got[i] <= n for i, n in enumerate(want.tolist()))
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (5, "u\r\n", "same"), (3, "v", None), (4, "v", ""), (6, None, "é" * 9000), (None, "w", "null id"), (8, "x", "twice"), (8, "x", "twice")]
     got = [r.asDict() for r in warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
