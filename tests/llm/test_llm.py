@@ -214,7 +214,7 @@ def test_embeddings_across_many_cells(spark, monkeypatch, cell, block):
 
 
 def test_embeddings_take_disk_by_their_bytes_and_not_by_their_visits(spark, monkeypatch):
-    for name, value in {"CELL": 40, "CENTRES": 16, "SHARE": 1 << 19, "BLOCK": 64, "VISITORS": 256}.items():  # many visits, many shares, large cells too
+    for name, value in {"CELL": 40, "CENTRES": 16, "SHARE": 1 << 19, "BLOCK": 64, "VISITORS": 256, "WIDE": 200}.items():  # many visits, many shares, large cells too, wide vectors
         monkeypatch.setattr(neardup, name, value, raising=False)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 64)).astype(np.float32)
